@@ -1,44 +1,10 @@
-"""Token-array columns: distance, shrinking, intersection."""
+"""Token-array columns: shrinking and intersection."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
-def token_distance(left: Column, right: Column, cost_sub: int = 2) -> Column:
-    """Edit distance of two token arrays with unit insertions and deletions.
-
-    Row by row over ``left``; one row is the array of distances to each prefix of ``right``.
-    """
-    def next_row(row, token):
-        def cell(state, j):
-            diagonal = F.element_at(row, j) + F.when(F.element_at(right, j) == token, 0).otherwise(cost_sub)
-            up = F.element_at(row, j + 1) + 1
-            return F.concat(state, F.array(F.least(diagonal, up, F.element_at(state, -1) + 1)))
-        first = F.array(F.element_at(row, 1) + 1)
-        # sequence(1, 0) would count down, so an empty right side gets an empty index list
-        indexes = F.when(F.size(right) > 0, F.sequence(F.lit(1), F.size(right))).otherwise(
-            F.array().cast("array<int>"))
-        return F.aggregate(indexes, first, cell)
-    start = F.sequence(F.lit(0), F.size(right))
-    return F.element_at(F.aggregate(left, start, next_row), -1)
-
-
-def unit_token_distance(left: Column, right: Column) -> Column:
-    """``token_distance`` with substitution cost 1, on the built-in string distance.
-
-    Each distinct token of the pair becomes one character, so the strings' edit distance is the
-    token distance.
-    """
-    words = F.array_distinct(F.concat(left, right))
-    # code points from U+4E00 and, past the basic plane's surrogates, from U+10000
-    code = lambda token: F.array_position(words, token).cast("int")
-    letter = lambda token: F.decode(F.unhex(F.lpad(F.hex(
-        code(token) + F.when(code(token) < 20000, 0x4E00).otherwise(0x10000)), 8, "0")), "UTF-32")
-    spell = lambda tokens: F.array_join(F.transform(tokens, letter), "")
-    return F.levenshtein(spell(left), spell(right))
-
-
 def common_prefix(left: Column, right: Column) -> Column:
     """Length of the common prefix of two arrays."""
     same = F.zip_with(left, right, lambda a, b: F.coalesce(a == b, F.lit(False)))

@@ -91,16 +91,18 @@ def rewrite_rules(lang: str, ptb: bool) -> tuple:
             *APOSTROPHE_RULES[lang], QUOTE_PAIR_RULE)
 
 
-def _split_final_dot(words: Column, lang: str) -> Column:
-    """Cut a word's final dot unless it is an abbreviation, a dot run, or a number follows."""
-    def cut(word, i):
-        stem = F.substring(word, F.lit(1), F.length(word) - 1)
-        keep = (
-            ~word.rlike(r"\A\S+\.\z") | word.rlike(r"\A\.+\z") | stem.rlike(r"\..*[a-zA-Z]|[a-zA-Z].*\.")
-            | stem.isin(NONBREAKING_PREFIXES[lang])
-            | F.coalesce(F.get(words, i + 1).rlike(r"\A\d"), F.lit(False)))
-        return F.when(keep, word).otherwise(F.concat(stem, F.lit(" .")))
-    return F.transform(words, cut)
+def _final_dot_pattern(lang: str) -> str:
+    """A word's final dot, unless the word is a dot run, an abbreviation, or a number follows.
+
+    Words are separated by single spaces. An abbreviation is a listed prefix or a stem that holds
+    both a dot and a letter.
+    """
+    stop = r"\.(?: |\z)"
+    listed = "|".join(p.replace(".", r"\.") for p in NONBREAKING_PREFIXES[lang])
+    not_listed = f"(?!(?:{listed}){stop})" if listed else ""
+    return (rf"(?<![^ ])(?=[^ ]+{stop})(?!\.+(?: |\z)){not_listed}"
+            rf"(?![^ ]*\.[^ ]*[a-zA-Z][^ ]*{stop})(?![^ ]*[a-zA-Z][^ ]*\.[^ ]*{stop})"
+            r"([^ ]+)\.(?=\z| (?![0-9]))")
 
 
 def ptb_tokens(text: Column, lang: str = "en", ptb: bool = False) -> Column:
@@ -108,7 +110,8 @@ def ptb_tokens(text: Column, lang: str = "en", ptb: bool = False) -> Column:
     out = F.concat(F.lit(" "), strip(text), F.lit(" "))
     for pattern, replacement in rewrite_rules(lang, ptb):
         out = F.regexp_replace(out, pattern, replacement)
-    out = F.array_join(_split_final_dot(whitespace_tokens(out), lang), " ")
+    out = F.regexp_replace(strip(out), f"{WS}+", " ")
+    out = F.regexp_replace(out, _final_dot_pattern(lang), "$1 .")
     for pattern, replacement in CLOSING_RULES:
         out = F.regexp_replace(out, pattern, replacement)
     return whitespace_tokens(out)

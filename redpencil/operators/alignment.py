@@ -68,6 +68,16 @@ def _chunks(pairs, indexes, bands, costs):
         yield group, band
 
 
+def _needs_wider_band(total, n, m, band):
+    """Whether a path as cheap as ``total`` could leave the band: its insertions or deletions reach
+    at most half of total plus length difference off the diagonal."""
+    return (total + abs(m - n)) // 2 > band and band < max(n, m)
+
+
+def _wider_band(n, m, band):
+    return min(max(n, m), 2 * band)
+
+
 def lattices(pairs, sub_costs):
     """Yield (pair number, width, band, steps): steps[node] = [(from node, is_change, charge)].
 
@@ -83,9 +93,8 @@ def lattices(pairs, sub_costs):
             for g, p in enumerate(group):
                 n, m = len(pairs[p][0]), len(pairs[p][1])
                 total = int(cost[n, g, :, m - n + band].max())
-                # insertions (deletions) of a cheapest path reach at most this far off the diagonal
-                if (total + abs(m - n)) // 2 > band and band < max(n, m):
-                    bands[p] = min(max(n, m), max(2 * band, (total + abs(m - n)) // 2))
+                if _needs_wider_band(total, n, m, band):
+                    bands[p] = _wider_band(n, m, band)
                     retry.append(p)
                 else:
                     yield p, 2 * band + 1, band, _steps(cost[:, g], pairs[p], sub_costs, band)
@@ -333,5 +342,41 @@ def edit_spans(source_tokens: Column, hypothesis_tokens: Column, gold: Column |
 
     if gold is None:
         gold = F.lit(None)
-    return spans(source_tokens, hypothesis_tokens, gold.cast(
+    # not deterministic for the optimizer, so that filters on the result do not run the kernel twice
+    return spans.asNondeterministic()(source_tokens, hypothesis_tokens, gold.cast(
         "array<array<struct<start:int,end:int,corrections:array<string>>>>"))
+
+
+def distance_batch(left, right, cost_sub):
+    """Distances of one Arrow batch, null where a side is null."""
+    (lefts, rights), _ = _token_ids(left, right)
+    rows = [r for r, (s, t) in enumerate(zip(lefts, rights)) if s is not None and t is not None]
+    pairs = [(lefts[r], rights[r]) for r in rows]
+    result: list = [None] * len(lefts)
+    bands = [abs(len(s) - len(t)) + 4 for s, t in pairs]
+    waiting = list(range(len(pairs)))
+    while waiting:
+        retry = []
+        for group, band in _chunks(pairs, waiting, bands, 1):
+            cost = banded_costs([pairs[p] for p in group], (cost_sub,), band)
+            for g, p in enumerate(group):
+                n, m = len(pairs[p][0]), len(pairs[p][1])
+                total = int(cost[n, g, 0, m - n + band])
+                if _needs_wider_band(total, n, m, band):
+                    bands[p] = _wider_band(n, m, band)
+                    retry.append(p)
+                else:
+                    result[rows[p]] = total
+        waiting = retry
+    return pa.array(result, pa.int64())
+
+
+def token_distance(left: Column, right: Column, cost_sub: int = 2) -> Column:
+    """Edit distance of two token arrays with unit insertions and deletions."""
+    if cost_sub < 0:
+        raise ValueError("cost_sub must not be negative")
+
+    @F.arrow_udf("long")
+    def distance(left: pa.Array, right: pa.Array) -> pa.Array:
+        return distance_batch(left, right, cost_sub)
+    return distance(left, right)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from redpencil.functions.text import equal_ignoring_space_and_case
 from redpencil.functions.tokenizer import whitespace_tokens
 from redpencil.operators.alignment import edit_spans
+from redpencil.session import unnest
 
 EDIT = "struct<start:int,end:int,original:string,correction:string>"
 
@@ -56,7 +57,7 @@ def with_edits(df: DataFrame, source: str = "source", hypothesis: str = "hypothe
 
 def explode_edits(df: DataFrame, keys: list[str], edits: str = "edits") -> DataFrame:
     """Long edit table: ``keys, edit_pos, start, end, original, correction``."""
-    return df.select(*keys, F.posexplode(edits).alias("edit_pos", "e")).select(*keys, "edit_pos", "e.*")
+    return unnest(df, keys, edits, "e", "edit_pos").select(*keys, "edit_pos", "e.*")
 
 
 def extract_edits(df: DataFrame, keys: list[str], **options) -> DataFrame:
@@ -102,5 +103,5 @@ def align_to_gold(df: DataFrame, max_unchanged_words: int = 2, ignore_whitespace
 
 def extract_edits_vs_gold(df: DataFrame, keys: list[str], **options) -> DataFrame:
     """System edits per annotator: ``keys, annotator, edit_pos, start, end, original, correction``."""
-    rows = align_to_gold(df, **options).select(*keys, F.explode("alignments").alias("a"))
+    rows = unnest(align_to_gold(df, **options), keys, "alignments", "a")
     return explode_edits(rows.select(*keys, "a.annotator", "a.edits"), keys + ["annotator"])

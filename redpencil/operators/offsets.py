@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpencil.functions.tokenizer import ptb_tokens
+from redpencil.session import unnest
 
 
 def token_offset(sentence: Column, char_offset: Column) -> Column:
@@ -35,7 +36,7 @@ def convert_blocks(blocks: DataFrame, text: str = "text") -> DataFrame:
     corrections; other lines pass. Offsets refer to the nearest S line above.
     """
     keys = [c for c in blocks.columns if c != text]
-    lines = blocks.select(*keys, F.posexplode(F.split(text, "\n")).alias("_pos", "_line"), F.split(text, "\n").alias("_all"))
+    lines = unnest(blocks, [*keys, F.split(text, "\n").alias("_all")], F.split(text, "\n"), "_line", "_pos")
     # sentence above: last S line among the block's lines so far
     above = F.filter(F.slice("_all", F.lit(1), F.col("_pos") + 1), lambda x: x.startswith("S "))
     sentence_line = F.coalesce(F.try_element_at(above, F.lit(-1)), F.lit(""))

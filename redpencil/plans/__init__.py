@@ -1,0 +1,5 @@
+"""The registered queries: name -> (Spark query, equivalent SQL or None)."""
+
+from redpencil.plans import edit_queries, text_queries
+
+REGISTRY = {**text_queries.QUERIES, **edit_queries.QUERIES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,3 +56,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan with fewer splits than cores; larger scans stay as they are.
+
+    Only for plain scans: asking for the number of splits plans the scan and runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def unnest(df: DataFrame, keep: list, array: Column | str, item: str, pos: str | None = None) -> DataFrame:
+    """One row per array element. An outer explode, because a plain one makes the optimizer add a
+    filter on the array's size below, which computes the array twice."""
+    place = pos or f"_{item}_pos"
+    rows = df.select(*keep, F.posexplode_outer(array).alias(place, item)).where(F.col(place).isNotNull())
+    return rows if pos else rows.drop(place)

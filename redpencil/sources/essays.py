@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from redpencil.functions.text import WS
+from redpencil.session import unnest
 
 # Tags and attributes of an essay document.
 PROFILE_TAGS = ("MATRIC", "EMAIL", "NATIONALITY", "FIRST_LANGUAGE", "SCHOOL_LANGUAGE", "ENGLISH_TESTS")
@@ -42,11 +43,11 @@ def read_essays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def essay_mistakes(essays: DataFrame) -> DataFrame:
-    return essays.select("doc_id", F.explode("mistakes").alias("m")).select("doc_id", "m.*")
+    return unnest(essays, ["doc_id"], "mistakes", "m").select("doc_id", "m.*")
 
 
 def essay_paragraphs(essays: DataFrame) -> DataFrame:
-    return essays.select("doc_id", F.posexplode("paragraphs").alias("par", "text"))
+    return unnest(essays, ["doc_id"], "paragraphs", "text", "par")
 
 
 def essay_profiles(essays: DataFrame) -> DataFrame:

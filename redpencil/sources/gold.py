@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from redpencil.functions.text import WS, strip
 from redpencil.functions.tokenizer import whitespace_tokens
+from redpencil.session import unnest
 from redpencil.sources.lines import file_position, number_rows
 
 # Field layout of annotation lines.
@@ -30,14 +31,14 @@ class Gold:
     @property
     def edits(self) -> DataFrame:
         """Every annotation line, noop lines with span (-1, -1) included."""
-        return self.rows.select("sent_id", F.posexplode("annotations").alias("edit_pos", "a")).select(
+        return unnest(self.rows, ["sent_id"], "annotations", "a", "edit_pos").select(
             "sent_id", "a.annotator", "edit_pos", "a.start", "a.end", "a.etype", "a.original",
             "a.corrections", "a.required", "a.comment")
 
     @property
     def sets(self) -> DataFrame:
         """One row per sentence and annotator, also for empty edit sets."""
-        return self.rows.select("sent_id", F.explode("gold").alias("g")).select(
+        return unnest(self.rows, ["sent_id"], "gold", "g").select(
             "sent_id", "g.annotator", "g.edits")
 
 
@@ -91,7 +92,7 @@ def read_gold(spark: SparkSession, path: str) -> Gold:
         "_file", "_block", "texts", "block_tokens",
         F.when(bad, F.raise_error(F.concat(F.lit("not a gold block: "), "block")))
          .otherwise(F.transform(others, lambda x: _annotation(x, F.col("block_tokens")))).alias("annotations"))
-    rows = blocks.select("_file", "_block", "texts", "annotations", F.posexplode("texts").alias("pos", "source"))
+    rows = unnest(blocks, ["_file", "_block", "texts", "annotations"], "texts", "source", "pos")
     rows = rows.withColumn("limit", F.size(whitespace_tokens(
         F.array_join(F.slice("texts", F.lit(1), F.col("pos") + 1), " "))))
     rows = rows.select(
