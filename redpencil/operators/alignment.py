@@ -15,7 +15,9 @@ edits by last inner node. Only token positions leave the task; Spark builds the
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left, bisect_right
+from collections import Counter, deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,9 @@ from pyspark.sql import Column, functions as F
 
 FAR = 1 << 28
 EDIT_COST = 0.001       # fixed value: charge per edit; a matrix step costs 1
+ONE_EDIT = 1.0 + EDIT_COST
 CELLS_PER_CHUNK = 1 << 22
+DELETE, INSERT, KEPT = 4, 16, 64    # places of the move counts in a lattice node's number
 
 SPANS = "array<array<struct<start:int,end:int,hyp_start:int,hyp_end:int>>>"
 _SPAN_ARROW = pa.list_(pa.list_(pa.struct(
@@ -68,6 +72,15 @@ def _chunks(pairs, indexes, bands, costs):
         yield group, band
 
 
+def _first_bands(pairs):
+    """Starting bands: room for the tokens that occur on one side only, which no path can keep."""
+    bands = []
+    for s, t in pairs:
+        kept = (Counter(s) & Counter(t)).total()
+        bands.append(min(max(len(s), len(t)) + 1, max(len(s), len(t)) - kept + 4))
+    return bands
+
+
 def _needs_wider_band(total, n, m, band):
     """Whether a path as cheap as ``total`` could leave the band: its insertions or deletions reach
     at most half of total plus length difference off the diagonal."""
@@ -79,71 +92,74 @@ def _wider_band(n, m, band):
 
 
 def lattices(pairs, sub_costs):
-    """Yield (pair number, width, band, steps): steps[node] = [(from node, is_change, charge)].
-
-    Nodes are ``row * width + diagonal``, so numeric order is row-major order. The band doubles
-    until it provably holds every cheapest path of the pair.
-    """
-    bands = [abs(len(s) - len(t)) + 4 for s, t in pairs]
+    """Yield (pair number, band, lattice) with a band that provably holds every cheapest path."""
+    bands = _first_bands(pairs)
     waiting = list(range(len(pairs)))
     while waiting:
         retry = []
-        for group, band in _chunks(pairs, waiting, bands, len(sub_costs)):
-            cost = banded_costs([pairs[p] for p in group], sub_costs, band)
+        for group, band in _chunks(pairs, waiting, bands, 2 * len(sub_costs)):
+            members = [pairs[p] for p in group]
+            ahead = banded_costs(members, sub_costs, band)
+            behind = banded_costs([(s[::-1], t[::-1]) for s, t in members], sub_costs, band)
             for g, p in enumerate(group):
                 n, m = len(pairs[p][0]), len(pairs[p][1])
-                total = int(cost[n, g, :, m - n + band].max())
+                total = int(ahead[n, g, :, m - n + band].max())
                 if _needs_wider_band(total, n, m, band):
                     bands[p] = _wider_band(n, m, band)
                     retry.append(p)
                 else:
-                    yield p, 2 * band + 1, band, _steps(cost[:, g], pairs[p], sub_costs, band)
+                    yield p, band, _lattice(ahead[:n + 1, g], behind[:n + 1, g], pairs[p], sub_costs, band)
         waiting = retry
 
 
-def _steps(cost, pair, sub_costs, band):
-    src, hyp = pair
-    width = 2 * band + 1
-    at = cost.item
-    steps: dict[int, list] = {}
-    for layer, sub in enumerate(sub_costs):
-        todo, seen = [len(src) * width + len(hyp) - len(src) + band], set()
-        while todo:
-            node = todo.pop()
-            if node in seen:
-                continue
-            seen.add(node)
-            i, d = divmod(node, width)
-            j = i + d - band
-            here = at(i, layer, d)
-            into = steps.setdefault(node, [])
-            moves = []
-            if i and j:
-                same = src[i - 1] == hyp[j - 1]
-                if at(i - 1, layer, d) + (0 if same else sub) == here:
-                    moves.append((node - width, not same))
-            if i and d + 1 < width and at(i - 1, layer, d + 1) + 1 == here:
-                moves.append((node - width + 1, True))
-            if j and d and at(i, layer, d - 1) + 1 == here:
-                moves.append((node - 1, True))
-            for prev, change in moves:
-                for k, (known, _, charge) in enumerate(into):
-                    if known == prev:
-                        into[k] = (prev, change, charge + 1)
-                        break
-                else:
-                    into.append((prev, change, 1))
-                todo.append(prev)
-    for into in steps.values():
-        into.sort()
-    return steps
-
+def _lattice(ahead, behind, pair, sub_costs, band):
+    """{node: moves into it} for nodes ``row * width + diagonal`` on cheapest paths, in row-major order.
 
-def _walk_exists(steps, start, goal, max_unchanged):
+    A move is on a cheapest path when the cost before it, its own cost and the cost after it add up
+    to the distance. The moves of a node are one number, decoded by :func:`moves`.
+    """
+    src, hyp = pair
+    n, m, width = len(src), len(hyp), 2 * band + 1
+    after = np.full_like(ahead, FAR)
+    mirrored = behind[::-1, :, ::-1]
+    shift = m - n
+    if shift >= 0:
+        after[..., shift:] = mirrored[..., :width - shift]
+    else:
+        after[..., :shift] = mirrored[..., -shift:]
+    rest = ahead[n, :, shift + band][:, None] - after
+    padded = np.full(n + 2 * band + m + 1, -2, np.int32)
+    padded[band:band + m] = hyp
+    same = np.lib.stride_tricks.sliding_window_view(padded, width)[:n] == np.asarray(src, np.int32)[:, None]
+    code = np.zeros((n + 1, width), np.int16)
+    differ = np.where(same, 0, 1)[:, None, :] * np.asarray(sub_costs, np.int32)[None, :, None]
+    diagonal = (ahead[:-1] + differ == rest[1:]).sum(axis=1)
+    code[1:] = diagonal + np.where(same & (diagonal > 0), KEPT, 0)
+    code[1:, :-1] += ((ahead[:-1, :, 1:] + 1 == rest[1:, :, :-1]).sum(axis=1) * DELETE).astype(np.int16)
+    code[:, 1:] += ((ahead[:, :, :-1] + 1 == rest[:, :, 1:]).sum(axis=1) * INSERT).astype(np.int16)
+    flat = code.ravel()
+    nodes = np.flatnonzero(flat)
+    return {band: 0, **dict(zip(nodes.tolist(), flat[nodes].tolist()))}
+
+
+@lru_cache(maxsize=256)
+def moves(width):
+    """For each move number the moves into a node, by start node: (offset, is_change, charge). The
+    charge is the number of substitution costs for which the move is on a cheapest path."""
+    table = []
+    for number in range(2 * KEPT):
+        diagonal, deletion, insertion = number % DELETE, number // DELETE % DELETE, number // INSERT % DELETE
+        table.append([move for move in (
+            (-width, number < KEPT, diagonal), (-width + 1, True, deletion), (-1, True, insertion)) if move[2]])
+    return table
+
+
+def _walk_exists(lattice, nodes, into, start, goal, max_unchanged):
     """Whether start -> goal is one edit; also whether it holds any change."""
     reach = {start: (0, 0, False)}
-    for node in sorted(n for n in steps if start < n <= goal):
-        for prev, change, _ in steps[node]:
+    for node in nodes[bisect_right(nodes, start):bisect_right(nodes, goal)]:
+        for offset, change, _ in into[lattice[node]]:
+            prev = node + offset
             if prev in reach:
                 length, kept, changed = reach[prev]
                 option = (length + 1, kept + (not change), changed or change)
@@ -178,78 +194,105 @@ def _insertion_hits(arcs, golds):
     return hits
 
 
-def _gold_arcs(gold, pair, steps, width, band, max_unchanged):
-    """Lattice walks equal to a gold edit: {goal: [(start, has_change)]}."""
+def _gold_arcs(gold, pair, lattice, nodes, band, max_unchanged):
+    """Lattice walks equal to a gold edit: {goal: {(start, has_change)}}."""
     src, hyp = pair
-    node = lambda i, j: i * width + j - i + band
-    inside = lambda i, j: 0 <= j <= len(hyp) and 0 <= j - i + band < width and node(i, j) in steps
+    width = 2 * band + 1
+    into = moves(width)
     arcs: dict[int, set] = {}
     insertions: dict[int, list] = {}
+
+    def starts(row):
+        """The lattice nodes of a row with their hypothesis positions."""
+        first = row * width
+        for node in nodes[bisect_left(nodes, first):bisect_left(nodes, first + width)]:
+            yield node, node - first + row - band
+
     for start, end, alternatives in gold:
         if not 0 <= start <= end <= len(src):
             continue
         if start == end:
             insertions.setdefault(start, []).append([w for w in alternatives if w])
             continue
-        for words in alternatives:
-            for j in range(max(0, start - band), min(len(hyp) - len(words), start + band) + 1):
-                goal = j + len(words)
-                if inside(start, j) and inside(end, goal) and hyp[j:goal] == words:
-                    ok, changed = _walk_exists(steps, node(start, j), node(end, goal), max_unchanged)
+        for here, j in starts(start):
+            for words in alternatives:
+                last = j + len(words)
+                diagonal = last - end + band
+                there = end * width + diagonal
+                if 0 <= diagonal < width and there in lattice and hyp[j:last] == words:
+                    ok, changed = _walk_exists(lattice, nodes, into, here, there, max_unchanged)
                     if ok:
-                        arcs.setdefault(node(end, goal), set()).add((node(start, j), changed))
+                        arcs.setdefault(there, set()).add((here, changed))
     for row, golds in insertions.items():
         found = []
-        for j in range(max(0, row - band), min(len(hyp), row + band) + 1):
-            goal = j
-            while inside(row, goal + 1):
-                charge = next((c for p, _, c in steps[node(row, goal + 1)] if p == node(row, goal)), 0)
-                if not charge:
+        for here, j in starts(row):
+            there = here
+            while True:
+                charge = lattice.get(there + 1, 0) // INSERT % DELETE
+                if not charge or (there + 1) // width != row:
                     break
-                goal += 1
-                found += [(j, goal, hyp[j:goal])] * (charge if goal == j + 1 else 1)
-        for j, goal in _insertion_hits(found, golds):
-            arcs.setdefault(node(row, goal), set()).add((node(row, j), True))
+                there += 1
+                words = hyp[j:j + there - here]
+                found += [(here, there, words)] * (charge if there == here + 1 else 1)
+        for here, there in _insertion_hits(found, golds):
+            arcs.setdefault(there, set()).add((here, True))
     return arcs
 
 
-def best_spans(pair, steps, width, band, gold, max_unchanged):
+def best_spans(pair, lattice, nodes, band, gold, max_unchanged):
     """Edit spans (start, end, hyp_start, hyp_end) of the best sequence, in document order."""
     src, hyp = pair
-    arcs = _gold_arcs(gold, pair, steps, width, band, max_unchanged) if gold else {}
+    width = 2 * band + 1
+    into = moves(width)
+    arcs = _gold_arcs(gold, pair, lattice, nodes, band, max_unchanged) if gold else {}
     origin, goal = band, len(src) * width + len(hyp) - len(src) + band
-    # rank = (cost, round, longer edit?, last inner node, start node); `open_` holds unfinished
-    # edits per node as {(kept, stage): (cost, round, start, cost at start, steps)}, where stage 0
-    # has kept tokens only, 1 a single change, 2 more
     gold_bonus = 2.0 ** (2 * (len(src) + len(hyp)) + 2).bit_length()
+    # rank = (cost, round, longer edit?, last inner node, start node)
     rank = {origin: (0.0, 1, 0, -1, -1)}
     came = {origin: None}
-    open_: dict[int, dict] = {origin: {}}
-    for node in sorted(steps):
-        if node == origin:
+    # edits under way: node -> [(kept tokens, (cost, round, start, cost at start, steps))]; an edit with
+    # more kept tokens is listed only when it is better
+    under_way: dict[int, list] = {}
+    for node in nodes[1:]:
+        number = lattice[node]
+        if number > KEPT and number - KEPT < DELETE and node - width not in under_way and node not in arcs:
+            prev = node - width
+            cost, rnd, longer, _, _ = rank[prev]
+            rank[node], came[node] = (cost + 1.0, rnd + longer, 0, prev, prev), (prev, False)
             continue
         best, back, pending = None, None, {}
-        for prev, change, charge in steps[node]:
+        for offset, change, charge in into[number]:
+            prev = node + offset
             base, rnd, longer, _, _ = rank[prev]
-            weight = 1.0 if not change else 1.0 + EDIT_COST if charge == 1 else 1.0 + EDIT_COST + EDIT_COST
+            weight = 1.0 if not change else ONE_EDIT if charge == 1 else ONE_EDIT + EDIT_COST
             option = (base + weight, rnd + longer, 0, prev, prev)
             if best is None or option < best:
                 best, back = option, (prev, change)
-            if change or max_unchanged:
-                key, value = ((0, 1) if change else (1, 0)), (base + (1.0 + EDIT_COST), rnd, prev, base, 1.0)
-                if key not in pending or value < pending[key]:
-                    pending[key] = value
-            for (kept, stage), (_, rnd, start, base, length) in open_[prev].items():
+            grown = under_way.get(prev, ())
+            if change:
+                value = (base + ONE_EDIT, rnd, prev, base, 1.0)
+                if 0 not in pending or value < pending[0]:
+                    pending[0] = value
+                if max_unchanged and lattice[prev] >= KEPT:
+                    # edits that start with kept tokens right before this change
+                    grown, start = list(grown), prev
+                    for kept in range(1, max_unchanged + 1):
+                        if lattice[start] < KEPT:
+                            break
+                        start -= width
+                        grown.append((kept, (0.0, rank[start][1], start, rank[start][0], float(kept))))
+            for kept, (_, rnd, start, base, length) in grown:
                 if not change:
                     kept += 1
                     if kept > max_unchanged:
                         continue
-                key = (kept, 2 if change or stage else 0)
-                value = (base + (length + 1.0 + EDIT_COST), rnd, start, base, length + 1.0)
-                if key not in pending or value < pending[key]:
-                    pending[key] = value
-                if key[1] == 2:
-                    option = (value[0], rnd, 1, prev, start)
+                length += 1.0
+                cost = base + (length + EDIT_COST)
+                value = (cost, rnd, start, base, length)
+                if kept not in pending or value < pending[kept]:
+                    pending[kept] = value
+                if cost <= best[0]:
+                    option = (cost, rnd, 1, prev, start)
                     if option < best:
                         best, back = option, (start, True)
         for start, change in arcs.get(node, ()):
@@ -257,7 +300,14 @@ def best_spans(pair, steps, width, band, gold, max_unchanged):
             option = (base - gold_bonus, rnd, 1, start, start)
             if option < best:
                 best, back = option, (start, change)
-        rank[node], came[node], open_[node] = best, back, pending
+        rank[node], came[node] = best, back
+        if pending:
+            listed, top = [], None
+            for kept in sorted(pending) if len(pending) > 1 else pending:
+                if top is None or pending[kept] < top:
+                    top = pending[kept]
+                    listed.append((kept, top))
+            under_way[node] = listed
     spans, node = [], goal
     while came[node] is not None:
         start, change = came[node]
@@ -304,8 +354,8 @@ def align_batch(source, hypothesis, gold, max_unchanged, sub_costs):
             result[r] = [[] for _ in golds[r] or [None]]
         else:
             rows_of[numbers[(tuple(s), tuple(t))]].append(r)
-    for p, width, band, steps in lattices(pairs, sub_costs):
-        memo: dict = {}
+    for p, band, lattice in lattices(pairs, sub_costs):
+        memo, nodes = {}, list(lattice)
         for r in rows_of[p]:
             result[r] = []
             for gold_set in golds[r] or [[]]:
@@ -315,7 +365,7 @@ def align_batch(source, hypothesis, gold, max_unchanged, sub_costs):
                     for e in gold_set)
                 if edits not in memo:
                     listed = [(a, b, [list(c) for c in alts]) for a, b, alts in edits]
-                    memo[edits] = best_spans(pairs[p], steps, width, band, listed, max_unchanged)
+                    memo[edits] = best_spans(pairs[p], lattice, nodes, band, listed, max_unchanged)
                 result[r].append(memo[edits])
     return pa.array(
         [None if row is None else [[dict(zip(("start", "end", "hyp_start", "hyp_end"), s)) for s in spans]
@@ -353,7 +403,7 @@ def distance_batch(left, right, cost_sub):
     rows = [r for r, (s, t) in enumerate(zip(lefts, rights)) if s is not None and t is not None]
     pairs = [(lefts[r], rights[r]) for r in rows]
     result: list = [None] * len(lefts)
-    bands = [abs(len(s) - len(t)) + 4 for s, t in pairs]
+    bands = _first_bands(pairs)
     waiting = list(range(len(pairs)))
     while waiting:
         retry = []

@@ -27,7 +27,7 @@ def _known_sql(select: str, rest: str = "") -> str:
 
 
 def _edit_table(spark, sf):
-    return edits.extract_edits(_pairs(spark, sf, "grown"), ["sent_id"])
+    return edits.extract_edits(_pairs(spark, sf, "half"), ["sent_id"])
 
 
 def _edit_counts(spark, sf):
@@ -95,9 +95,7 @@ def _single(spark, sf, beta=0.5):
 
 def _aligned_single(spark, sf):
     rows = gold_rows(spark, sf)
-    # one set per sentence: annotator 0, empty where it marked nothing
-    first = F.filter("gold", lambda g: g["annotator"] == 0)
-    rows = rows.withColumn("gold", first).where(F.size("gold") == 1)
+    rows = rows.withColumn("gold", scoring.one_set(F.col("gold"), 0))
     systems = ("full", "half", "same")
     outputs = F.array(*(F.struct(F.lit(s).alias("system"), rewrite(F.col("tokens"), s).alias("text")) for s in systems))
     rows = unnest(rows, ["sent_id", "source", "gold"], outputs, "o").select(
@@ -109,8 +107,13 @@ _RATES = """CASE WHEN proposed = 0 THEN 1.0::DOUBLE ELSE correct::DOUBLE / propo
   CASE WHEN gold = 0 THEN 1.0::DOUBLE ELSE correct::DOUBLE / gold END AS r"""
 _FINAL = """CASE WHEN 0.25::DOUBLE * p + r = 0 THEN 0.0::DOUBLE
   ELSE 1.25::DOUBLE * p * r / (0.25::DOUBLE * p + r) END AS f"""
-_SINGLE = f"""{SCORED}, totals AS (SELECT system, sum(correct)::BIGINT AS correct, sum(proposed)::BIGINT AS proposed,
-  sum(gold)::BIGINT AS gold FROM counts WHERE annotator = 0 GROUP BY system),
+_FIRST = f"""{SCORED}, first AS (
+  SELECT y.system, o.sent_id, 0 AS annotator, o.all_ AS gold,
+         CASE y.system WHEN 'full' THEN o.all_ WHEN 'half' THEN o.subs ELSE 0 END AS proposed,
+         CASE y.system WHEN 'full' THEN o.all_ WHEN 'half' THEN o.subs ELSE 0 END AS correct
+  FROM ops o CROSS JOIN (SELECT unnest(['full', 'half', 'same']) AS system) y)"""
+_SINGLE = f"""{_FIRST}, totals AS (SELECT system, sum(correct)::BIGINT AS correct, sum(proposed)::BIGINT AS proposed,
+  sum(gold)::BIGINT AS gold FROM first GROUP BY system),
 rated AS (SELECT *, {_RATES} FROM totals), final AS (SELECT *, {_FINAL} FROM rated)"""
 
 # The running choice as one ordered fold per system.
@@ -205,7 +208,7 @@ QUERIES = {
     "f3_extract_edits": (
         _edit_table,
         _known_sql('sent_id, row_number() OVER (PARTITION BY sent_id ORDER BY i) - 1 AS edit_pos, start_ AS start, '
-                   'end_ AS "end", original, correction', "WHERE op <> 'del'")),
+                   'end_ AS "end", original, correction', "WHERE op = 'sub'")),
     "f4_extract_edits_vs_gold": (
         _vs_gold, f"""{_MATCHED} SELECT * FROM found"""),
     "f5_merged_edit_counts": (
@@ -259,7 +262,7 @@ QUERIES = {
               THEN (CASE WHEN correct = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE ELSE 2.0::DOUBLE * correct / (gold + proposed) END AS f FROM counts"""),
     "g9_sentence_scores": (
         lambda spark, sf: scoring.corpus_rates(scoring.sentence_counts(_aligned_single(spark, sf), ["system", "sent_id"])),
-        f"""{SCORED}, rated AS (SELECT *, {_RATES} FROM counts WHERE annotator = 0)
+        f"""{_FIRST}, rated AS (SELECT *, {_RATES} FROM first)
             SELECT system, sent_id, annotator, correct, proposed, gold, p, r, {_FINAL} FROM rated"""),
     "g10_corpus_precision_recall_f": (
         lambda spark, sf: _single(spark, sf).select("system", "p", "r", "f"), f"{_SINGLE} SELECT system, p, r, f FROM final"),

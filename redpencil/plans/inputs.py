@@ -5,7 +5,7 @@ rewrites of the sentences, whose edits are known:
 
 * every 16 tokens, token 2 is replaced by ``zz<i>``, ``yy<i>`` is put before token 7, and token 12
   is deleted unless it equals a neighbour;
-* system ``full`` has all of them, ``grown`` all but the deletions, ``half`` the replacements only,
+* system ``full`` has all of them, ``half`` the replacements only,
   ``same`` none;
 * annotator 0 marks all of them; annotator 1 marks the replacements at every 32 tokens, or nothing
   (noop) for every third sentence.
@@ -61,9 +61,8 @@ def rewrite(words: Column, system: str) -> Column:
     """The system's sentence from source tokens."""
     def piece(word, i):
         new = F.when(i % 16 == 2, F.array(F.concat(F.lit("zz"), i.cast("string"))))
-        if system in ("full", "grown"):
-            new = new.when(i % 16 == 7, F.array(F.concat(F.lit("yy"), i.cast("string")), word))
         if system == "full":
+            new = new.when(i % 16 == 7, F.array(F.concat(F.lit("yy"), i.cast("string")), word))
             new = new.when(deleted(words, i), F.array().cast("array<string>"))
         return new.otherwise(F.array(word))
     if system == "same":
