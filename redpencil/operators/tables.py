@@ -130,4 +130,4 @@ def collate(df: DataFrame, position: str, columns: list[str], batch_size: int) -
     """Rows to batches of ``batch_size`` positions, one list per column, in position order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_p"), *columns)))
     batches = df.groupBy(F.floor(F.col(position) / batch_size).alias("batch_id")).agg(rows.alias("rows"))
-    return batches.select("batch_id", *(F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in columns))
+    return batches.select("batch_id", *(F.col("rows")[c].alias(c) for c in columns))

@@ -137,6 +137,25 @@ folded AS (
     {{'c': 0::BIGINT, 'p': 0::BIGINT, 'g': 0::BIGINT}}) AS t
   FROM line GROUP BY system)"""
 
+# The same fold keeping every line's choice.
+_REPORT = f"""{_LINES.split("folded AS")[0].rstrip().rstrip(',')}, picked AS (
+  SELECT system, list(sent_id ORDER BY sent_id) AS ids, list_reduce(
+    list({{'c': c0::BIGINT, 'p': p0::BIGINT, 'g': g0::BIGINT, 'c0': c0::BIGINT, 'p0': p0::BIGINT, 'g0': g0::BIGINT,
+          'c1': c1::BIGINT, 'p1': p1::BIGINT, 'g1': g1::BIGINT}} ORDER BY sent_id),
+    lambda acc, x: {{'c': (acc.c + CASE WHEN {_SECOND} THEN x.c1 ELSE x.c0 END)::BIGINT,
+                    'p': (acc.p + CASE WHEN {_SECOND} THEN x.p1 ELSE x.p0 END)::BIGINT,
+                    'g': (acc.g + CASE WHEN {_SECOND} THEN x.g1 ELSE x.g0 END)::BIGINT,
+                    'picks': list_append(acc.picks, CASE WHEN {_SECOND} THEN 1 ELSE 0 END)}},
+    {{'c': 0::BIGINT, 'p': 0::BIGINT, 'g': 0::BIGINT, 'picks': []::INTEGER[]}}).picks AS picks
+  FROM line GROUP BY system),
+choice AS (SELECT system, unnest(ids) AS sent_id, unnest(picks) AS annotator FROM picked),
+ran AS (
+  SELECT k.system, k.sent_id, k.annotator, sum(n.correct) OVER w AS correct, sum(n.proposed) OVER w AS proposed, sum(n.gold) OVER w AS gold
+  FROM choice k JOIN counts n ON n.system = k.system AND n.sent_id = k.sent_id AND n.annotator = k.annotator
+  WINDOW w AS (PARTITION BY k.system ORDER BY k.sent_id))
+SELECT system, sent_id, annotator, correct::BIGINT AS correct, proposed::BIGINT AS proposed, gold::BIGINT AS gold, {_RATES},
+  {_F.format(c="correct::BIGINT", p="proposed::BIGINT", g="gold::BIGINT")} AS f FROM ran"""
+
 _SHRINK_HEAD = "coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda k: a[k] <> b[k]), true), least(len(a), len(b)) + 1) - 1"
 
 
@@ -176,12 +195,13 @@ _ADJACENT = f"""{BASE} SELECT sent_id, 0 AS annotator, i AS start, i + 1 AS "end
 
 
 def _reward_rows(spark, sf):
-    """Query: source is the 'half' rewrite, target the sentence; response: the 'full' rewrite and a tail line."""
+    """Query: source is the 'full' rewrite, target the sentence; response: the 'half' rewrite with two words
+    at its end, and a second line."""
     rows = sentences(spark, sf).withColumn("w", whitespace_tokens(F.col("source")))
     plain = F.array_join("w", " ")
     return rows.select(
-        F.col("sent_id").alias("row_id"), prompts.reward_query(rewrite(F.col("w"), "half"), plain).alias("query"),
-        F.concat(F.lit("Corrected"), rewrite(F.col("w"), "full"), F.lit(" x\nand more")).alias("response"))
+        F.col("sent_id").alias("row_id"), prompts.reward_query(rewrite(F.col("w"), "full"), plain).alias("query"),
+        F.concat(F.lit("Corrected"), rewrite(F.col("w"), "half"), F.lit(" qqq x\nand more")).alias("response"))
 
 
 _SIG = "1 - 1 / (1 + exp(-(-ln(1.0::DOUBLE / 0.666 - 1) / 3) * {a}))"
@@ -195,6 +215,20 @@ def _reward_formula(spark, sf):
     return counted.select("sent_id", F.round(rates.reward(source, F.col("output_edits")), 9).alias("reward"))
 
 
+def _token_edits(spark, sf):
+    """One edit per token: lower case, a space inside, or another word."""
+    words = unnest(sentences(spark, sf), ["sent_id"], whitespace_tokens(F.col("source")), "original", "i")
+    word = F.col("original")
+    fix = (F.when(F.col("i") % 3 == 0, F.lower(word))
+           .when(F.col("i") % 3 == 1, F.concat(F.substring(word, 1, 1), F.lit(" "), F.substring(word, F.lit(2), F.length(word))))
+           .otherwise(F.concat(F.lit("zz"), F.col("i").cast("string"))))
+    return words.select("sent_id", F.col("i").alias("start"), word, fix.alias("correction"))
+
+
+_TOKEN_EDITS = f"""{BASE}, pair AS (SELECT sent_id, i AS start, word AS original, CASE i % 3 WHEN 0 THEN lower(word)
+  WHEN 1 THEN left(word, 1) || ' ' || substr(word, 2) ELSE 'zz' || i END AS correction FROM known)"""
+
+
 QUERIES = {
     "f1_zip_lines": (
         lambda spark, sf: edits.zip_lines(
@@ -243,7 +277,7 @@ QUERIES = {
             unnest(_aligned_in_place(spark, sf, ("full",)), ["sent_id"], "alignments", "a"), ["sent_id", "a.annotator"],
             scoring.matched_in_order(F.col("a.edits"), F.col("a.gold")), "e").select("sent_id", "annotator", "e.*"),
         f"{_MATCHED} SELECT * FROM found"),
-    "g3_adjacent_matches": (_adjacent, None),
+    "g3_adjacent_matches": (_adjacent, _ADJACENT),
     "g4_sentence_counts": (
         lambda spark, sf: scoring.sentence_counts(_aligned(spark, sf), ["system", "sent_id"]),
         f"{SCORED} SELECT system, sent_id, annotator, correct, proposed, gold FROM counts"),
@@ -252,7 +286,7 @@ QUERIES = {
         _score,
         f"""{_LINES}, totals AS (SELECT system, t.c AS correct, t.p AS proposed, t.g AS gold FROM folded),
             rated AS (SELECT *, {_RATES} FROM totals) SELECT *, {_FINAL} FROM rated"""),
-    "g7_line_report": (_report, None),
+    "g7_line_report": (_report, _REPORT),
     "g8_rates": (
         lambda spark, sf: _counts(spark, sf).select(
             "system", "sent_id", "annotator", rates.precision(F.col("correct"), F.col("proposed")).alias("p"),
@@ -283,13 +317,11 @@ QUERIES = {
         lambda spark, sf: scoring.empty_sets(unnest(gold_rows(spark, sf), [], "gold", "g").select("g.*")),
         f"""{SCORED} SELECT annotator, count(*) AS sentences, count(*) FILTER (gold = 0) AS empty FROM sets GROUP BY annotator"""),
     "c3_drop_space_and_case_edits": (
-        lambda spark, sf: sampling.drop_space_and_case_edits(edits.extract_edits(
-            sentences(spark, sf).select("sent_id", "source", F.lower("source").alias("hypothesis")), ["sent_id"])),
-        f"{_known_sql('sent_id, i::INTEGER AS edit_pos, start_::INTEGER AS start, end_::INTEGER AS \"end\", original, correction', 'WHERE false')}"),
+        lambda spark, sf: sampling.drop_space_and_case_edits(_token_edits(spark, sf)),
+        f"{_TOKEN_EDITS} SELECT * FROM pair WHERE lower(replace(original, ' ', '')) <> lower(replace(correction, ' ', ''))"),
     "c4_drop_unchanged_edits": (
-        lambda spark, sf: sampling.drop_unchanged_edits(sentences(spark, sf).select(
-            "sent_id", F.col("source").alias("original"), rewrite(whitespace_tokens(F.col("source")), "same").alias("correction"))),
-        f"{BASE} SELECT sent_id, source AS original, array_to_string(w, ' ') AS correction FROM tok WHERE source <> array_to_string(w, ' ')"),
+        lambda spark, sf: sampling.drop_unchanged_edits(_token_edits(spark, sf)),
+        f"{_TOKEN_EDITS} SELECT * FROM pair WHERE original <> correction"),
     "c5_valid_gold_spans": (
         lambda spark, sf: unnest(gold_rows(spark, sf), ["sent_id", F.size("tokens").alias("n")], "annotations", "a")
         .where(sampling.valid_span(F.col("a.start"), F.col("a.end"), F.col("n"))).groupBy("sent_id").agg(F.count("*").alias("edits")),
@@ -306,9 +338,18 @@ QUERIES = {
     "h3_split_reward_query": (
         lambda spark, sf: _reward_rows(spark, sf).select("row_id", *(c.alias(n) for c, n in zip(
             prompts.split_reward_query(F.col("query")), ("source", "target")))),
-        f"""{BASE}, half AS (SELECT sent_id, string_agg(CASE WHEN op = 'sub' THEN 'zz' || i ELSE word END, ' ' ORDER BY i) AS text
-              FROM known GROUP BY sent_id)
+        f"""{BASE}, put AS (SELECT sent_id, i, CASE WHEN op = 'sub' THEN 'zz' || i WHEN op = 'ins' THEN 'yy' || i || ' ' || word
+              WHEN op = 'del' THEN NULL ELSE word END AS word FROM known),
+            hyp AS (SELECT sent_id, string_agg(word, ' ' ORDER BY i) AS text FROM put GROUP BY sent_id)
             SELECT t.sent_id AS row_id, coalesce(h.text, '') || ' ' AS source, array_to_string(w, ' ') AS target
-            FROM tok t LEFT JOIN half h ON h.sent_id = t.sent_id"""),
-    "h4_reward_table": (lambda spark, sf: rewards.reward_table(_reward_rows(spark, sf), ["row_id"]), None),
+            FROM tok t LEFT JOIN hyp h ON h.sent_id = t.sent_id"""),
+    "h4_reward_table": (
+        lambda spark, sf: rewards.reward_table(_reward_rows(spark, sf), ["row_id"]).withColumn("reward", F.round("reward", 9)),
+        # words appended right after a replaced last word belong to its edit
+        f"""{BASE}, half AS (SELECT sent_id, string_agg(CASE WHEN op = 'sub' THEN 'zz' || i ELSE word END, ' ' ORDER BY i) AS text
+              FROM known GROUP BY sent_id),
+            n AS (SELECT o.sent_id, all_ AS s, subs + CASE WHEN (n - 1) % 16 = 2 THEN 0 ELSE 1 END AS a, coalesce(text, '') AS text
+                  FROM ops o LEFT JOIN half h ON h.sent_id = o.sent_id)
+            SELECT sent_id AS row_id, s AS source_edits, a AS output_edits, round(CASE WHEN s = 0 THEN {_SIG.format(a="a")}
+              ELSE 1 - a::DOUBLE / s END, 9) AS reward, text || ' qqq x' AS normalized_response FROM n"""),
 }

@@ -30,8 +30,9 @@ def read_essays(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("TEXT.TITLE").isNotNull(), F.array("TEXT.TITLE")).otherwise(F.array().cast("array<string>")),
         F.coalesce("TEXT.P", F.array().cast("array<string>")))
     mistakes = F.flatten(F.transform(
-        F.coalesce("ANNOTATION", F.array().cast(dict(raw.dtypes)["ANNOTATION"])),
-        lambda a: F.transform(F.filter(a["MISTAKE"], lambda m: m.isNotNull()), lambda m: F.struct(
+        F.filter(F.coalesce("ANNOTATION", F.array().cast(dict(raw.dtypes)["ANNOTATION"])),
+                 lambda a: a["MISTAKE"].isNotNull()),
+        lambda a: F.transform(a["MISTAKE"], lambda m: F.struct(
             a["_teacher_id"].alias("teacher_id"), *(m[f"_{name}"].alias(name) for name in MISTAKE_ATTRIBUTES),
             _inner_text(m["TYPE"]).alias("type"), _inner_text(m["CORRECTION"]).alias("correction"),
             _inner_text(m["COMMENT"]).alias("comment")))))
