@@ -24,8 +24,11 @@ def _inner_text(text: Column) -> Column:
 
 def read_essays(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, attrs, paragraphs, mistakes`` plus the learner profile. Paragraph 0 is the title."""
-    raw = spark.read.format("xml").schema(ESSAY_SCHEMA).options(
-        rowTag="DOC", ignoreSurroundingSpaces="false", mode="FAILFAST").load(path)
+    # cut at the closing tag, so that big files split and several documents need no common root
+    ends = spark.read.text(path, lineSep="</DOC>").where(F.col("value").rlike(r"<DOC[\s>]"))
+    document = F.concat(F.regexp_extract("value", r"(?s)(<DOC[\s>].*)", 1), F.lit("</DOC>"))
+    raw = ends.select(F.from_xml(document, ESSAY_SCHEMA, {
+        "ignoreSurroundingSpaces": "false", "mode": "FAILFAST"}).alias("d")).select("d.*")
     paragraphs = F.concat(
         F.when(F.col("TEXT.TITLE").isNotNull(), F.array("TEXT.TITLE")).otherwise(F.array().cast("array<string>")),
         F.coalesce("TEXT.P", F.array().cast("array<string>")))

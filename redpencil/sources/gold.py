@@ -89,9 +89,10 @@ def read_gold(spark: SparkSession, path: str) -> Gold:
     blocks = blocks.withColumn("texts", F.transform(s_lines, lambda x: strip(F.substring(x, F.lit(3), F.length(x)))))
     blocks = blocks.withColumn("block_tokens", whitespace_tokens(F.array_join("texts", " ")))
     blocks = blocks.select(
-        "_file", "_block", "texts", "block_tokens",
-        F.when(bad, F.raise_error(F.concat(F.lit("not a gold block: "), "block")))
-         .otherwise(F.transform(others, lambda x: _annotation(x, F.col("block_tokens")))).alias("annotations"))
+        "_file", "_block",
+        F.when(bad, F.raise_error(F.concat(F.lit("not a gold block: "), "block"))).otherwise(F.col("texts")).alias("texts"),
+        F.transform(F.filter(others, lambda x: x.startswith("A ")),
+                    lambda x: _annotation(x, F.col("block_tokens"))).alias("annotations"))
     rows = unnest(blocks, ["_file", "_block", "texts", "annotations"], "texts", "source", "pos")
     rows = rows.withColumn("limit", F.size(whitespace_tokens(
         F.array_join(F.slice("texts", F.lit(1), F.col("pos") + 1), " "))))
