@@ -15,17 +15,13 @@ def changed_pairs(df: DataFrame) -> DataFrame:
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "pair_id", strict: bool = True) -> DataFrame:
     """The first ``n`` rows of a seeded order that depends on the keys only, not on partitions.
 
-    ``strict`` fails, as part of the query, when there are fewer than ``n`` rows.
+    ``strict`` fails when there are fewer than ``n`` rows. Each task keeps its own first ``n`` rows,
+    so only those are merged.
     """
+    if strict and df.select(key).limit(n).count() < n:
+        raise ValueError(f"sample of {n} rows asked for, fewer present")
     rank = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    sample = df.withColumn("_rank", rank).orderBy("_rank", key).limit(n)
-    if strict:
-        size = sample.agg(F.count("*").alias("_size"))
-        checked = size.select(F.when(F.col("_size") < n, F.raise_error(F.concat(
-            F.lit(f"sample of {n} rows asked for, only "), F.col("_size").cast("string"), F.lit(" present"))))
-            .otherwise(F.lit(0)).cast("int").alias("_ok"))
-        sample = sample.join(F.broadcast(checked), F.coalesce(F.col("_ok"), F.lit(0)) == 0)
-    return sample.drop("_rank", "_ok")
+    return df.withColumn("_rank", rank).orderBy("_rank", key).limit(n).drop("_rank")
 
 
 def drop_space_and_case_edits(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ BUCKET_ROWS = 1 << 16
 
 
 def _bucketed(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(order) / width))
+    return df.withColumn("_bucket", F.expr(f"`{order}` div {width}"))
 
 
 def _over_buckets(by: list[str]):
@@ -129,5 +129,5 @@ def frange(spark: SparkSession, start: float, end: float | None = None, inc: flo
 def collate(df: DataFrame, position: str, columns: list[str], batch_size: int) -> DataFrame:
     """Rows to batches of ``batch_size`` positions, one list per column, in position order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_p"), *columns)))
-    batches = df.groupBy(F.floor(F.col(position) / batch_size).alias("batch_id")).agg(rows.alias("rows"))
+    batches = df.groupBy(F.expr(f"`{position}` div {batch_size}").alias("batch_id")).agg(rows.alias("rows"))
     return batches.select("batch_id", *(F.col("rows")[c].alias(c) for c in columns))

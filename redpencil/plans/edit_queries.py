@@ -54,6 +54,10 @@ def _counts(spark, sf, **options):
     return scoring.sentence_counts(_aligned_in_place(spark, sf, **options), ["system", "sent_id"])
 
 
+def _options(spark, sf):
+    return scoring.sentence_options(_aligned_in_place(spark, sf), ["system", "sent_id"])
+
+
 def _vs_gold(spark, sf):
     aligned = _aligned_in_place(spark, sf, ("full",))
     rows = unnest(aligned, ["sent_id"], "alignments", "a").select("sent_id", "a.annotator", "a.edits", "a.gold")
@@ -79,11 +83,11 @@ def _semi_join(spark, sf):
 
 
 def _score(spark, sf):
-    return scoring.corpus_totals(_counts(spark, sf), segment_rows=SEGMENT)
+    return scoring.corpus_totals(_options(spark, sf), segment_rows=SEGMENT)
 
 
 def _report(spark, sf):
-    return scoring.choose_annotators(_counts(spark, sf), segment_rows=SEGMENT)
+    return scoring.choose_annotators(_options(spark, sf), segment_rows=SEGMENT)
 
 
 def _single(spark, sf, beta=0.5):
