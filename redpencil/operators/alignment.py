@@ -27,6 +27,7 @@ from pyspark.sql import Column, functions as F
 FAR = 1 << 28
 EDIT_COST = 0.001       # fixed value: charge per edit; a matrix step costs 1
 ONE_EDIT = 1.0 + EDIT_COST
+FIRST = (float("inf"),)
 CELLS_PER_CHUNK = 1 << 22
 DELETE, INSERT, KEPT = 4, 16, 64    # places of the move counts in a lattice node's number
 
@@ -260,19 +261,20 @@ def best_spans(pair, lattice, nodes, band, gold, max_unchanged):
             cost, rnd, longer, _, _ = rank[prev]
             rank[node], came[node] = (cost + 1.0, rnd + longer, 0, prev, prev), (prev, False)
             continue
-        best, back, pending = None, None, {}
+        best, back, least, pending = FIRST, None, FAR, [None] * (max_unchanged + 1)
         for offset, change, charge in into[number]:
             prev = node + offset
             base, rnd, longer, _, _ = rank[prev]
-            weight = 1.0 if not change else ONE_EDIT if charge == 1 else ONE_EDIT + EDIT_COST
-            option = (base + weight, rnd + longer, 0, prev, prev)
-            if best is None or option < best:
-                best, back = option, (prev, change)
+            cost = base + (1.0 if not change else ONE_EDIT if charge == 1 else ONE_EDIT + EDIT_COST)
+            if cost <= least:
+                option = (cost, rnd + longer, 0, prev, prev)
+                if option < best:
+                    best, back, least = option, (prev, change), cost
             grown = under_way.get(prev, ())
             if change:
-                value = (base + ONE_EDIT, rnd, prev, base, 1.0)
-                if 0 not in pending or value < pending[0]:
-                    pending[0] = value
+                cost, old = base + ONE_EDIT, pending[0]
+                if old is None or cost < old[0] or cost == old[0] and (rnd, prev) < old[1:3]:
+                    pending[0] = (cost, rnd, prev, base, 1.0)
                 if max_unchanged and lattice[prev] >= KEPT:
                     # edits that start with kept tokens right before this change
                     grown, start = list(grown), prev
@@ -285,28 +287,27 @@ def best_spans(pair, lattice, nodes, band, gold, max_unchanged):
                 if not change:
                     kept += 1
                     if kept > max_unchanged:
-                        continue
+                        break
                 length += 1.0
-                cost = base + (length + EDIT_COST)
-                value = (cost, rnd, start, base, length)
-                if kept not in pending or value < pending[kept]:
-                    pending[kept] = value
-                if cost <= best[0]:
+                cost, old = base + (length + EDIT_COST), pending[kept]
+                if old is None or cost < old[0] or cost == old[0] and (rnd, start) < old[1:3]:
+                    pending[kept] = (cost, rnd, start, base, length)
+                if cost <= least:
                     option = (cost, rnd, 1, prev, start)
                     if option < best:
-                        best, back = option, (start, True)
+                        best, back, least = option, (start, True), cost
         for start, change in arcs.get(node, ()):
             base, rnd, longer, _, _ = rank[start]
             option = (base - gold_bonus, rnd, 1, start, start)
             if option < best:
                 best, back = option, (start, change)
         rank[node], came[node] = best, back
-        if pending:
-            listed, top = [], None
-            for kept in sorted(pending) if len(pending) > 1 else pending:
-                if top is None or pending[kept] < top:
-                    top = pending[kept]
-                    listed.append((kept, top))
+        listed, top = [], None
+        for kept, value in enumerate(pending):
+            if value is not None and (top is None or value < top):
+                top = value
+                listed.append((kept, value))
+        if listed:
             under_way[node] = listed
     spans, node = [], goal
     while came[node] is not None:
