@@ -32,8 +32,6 @@ CELLS_PER_CHUNK = 1 << 22
 DELETE, INSERT, KEPT = 4, 16, 64    # places of the move counts in a lattice node's number
 
 SPANS = "array<array<struct<start:int,end:int,hyp_start:int,hyp_end:int>>>"
-_SPAN_ARROW = pa.list_(pa.list_(pa.struct(
-    [("start", pa.int32()), ("end", pa.int32()), ("hyp_start", pa.int32()), ("hyp_end", pa.int32())])))
 
 
 def banded_costs(pairs, sub_costs, band):
@@ -327,50 +325,76 @@ def _token_ids(*columns):
     words = {w: k for k, w in enumerate(flat.dictionary.to_pylist())}
     out, base = [], 0
     for column in columns:
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
         valid, lists = column.is_valid().to_pylist(), []
-        for size, ok in zip(sizes, valid):
+        for size, ok in zip(_sizes(column), valid):
             lists.append(codes[base:base + size] if ok else None)
             base += size
         out.append(lists)
     return out, words
 
 
+def _sizes(lists):
+    return pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+
+
+def _gold_sets(gold):
+    """Per row the gold sets as tuples of (start, end, corrections)."""
+    sets = gold.flatten()
+    starts, ends, corrections = (part.to_pylist() for part in sets.flatten().flatten())
+    edits = list(zip(starts, ends, map(tuple, corrections)))
+    listed, base = [], 0
+    for size in _sizes(sets):
+        listed.append(tuple(edits[base:base + size]))
+        base += size
+    rows, base = [], 0
+    for size in _sizes(gold):
+        rows.append(listed[base:base + size])
+        base += size
+    return rows
+
+
+def _pack_spans(result):
+    """Rows of span lists (or None) as one Arrow array."""
+    sets, spans, flat = [0], [0], []
+    for row in result:
+        for found in row or ():
+            flat.extend(found)
+            spans.append(len(flat))
+        sets.append(len(spans) - 1)
+    columns = np.array(flat, np.int32).reshape(-1, 4)
+    structs = pa.StructArray.from_arrays(
+        [pa.array(columns[:, k]) for k in range(4)], ["start", "end", "hyp_start", "hyp_end"])
+    inner = pa.ListArray.from_arrays(pa.array(spans, pa.int32()), structs)
+    return pa.ListArray.from_arrays(
+        pa.array(sets, pa.int32()), inner, mask=pa.array([row is None for row in result], pa.bool_()))
+
+
 def align_batch(source, hypothesis, gold, max_unchanged, sub_costs):
     """One Arrow batch: per row the spans for each gold set (one empty set when gold is null)."""
     (sources, hyps), words = _token_ids(source, hypothesis)
-    golds = gold.to_pylist()
-    distinct: dict = {}
-    for s, t in zip(sources, hyps):
-        if s is not None and t is not None and s != t:
-            distinct.setdefault((tuple(s), tuple(t)), (s, t))
-    numbers = {key: p for p, key in enumerate(distinct)}
-    pairs = list(distinct.values())
-    rows_of: list[list[int]] = [[] for _ in pairs]
+    golds = _gold_sets(gold)
+    rows_of: dict = {}
     result: list = [None] * len(sources)
     for r, (s, t) in enumerate(zip(sources, hyps)):
         if s is None or t is None:
             continue
         if s == t:
-            result[r] = [[] for _ in golds[r] or [None]]
+            result[r] = [[] for _ in golds[r] or (None,)]
         else:
-            rows_of[numbers[(tuple(s), tuple(t))]].append(r)
+            rows_of.setdefault((tuple(s), tuple(t)), []).append(r)
+    pairs = [(sources[rows[0]], hyps[rows[0]]) for rows in rows_of.values()]
+    members = list(rows_of.values())
     for p, band, lattice in lattices(pairs, sub_costs):
         memo, nodes = {}, list(lattice)
-        for r in rows_of[p]:
+        for r in members[p]:
             result[r] = []
-            for gold_set in golds[r] or [[]]:
-                edits = tuple(
-                    (e["start"], e["end"], tuple(
-                        tuple(words.get(w, -1) for w in c.split(" ")) if c else () for c in e["corrections"]))
-                    for e in gold_set)
+            for edits in golds[r] or ((),):
                 if edits not in memo:
-                    listed = [(a, b, [list(c) for c in alts]) for a, b, alts in edits]
-                    memo[edits] = best_spans(pairs[p], lattice, nodes, band, listed, max_unchanged)
+                    coded = [(start, end, [[words.get(w, -1) for w in c.split(" ")] if c else [] for c in corrections])
+                             for start, end, corrections in edits]
+                    memo[edits] = best_spans(pairs[p], lattice, nodes, band, coded, max_unchanged)
                 result[r].append(memo[edits])
-    return pa.array(
-        [None if row is None else [[dict(zip(("start", "end", "hyp_start", "hyp_end"), s)) for s in spans]
-                                   for spans in row] for row in result], _SPAN_ARROW)
+    return _pack_spans(result)
 
 
 def edit_spans(source_tokens: Column, hypothesis_tokens: Column, gold: Column | None = None,
