@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpencil.llm import packing, sentencepiece_codec, sharding
+from redpencil.llm import line_dedup, packing, sentencepiece_codec, sharding
 from redpencil.llm.common import table
 
 
@@ -40,8 +40,40 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents, with the earliest equal or nearly equal line."""
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+# One edit in lines of m characters, or m and one more, leaves the first or the last m // 2 characters alone.
+OP9_LINES = """lines AS (
+  SELECT doc_id, line_no, body, CASE WHEN doc_id IS NOT NULL AND body <> '' THEN
+         doc_id::HUGEINT * 10000000000 + line_no END AS place
+  FROM (SELECT doc_id, (k - 1)::INTEGER AS line_no, trim(line, ' ' || chr(9) || chr(13)) AS body FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS k FROM {docs}))),
+firsts AS (SELECT body, min(place) AS first, length(body) AS n FROM lines WHERE place IS NOT NULL GROUP BY body),
+halves AS (
+  SELECT body, n, first, unnest(['p' || m || left(body, m // 2), 's' || m || right(body, m // 2)]) AS half
+  FROM (SELECT *, unnest([n, n - 1]) AS m FROM firsts WHERE n >= 20) WHERE m >= 20),
+met AS (SELECT DISTINCT x.body, x.n, y.body AS other, y.n AS other_n, y.first AS near
+  FROM halves x JOIN halves y ON x.half = y.half AND y.first < x.first AND x.body <> y.body),
+close AS (SELECT body, min(near) AS near FROM met WHERE CASE
+    WHEN n = other_n THEN len(list_filter(range(n), lambda p: body[p + 1] <> other[p + 1])) = 1
+    WHEN n = other_n + 1 THEN len(list_filter(range(n), lambda p: left(body, p) || substr(body, p + 2) = other)) > 0
+    WHEN n + 1 = other_n THEN len(list_filter(range(other_n), lambda p: left(other, p) || substr(other, p + 2) = body)) > 0
+    ELSE false END GROUP BY body),
+found AS (
+  SELECT l.doc_id, l.line_no, CASE WHEN least(near, first) < place THEN least(near, first) END AS of_place, first
+  FROM lines l LEFT JOIN firsts f ON l.body = f.body AND l.place IS NOT NULL LEFT JOIN close c ON f.body = c.body)"""
+OP9 = f"""WITH {OP9_LINES.format(docs='documents')}
+SELECT doc_id, line_no, of_place IS NULL AS kept, (of_place // 10000000000)::BIGINT AS of_doc_id,
+       (of_place % 10000000000)::INTEGER AS of_line_no,
+       CASE WHEN of_place = first THEN 0 WHEN of_place IS NOT NULL THEN 1 END::INTEGER AS edits FROM found"""
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op6_packing": (op6_packing, None),
     "op8_sharding": (op8_sharding, None),
+    "op9_line_dedup": (op9_line_dedup, OP9),
 }
