@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpencil.llm import line_dedup, packing, sentencepiece_codec, sharding
+from redpencil.llm import line_dedup, odd_sketch, packing, sentencepiece_codec, sharding
 from redpencil.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over two-word shingles at a similarity of 0.8."""
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False)
@@ -73,6 +78,7 @@ SELECT doc_id, line_no, of_place IS NULL AS kept, (of_place // 10000000000)::BIG
 
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op4_odd_sketch": (op4_odd_sketch, None),
     "op6_packing": (op6_packing, None),
     "op8_sharding": (op8_sharding, None),
     "op9_line_dedup": (op9_line_dedup, OP9),
