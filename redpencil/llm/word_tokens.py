@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Words that a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class WordEncoder:
@@ -23,18 +22,21 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {"": b""}
+        self.earlier: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
         found = list(map(self.words.get, words))
         if None in found:
-            missing = list(dict.fromkeys(w for w, x in zip(words, found) if x is None))
-            if len(self.words) + len(missing) > REMEMBERED:
-                self.words = {"": b""}
-            new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(
-                missing, self.tokenizer.encode_batch(missing, add_special_tokens=False))}
-            found = [new[w] if x is None else x for w, x in zip(words, found)]
-            self.words.update((w, x) for w, x in new.items() if len(w) <= 64)
+            if len(self.words) > REMEMBERED:
+                self.earlier, self.words = self.words, {"": b""}
+            earlier = self.earlier
+            unseen = {w: earlier.get(w) for w, x in zip(words, found) if x is None}
+            missing = [w for w, x in unseen.items() if x is None]
+            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+                unseen[w] = array("I", e.ids).tobytes()
+            found = [unseen[w] if x is None else x for w, x in zip(words, found)]
+            self.words.update((w, x) for w, x in unseen.items() if len(w) <= 64)
         return b"".join(found)
 
 
