@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from redpencil.llm import line_dedup, odd_sketch, packing, sentencepiece_codec, sharding
+from redpencil.llm import line_dedup, odd_sketch, packing, pii, sentencepiece_codec, sharding, toxicity
 from redpencil.llm.common import table
 
 
@@ -29,12 +29,33 @@ def op4_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii.detect(docs)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in pii.KINDS]
+    return rows.select(F.col("_row.doc_id").alias("doc_id"), *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+                       pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False)
     return pieces.drop("ids")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by a model of the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs, model).select("doc_id", F.col("toxicity.score").alias("score"))
+    return rows.select("doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 SHARDS = 40
 
 
@@ -79,7 +100,9 @@ SELECT doc_id, line_no, of_place IS NULL AS kept, (of_place // 10000000000)::BIG
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op4_odd_sketch": (op4_odd_sketch, None),
+    "op5_pii": (op5_pii, None),
     "op6_packing": (op6_packing, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op8_sharding": (op8_sharding, None),
     "op9_line_dedup": (op9_line_dedup, OP9),
 }
