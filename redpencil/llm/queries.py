@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from redpencil.llm import line_dedup, odd_sketch, packing, pii, sentencepiece_codec, sharding, toxicity
+from redpencil.llm import embedding_join, line_dedup, maxscore, odd_sketch, packing, pii, sentencepiece_codec, sharding, toxicity
 from redpencil.llm.common import table
 
 
@@ -24,6 +24,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of a label at a cosine of 0.93."""
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# Vectors that are null, empty, zero or not finite throughout link with nothing.
+OP3 = """WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM v
+  WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+link AS (SELECT a.vec_id AS p, b.vec_id AS q FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / a.norm / b.norm >= 0.93),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.q FROM reach r JOIN link l ON l.p = r.other)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE p = v.vec_id) AS n_links, r.component_id, r.component_id = v.vec_id AS kept
+FROM v JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) r ON v.vec_id = r.vec_id"""
+
+
 def op4_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over two-word shingles at a similarity of 0.8."""
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
@@ -71,6 +88,26 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
 
 
+TOP = 20
+
+
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    whole = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where("embedding IS NOT NULL").where(whole).select("vec_id", maxscore.integers(F.col("embedding")).alias("embedding"))
+    return maxscore.top_k(rows, rows.where("vec_id % 20 = 0"), TOP)
+
+
+OP10 = """WITH v AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(c * 64)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 # One edit in lines of m characters, or m and one more, leaves the first or the last m // 2 characters alone.
 OP9_LINES = """lines AS (
   SELECT doc_id, line_no, body, CASE WHEN doc_id IS NOT NULL AND body <> '' THEN
@@ -99,10 +136,12 @@ SELECT doc_id, line_no, of_place IS NULL AS kept, (of_place // 10000000000)::BIG
 
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op3_subspace_join": (op3_subspace_join, OP3),
     "op4_odd_sketch": (op4_odd_sketch, None),
     "op5_pii": (op5_pii, None),
     "op6_packing": (op6_packing, None),
     "op7_toxicity": (op7_toxicity, None),
     "op8_sharding": (op8_sharding, None),
     "op9_line_dedup": (op9_line_dedup, OP9),
+    "op10_maxscore": (op10_maxscore, OP10),
 }
