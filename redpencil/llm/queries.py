@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from redpencil.llm import embedding_join, line_dedup, maxscore, odd_sketch, packing, pii, sentencepiece_codec, sharding, toxicity
+from redpencil.llm import embedding_join, line_dedup, maxscore, odd_sketch, packing, pii, sentencepiece_codec, sharding, toxicity, warc
 from redpencil.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings of a label at a cosine of 0.93."""
     return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -136,6 +141,7 @@ SELECT doc_id, line_no, of_place IS NULL AS kept, (of_place // 10000000000)::BIG
 
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op2_warc": (op2_warc, None),
     "op3_subspace_join": (op3_subspace_join, OP3),
     "op4_odd_sketch": (op4_odd_sketch, None),
     "op5_pii": (op5_pii, None),
