@@ -26,26 +26,29 @@ BLANKS = " \t\r"
 
 
 def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, line_no, body``: every line, without blanks at its ends."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", F.btrim("line", F.lit(BLANKS)).alias("body"))
+    """``doc_id, line_no, body, n``: every line, without blanks at its ends, and its characters.
+
+    Lines are trimmed and measured below the explode; above it, the optimizer would do so at each use.
+    """
+    trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
+    measured = F.transform(trimmed, lambda x: F.struct(x.alias("body"), F.length(x).alias("n")))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(measured).alias("line_no", "line"))
+    return rows.select("doc_id", "line_no", "line.body", "line.n")
 
 
 def keyed(lines: DataFrame) -> DataFrame:
     """Lines that can be repeated, with 128 bits of their text and their place in the order of all lines."""
     place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(31,0)")
     return lines.where("doc_id IS NOT NULL AND body <> ''").select(
-        F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), place.alias("place"), "body")
+        F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), place.alias("place"), "body", "n")
 
 
-def segments(body: Column) -> Column:
+def segments(body: Column, n: Column) -> Column:
     """``role, number, start, width, context`` of each segment, as part of the line and of one shorter by a character.
 
     Role 0 takes the line as the shorter or equal one of a pair, role 1 as the one with an inserted character: its
     segments are one character longer than those of the line without it, and what lies around them is the same.
     """
-    n = F.length(body)
-
     def of(role: int) -> Column:
         base = n - role
         width = F.when(base > 2 * SEGMENT, SEGMENT).otherwise(F.ceil(base / 2)).cast("int")
@@ -106,8 +109,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def earlier_neighbours(own: DataFrame, first: DataFrame) -> DataFrame:
     """``h1, h2, near``: for different lines, the earliest first place of a line that is one edit away, if earlier."""
-    long_enough = own.where(F.length("body") >= MIN_CHARS)
-    parts = long_enough.select("h1", "h2", F.explode(segments(F.col("body"))).alias("s"))
+    long_enough = own.where(F.col("n") >= MIN_CHARS)
+    parts = long_enough.select("h1", "h2", F.explode(segments(F.col("body"), F.col("n"))).alias("s"))
     contexts = parts.select(F.col("s.context").alias("context"), "h1", "h2", F.col("s.role").alias("role"), F.col("s.start").alias("start"))
     # surroundings that at least two different lines share
     shared = contexts.groupBy("context").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
@@ -116,10 +119,12 @@ def earlier_neighbours(own: DataFrame, first: DataFrame) -> DataFrame:
     wanted = busy.join(first, ["h1", "h2"])
     texts = long_enough.join(wanted.withColumnRenamed("first", "place"), ["h1", "h2", "place"])
     texts = materialize(texts.dropDuplicates(["h1", "h2"]), "busy-lines")
-    active = texts.select("place", "body", F.explode(F.filter(segments(F.col("body")), lambda s: F.exists(
-        F.col("busy"), lambda b: (b["role"] == s["role"]) & (b["start"] == s["start"])))).alias("s"))
-    part = F.substring(F.col("body"), F.col("s.start") + 1, F.col("s.width"))
-    keys = active.select("place", F.col("s.context").alias("context"), F.explode(variants(part, F.col("s.role"))).alias("v"))
+    wanted = F.filter(segments(F.col("body"), F.col("n")), lambda s: F.exists(
+        F.col("busy"), lambda b: (b["role"] == s["role"]) & (b["start"] == s["start"])))
+    active = texts.select("place", F.explode(F.transform(wanted, lambda s: F.struct(
+        s["role"].alias("role"), s["context"].alias("context"),
+        F.substring(F.col("body"), s["start"] + 1, s["width"]).alias("part")))).alias("s"))
+    keys = active.select("place", F.col("s.context").alias("context"), F.explode(variants(F.col("s.part"), F.col("s.role"))).alias("v"))
     keys = keys.select("context", F.col("v.key").alias("key"), F.col("v.side").alias("side"), "place")
     # at most a line for each character that can stand at a place, however often the lines occur
     equal = Window.partitionBy("context", "key")

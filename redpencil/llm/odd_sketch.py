@@ -106,7 +106,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
-def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def sketched(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """``doc_id, n_shingles, same, digest, bands, sketch``; ``same`` is equal for equal sets, ``digest`` for equal texts."""
     import hashlib
 
@@ -116,7 +116,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             for at in range(0, len(texts), 256):
                 sizes, same, digests, bands, sketches = [], [], [], [], []
                 for t in texts[at:at + 256].to_pylist():
-                    s = shingles(t)
+                    s = shingles(t, words)
                     digests.append(hashlib.md5((t or "").encode()).digest())
                     sizes.append(len(s))
                     same.append(hashlib.md5(s.tobytes()).digest())
@@ -134,24 +134,26 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         run, "doc_id long, n_shingles long, same binary, digest binary, bands array<long>, sketch array<long>")
 
 
-@F.arrow_udf(BooleanType())
-def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether the full shingle sets of two texts are similar enough."""
-    out, last, first = [], None, None
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        if x != last or first is None:
-            last, first = x, shingles(x)
-        other = shingles(y)
-        both = len(np.intersect1d(first, other, assume_unique=True))
-        out.append(100 * both >= SIMILARITY * (len(first) + len(other) - both))
-    return pa.array(out, pa.bool_())
+def linked(a: str, b: str, words: int) -> Column:
+    """Whether the full shingle sets of the texts in two columns are similar enough."""
+    @F.arrow_udf(BooleanType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, last, first = [], None, None
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            if x != last or first is None:
+                last, first = x, shingles(x, words)
+            other = shingles(y, words)
+            both = len(np.intersect1d(first, other, assume_unique=True))
+            out.append(100 * both >= SIMILARITY * (len(first) + len(other) - both))
+        return pa.array(out, pa.bool_())
+    return run(a, b)
 
 
 def differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs ``a, b`` that are linked: by sizes and sketches first, then on the full sets."""
     one = sketches.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     two = sketches.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
@@ -161,7 +163,7 @@ def confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFram
     first = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     both = near.join(first, "a").join(second, "b")
-    return materialize(both.where(linked("ta", "tb")).select("a", "b"), "confirmed")
+    return materialize(both.where(linked("ta", "tb", words)).select("a", "b"), "confirmed")
 
 
 def with_component(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def compare_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per document.
 
     Documents with enough shingles in common are linked; a component is what links reach, named by its smallest id,
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     row without id is linked with nothing and its ``component_id`` and ``kept`` are null. Of rows that repeat an id
     with other texts one is compared with others, and what it is linked with counts for all of them. An empty table gives no rows. Other columns are not read.
     """
-    own = materialize(sketched(docs, doc_id, text), "sketches")
+    own = materialize(sketched(docs, doc_id, text, words), "sketches")
     usable = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("same").agg(F.min("doc_id").alias("rep"))
     one = Window.partitionBy("rep").orderBy("same", "digest")        # more than a row only where ids repeat
@@ -257,12 +259,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("digest"))
     texts = materialize(texts.join(mates, ["rep", "digest"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
 
-    links = confirm(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")), sketches, texts)
+    links = confirm(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")), sketches, texts, words)
     busy = with_component(members, components(links))
     pairs = busy.where("component <> last_component").select(F.col("last").alias("a"), F.col("rep").alias("b"))
-    links = links.union(confirm(pairs, sketches, texts))
+    links = links.union(confirm(pairs, sketches, texts, words))
     busy = with_component(busy, components(links))
-    links = links.union(confirm(compare_blocks(busy, sketches), sketches, texts))
+    links = links.union(confirm(compare_blocks(busy, sketches), sketches, texts, words))
     found = components(links)
 
     named = classes.join(found, classes.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("component"))
@@ -271,8 +273,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.select("doc_id", "n_shingles", linked_id.alias("component_id"), (F.col("doc_id") == linked_id).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """The documents that are kept, with all their columns; rows without id stay."""
-    gone = near_duplicates(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, doc_id, text, words).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     rows = docs.select(F.struct("*").alias("_row")).join(gone, F.col(f"_row.{doc_id}").cast("long") == F.col("_gone"), "left_anti")
     return rows.select(*(F.col(f"_row.{c}") for c in docs.columns))
