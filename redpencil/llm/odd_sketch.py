@@ -7,8 +7,8 @@ texts are read. What remains is confirmed on the full sets.
 
 Only one document of each different set takes part. Bands hold a third of them at worst, so pairs within a band are
 not emitted: every document is first compared with the band's smallest, then with its largest; documents that are
-still in different components are compared by their sketches alone, in blocks of ``CHUNK``, and only pairs that pass
-go on. What is in one component needs no more comparisons, so no link between components is lost.
+still in different components meet in blocks of ``CHUNK``, first by their sketches, then those that pass by their texts, and
+only links leave the task. What is in one component needs no more comparisons, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SIMILARITY = 80                  # percent of the union
 ROWS, BANDS = 4, 36              # a pair at the bound shares no band with probability (1 - 0.8 ** 4) ** 36 < 1e-8
 SAMPLES = ROWS * BANDS
 SKETCH_LONGS = 16                # 1024 bits
-CHUNK = 512
+CHUNK = 256
 REMEMBERED = 500_000
 _RANDOM = np.random.default_rng(20240917)
 FACTORS = _RANDOM.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,65 +175,110 @@ def with_component(members: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(rows.join(busy.where("low <> high"), "band").drop("high"), "members")
 
 
-def compare_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` within a band and of different components whose sizes and sketches are near.
+def meetings(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``meeting, rep, component, n_shingles, sketch, bands, band``: who is compared with whom within bands.
 
     A band's members are dealt to chunks: those of its smallest component, and the others. Chunks of others meet each
-    other and those of the smallest component; only sketches move, and no task holds more than two chunks at a time.
+    other and those of the smallest component, so no meeting has more than about two chunks.
     """
     stats = members.groupBy("band").agg(F.count(F.when(F.col("component") == F.col("low"), 1)).alias("n0"),
                                         F.count(F.when(F.col("component") != F.col("low"), 1)).alias("n1"))
     k0, k1 = (F.ceil(F.col(n) / CHUNK).cast("int") for n in ("n0", "n1"))
-    rows = members.join(stats, "band").join(sketches.select("rep", "n_shingles", "sketch"), "rep")
+    rows = members.join(stats, "band").join(sketches.select("rep", "n_shingles", "sketch", "bands"), "rep")
     lowest = F.col("component") == F.col("low")
-    chunk = F.pmod(F.xxhash64("rep"), F.when(lowest, k0).otherwise(k1)).cast("int")
-    rows = rows.withColumn("chunk", chunk)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.when(lowest, k0).otherwise(k1)).cast("int"))
 
     def meeting(kind: int, i: Column, j: Column) -> Column:
-        return F.struct(F.xxhash64("band", F.lit(kind), i, j).alias("meeting"))
+        return F.xxhash64("band", F.lit(kind), i, j)
     with_rest = F.transform(F.sequence(F.lit(0), k1 - 1), lambda j: meeting(0, F.col("chunk"), j))
     with_low = F.transform(F.sequence(F.lit(0), k0 - 1), lambda i: meeting(0, i, F.col("chunk")))
     among = F.transform(F.sequence(F.lit(0), k1 - 1), lambda j: meeting(1, F.least(j, F.col("chunk")), F.greatest(j, F.col("chunk"))))
-    rows = rows.withColumn("m", F.explode(F.when(lowest, with_rest).otherwise(F.concat(with_low, F.when(F.col("n1") > 1, among).otherwise(F.array())))))
-    blocks = rows.select("m.meeting", "rep", "component", "n_shingles", "sketch")
-    blocks = blocks.repartition("meeting").sortWithinPartitions("meeting")
+    rows = rows.withColumn("meeting", F.explode(F.when(lowest, with_rest).otherwise(
+        F.concat(with_low, F.when(F.col("n1") > 1, among).otherwise(F.array())))))
+    return rows.select("meeting", "rep", "component", "n_shingles", "sketch", "bands", "band")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables that hold all rows of their keys, from batches sorted by key."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch])
+        held = held if rest is None else pa.concat_tables([rest, held])
+        group = held.column(key).to_numpy()
+        start = int(np.searchsorted(group, group[-1])) if len(group) else 0
+        if start:
+            yield held.slice(0, start)
+        rest = held.slice(start)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _matrix(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
+    return pa.concat_arrays(column.chunks).flatten().to_numpy().view(kind).reshape(-1, width)
+
+
+def near_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one meeting and different components that are near by sizes and sketches, and whose first common
+    band is that of the meeting, so that each pair is looked at once."""
+    group, component, size, band = (table.column(c).to_numpy() for c in ("meeting", "component", "n_shingles", "band"))
+    sketch, bands = _matrix(table.column("sketch"), SKETCH_LONGS, np.uint64), _matrix(table.column("bands"), BANDS, np.int64)
     bits = 2 * most_differing()
-
-    def near(table: pa.Table) -> pa.RecordBatch:
-        group, rep, component, size = (table.column(c).to_numpy() for c in ("meeting", "rep", "component", "n_shingles"))
-        sketch = table.column("sketch").combine_chunks()
-        flat = (pa.concat_arrays(sketch.chunks) if isinstance(sketch, pa.ChunkedArray) else sketch).flatten()
-        sketch = flat.to_numpy().view(np.uint64).reshape(len(rep), SKETCH_LONGS)
-        found_a, found_b, at, step = [], [], np.arange(len(rep)), 1
-        while len(at):
-            at = at[at + step < len(rep)]
-            at = at[group[at] == group[at + step]]         # sorted, so whoever has no partner here has none farther on
-            to = at + step
-            ok = component[at] != component[to]
-            a, b = at[ok], to[ok]
-            ok = 100 * np.minimum(size[a], size[b]) >= SIMILARITY * np.maximum(size[a], size[b])
-            a, b = a[ok], b[ok]
-            ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= bits
-            found_a.append(rep[a[ok]])
-            found_b.append(rep[b[ok]])
-            step += 1
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch])
-            held = held if rest is None else pa.concat_tables([rest, held])
-            group = held.column("meeting").to_numpy()
-            start = int(np.searchsorted(group, group[-1])) if len(group) else 0
-            if start:
-                yield near(held.slice(0, start))
-            rest = held.slice(start)
-        if rest is not None and len(rest):
-            yield near(rest)
-    return blocks.mapInArrow(run, "a long, b long")
+    found_a, found_b, at, step = [], [], np.arange(len(group)), 1
+    while len(at):
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]         # sorted, so whoever has no partner here has none farther on
+        a = at[component[at] != component[at + step]]
+        b = a + step
+        ok = 100 * np.minimum(size[a], size[b]) >= SIMILARITY * np.maximum(size[a], size[b])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= bits
+        a, b = a[ok], b[ok]
+        first = (bands[a] == bands[b]).argmax(axis=1)
+        ok = bands[a, first] == band[a]
+        found_a.append(a[ok])
+        found_b.append(b[ok])
+        step += 1
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, int), np.empty(0, int))
+
+
+def links_within_bands(members: DataFrame, sketches: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Links ``a, b`` that join components among the members of bands, at most one less than a meeting's rows.
+
+    The first pass compares sketches and names the rows that are near another one; only their texts come to the
+    second, which compares the same pairs on the full sets. No pair leaves a task but as a link.
+    """
+    met = materialize(meetings(members, sketches), "meetings")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "meeting"):
+            rows = np.unique(np.concatenate(near_rows(table)))
+            yield pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[rows]) for c in ("meeting", "rep")], names=["meeting", "rep"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "meeting"):
+            rep, text = table.column("rep").to_pylist(), table.column("text")
+            sets, forest, out = {}, {}, []
+
+            def root(x: int) -> int:
+                while forest.setdefault(x, x) != x:
+                    x = forest[x]
+                return x
+            component = table.column("component").to_pylist()
+            for i, j in zip(*(x.tolist() for x in near_rows(table))):
+                p, q = root(component[i]), root(component[j])
+                if p == q:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingles(text[k].as_py(), words)
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
+                    forest[max(p, q)] = min(p, q)
+                    out.append((rep[i], rep[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    near = met.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(name, "meeting long, rep long").distinct()
+    known = met.join(near, ["meeting", "rep"]).join(texts, "rep")
+    return materialize(known.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(verify, "a long, b long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -264,7 +309,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = busy.where("component <> last_component").select(F.col("last").alias("a"), F.col("rep").alias("b"))
     links = links.union(confirm(pairs, sketches, texts, words))
     busy = with_component(busy, components(links))
-    links = links.union(confirm(compare_blocks(busy, sketches), sketches, texts, words))
+    links = links.union(links_within_bands(busy, sketches, texts, words))
     found = components(links)
 
     named = classes.join(found, classes.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("component"))
