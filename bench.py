@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from redpencil.plans import REGISTRY  # noqa: E402
-from redpencil.session import build_session  # noqa: E402
+from redpencil.session import SPREAD, build_session  # noqa: E402
 
 HEADLINE = [
     "b1_sft_text", "c1_changed_pairs", "c2_seeded_sample_sft", "d12_sft_answer_llama", "d12_sft_answer_mpt",
@@ -24,7 +24,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": cpus, SPREAD: "true", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("OFF")
     names = sys.argv[1:] or HEADLINE

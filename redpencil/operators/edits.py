@@ -46,13 +46,18 @@ def with_edits(df: DataFrame, source: str = "source", hypothesis: str = "hypothe
     prepared = df.withColumn("_src", F.when(differs, src)).withColumn("_hyp", F.when(differs, hyp))
     spans = edit_spans(F.col("_src"), F.col("_hyp"), None, max_unchanged_words, lattice)
     aligned = prepared.withColumn("_spans", spans)
-    edits = F.transform(F.element_at("_spans", 1), lambda s: _edit(s, F.col("_src"), F.col("_hyp")))
+    edits = edits_of(F.col("_spans"), F.col("_src"), F.col("_hyp"), ignore_whitespace_casing)
+    both = F.col(source).isNotNull() & F.col(hypothesis).isNotNull()
+    return aligned.select(*df.columns, F.when(both, edits).alias(name))
+
+
+def edits_of(spans: Column, source: Column, hypothesis: Column, ignore_whitespace_casing: bool = False) -> Column:
+    """The edits of an aligned pair's token arrays that change something; none without an alignment."""
+    edits = F.transform(F.element_at(spans, 1), lambda s: _edit(s, source, hypothesis))
     edits = F.filter(edits, lambda e: e["original"] != e["correction"])
     if ignore_whitespace_casing:
         edits = F.filter(edits, lambda e: ~equal_ignoring_space_and_case(e["original"], e["correction"]))
-    empty = F.array().cast(f"array<{EDIT}>")
-    both = F.col(source).isNotNull() & F.col(hypothesis).isNotNull()
-    return aligned.select(*df.columns, F.when(both, F.coalesce(edits, empty)).alias(name))
+    return F.coalesce(edits, F.array().cast(f"array<{EDIT}>"))
 
 
 def explode_edits(df: DataFrame, keys: list[str], edits: str = "edits") -> DataFrame:

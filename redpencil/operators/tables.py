@@ -126,6 +126,15 @@ def frange(spark: SparkSession, start: float, end: float | None = None, inc: flo
     return spark.range(count + 1).select("id", value.alias("value")).where(inside)
 
 
+def frange_rows(df: DataFrame, end: Column, inc: float = 1.0) -> DataFrame:
+    """Each row with the values 0.0, inc, ... short of its ``end``, as ``value``; ``inc`` is above 0."""
+    if inc <= 0:
+        raise ValueError("inc must be above 0")
+    steps = F.ceil(end / inc).cast("long")
+    counted = df.withColumn("value", F.explode(F.when(steps > 0, F.sequence(F.lit(0).cast("long"), steps - 1))))
+    return counted.withColumn("value", F.col("value") * F.lit(float(inc)))
+
+
 def collate(df: DataFrame, position: str, columns: list[str], batch_size: int) -> DataFrame:
     """Rows to batches of ``batch_size`` positions, one list per column, in position order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_p"), *columns)))

@@ -54,16 +54,13 @@ def _counts(spark, sf, **options):
     return scoring.sentence_counts(_aligned_in_place(spark, sf, **options), ["system", "sent_id"])
 
 
-def _options(spark, sf):
-    return scoring.sentence_options(_aligned_in_place(spark, sf), ["system", "sent_id"])
-
-
 def _vs_gold(spark, sf):
-    aligned = _aligned_in_place(spark, sf, ("full",))
-    rows = unnest(aligned, ["sent_id"], "alignments", "a").select("sent_id", "a.annotator", "a.edits", "a.gold")
-    hit = unnest(rows, ["sent_id", "annotator", "gold"], "edits", "e").where(
-        F.exists("gold", lambda g: scoring.edit_matches(F.col("e"), g)))
-    return hit.select("sent_id", "annotator", "e.*")
+    """Every edit of the 'full' system for each annotator, without merging."""
+    rows = hypotheses(spark, sf, ("full",)).join(gold_rows(spark, sf).select("sent_id", "source", "gold"), "sent_id")
+    found = edits.extract_edits_vs_gold(rows, ["sent_id"], max_unchanged_words=0)
+    # where words repeat, an edit can stand at more than one place; its text is the same
+    return found.groupBy("sent_id", "annotator").agg(
+        F.count("*").alias("edits"), F.array_join(F.array_sort(F.collect_list("correction")), "|").alias("corrections"))
 
 
 _MATCHED = f"""{SCORED}, found AS (
@@ -83,28 +80,15 @@ def _semi_join(spark, sf):
 
 
 def _score(spark, sf):
-    return scoring.corpus_totals(_options(spark, sf), segment_rows=SEGMENT)
+    return scoring.score(hypotheses(spark, sf), gold_rows(spark, sf), segment_rows=SEGMENT)
 
 
 def _report(spark, sf):
-    return scoring.choose_annotators(_options(spark, sf), segment_rows=SEGMENT)
+    return scoring.line_report(hypotheses(spark, sf), gold_rows(spark, sf), segment_rows=SEGMENT)
 
 
 def _single(spark, sf, beta=0.5):
-    rows = _aligned_single(spark, sf)
-    counts = scoring.sentence_counts(rows, ["system", "sent_id"])
-    totals = counts.groupBy("system").agg(*(F.sum(c).alias(c) for c in scoring.COUNTS))
-    return scoring.corpus_rates(totals, beta)
-
-
-def _aligned_single(spark, sf):
-    rows = gold_rows(spark, sf)
-    rows = rows.withColumn("gold", scoring.one_set(F.col("gold"), 0))
-    systems = ("full", "half", "same")
-    outputs = F.array(*(F.struct(F.lit(s).alias("system"), rewrite(F.col("tokens"), s).alias("text")) for s in systems))
-    rows = unnest(rows, ["sent_id", "source", "gold"], outputs, "o").select(
-        "o.system", "sent_id", "o.text", "source", "gold")
-    return edits.align_to_gold(rows, lattice="single")
+    return scoring.score_single(hypotheses(spark, sf), gold_rows(spark, sf), beta=beta)
 
 
 _RATES = """CASE WHEN proposed = 0 THEN 1.0::DOUBLE ELSE correct::DOUBLE / proposed END AS p,
@@ -248,7 +232,9 @@ QUERIES = {
         _known_sql('sent_id, row_number() OVER (PARTITION BY sent_id ORDER BY i) - 1 AS edit_pos, start_ AS start, '
                    'end_ AS "end", original, correction', "WHERE op = 'sub'")),
     "f4_extract_edits_vs_gold": (
-        _vs_gold, f"""{_MATCHED} SELECT * FROM found"""),
+        _vs_gold, f"""{SCORED} SELECT e.sent_id, s.annotator, count(*) AS edits,
+              string_agg(correction, '|' ORDER BY correction) AS corrections
+            FROM edit e JOIN sets s ON e.sent_id = s.sent_id GROUP BY ALL"""),
     "f5_merged_edit_counts": (
         lambda spark, sf: edits.edit_count(_pairs(spark, sf), "source", "hypothesis", "edits", max_unchanged_words=2)
         .select("sent_id", "edits"),
@@ -299,7 +285,7 @@ QUERIES = {
         f"""{SCORED} SELECT system, sent_id, annotator, {_RATES}, CASE WHEN gold + proposed = 0
               THEN (CASE WHEN correct = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE ELSE 2.0::DOUBLE * correct / (gold + proposed) END AS f FROM counts"""),
     "g9_sentence_scores": (
-        lambda spark, sf: scoring.corpus_rates(scoring.sentence_counts(_aligned_single(spark, sf), ["system", "sent_id"])),
+        lambda spark, sf: scoring.sentence_scores(hypotheses(spark, sf), gold_rows(spark, sf)),
         f"""{_FIRST}, rated AS (SELECT *, {_RATES} FROM first)
             SELECT system, sent_id, annotator, correct, proposed, gold, p, r, {_FINAL} FROM rated"""),
     "g10_corpus_precision_recall_f": (

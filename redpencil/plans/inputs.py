@@ -21,7 +21,7 @@ from redpencil.session import spread, unnest
 from redpencil.sources.gold import NOOP, gold_sets
 
 PIECE = r"\n|\. "
-IDS_PER_DOC = 100_000     # sentence ids: document id, then the place in the document
+IDS_PER_DOC = 1 << 31     # more than the elements of an array: sentence ids are document id, then place in it
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -163,6 +163,9 @@ RESPONSES = f"""WITH {SENTENCES}, resp AS (SELECT sent_id, source, CASE pos % 5
        || '  ' || source || '  ' || chr(10) || 'more' END AS raw FROM sent)"""
 
 
+TURNS = 1 << 31           # pair ids: conversation id, then the turn
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """``pair_id, source, target``: a user turn and the assistant turn after it, null when missing.
 
@@ -172,15 +175,16 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     users = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
     answers = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    pair_id = F.col("conv_id") * 1000 + F.col("turn")
+    pair_id = F.col("conv_id") * TURNS + F.when(F.col("turn").between(0, TURNS - 1), F.col("turn")).otherwise(
+        F.raise_error(F.lit("turn out of range")).cast("long"))
     target = F.when(pair_id % 7 == 0, None).when(pair_id % 5 == 0, F.col("source")).otherwise(F.col("answer"))
     return users.join(answers, ["conv_id", "turn"], "left").select(pair_id.alias("pair_id"), "source", target.alias("target"))
 
 
-CORPUS = """corpus AS (
-  SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS source,
-         CASE WHEN (u.conv_id * 1000 + u.turn) % 7 = 0 THEN NULL
-              WHEN (u.conv_id * 1000 + u.turn) % 5 = 0 THEN u.text ELSE a.text END AS target
+CORPUS = f"""corpus AS (
+  SELECT u.conv_id * {TURNS} + u.turn AS pair_id, u.text AS source,
+         CASE WHEN (u.conv_id * {TURNS} + u.turn) % 7 = 0 THEN NULL
+              WHEN (u.conv_id * {TURNS} + u.turn) % 5 = 0 THEN u.text ELSE a.text END AS target
   FROM conversations u LEFT JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
   WHERE u.role = 'user')"""

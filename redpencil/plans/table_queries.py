@@ -11,6 +11,7 @@ from redpencil.functions.tokenizer import whitespace_tokens
 from redpencil.operators import edits, offsets, sampling, tables
 from redpencil.plans.edit_queries import _pairs
 from redpencil.plans.inputs import (
+    TURNS,
     BASE, CORPUS, SCORED, SENTENCES, corpus, gold_rows, sentences, sql_strip, sql_tokens, table)
 from redpencil.plans.text_queries import sql_ptb_tokens
 from redpencil.session import new_path, unnest
@@ -136,14 +137,14 @@ def _vectors(spark, sf):
 
 def _batches(spark, sf):
     pairs = corpus(spark, sf).where("target is not null")
-    placed = tables.prefix_sum(pairs, F.lit(1), "place", "pair_id").withColumn("place", F.col("place") - 1)
+    placed = tables.prefix_sum(pairs, F.lit(1), "place", "pair_id", width=TURNS * 20_000).withColumn("place", F.col("place") - 1)
     return tables.collate(placed, "place", ["source", "target"], 4)
 
 
 def _grid(spark, sf):
-    """A grid from 0 to the number of events in steps of 0.5."""
-    top = table(spark, sf, "events").count()
-    return tables.frange(spark, 0, top, 0.5).select("value")
+    """For each user a grid from 0 to the number of their events in steps of 0.5."""
+    counts = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return tables.frange_rows(counts, F.col("n"), 0.5).select("user_id", "value")
 
 
 def _convert_blocks(spark, sf):
@@ -269,7 +270,8 @@ QUERIES = {
            e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM v)
            SELECT vec_id, dim, round(e / sum(e) OVER (PARTITION BY vec_id), 9) AS p FROM e"""),
     "i10_frange": (
-        _grid, "SELECT k * 0.5::DOUBLE AS value FROM (SELECT unnest(range((SELECT 2 * count(*) FROM events))) AS k)"),
+        _grid, """SELECT user_id, k * 0.5::DOUBLE AS value
+                  FROM (SELECT user_id, unnest(range(2 * count(*))) AS k FROM events GROUP BY user_id)"""),
     "j2_custom_key_and_joiner": (
         lambda spark, sf: tables.blocks(
             sentences(spark, sf).select("doc_id", "pos", "source"), F.length("source") < 20, "pos", "source", by=["doc_id"], joiner=" / "),

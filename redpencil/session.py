@@ -58,11 +58,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SPREAD = "redpencil.spread.scans"
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a scan with fewer splits than cores; larger scans stay as they are.
+    """With the session setting ``SPREAD``, use all cores on a scan with fewer splits than cores.
 
-    Only for plain scans: asking for the number of splits plans the scan and runs nothing.
+    For files of one row group on one machine; without the setting a scan stays as it is.
     """
+    if scan.sparkSession.conf.get(SPREAD, "false") != "true":
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 

@@ -11,6 +11,9 @@ from redpencil.session import unnest
 PROFILE_TAGS = ("MATRIC", "EMAIL", "NATIONALITY", "FIRST_LANGUAGE", "SCHOOL_LANGUAGE", "ENGLISH_TESTS")
 MISTAKE_ATTRIBUTES = ("start_par", "start_off", "end_par", "end_off")
 
+STRAY_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+ATTRIBUTE = r"([\w:.-]+)\s*=\s*\"([^\"]*)\""
+
 ESSAY_SCHEMA = (
     "_nid long, " + ", ".join(f"{tag} string" for tag in PROFILE_TAGS) + ", TEXT struct<TITLE:string,P:array<string>>, "
     "ANNOTATION array<struct<_teacher_id:int,MISTAKE:array<struct<"
@@ -23,12 +26,20 @@ def _inner_text(text: Column) -> Column:
 
 
 def read_essays(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, attrs, paragraphs, mistakes`` plus the learner profile. Paragraph 0 is the title."""
+    """``doc_id, attrs, paragraphs, mistakes``, the learner profile and ``error``. Paragraph 0 is the title.
+
+    ``attrs`` holds all attributes of the document. An ampersand that begins no entity is text. A
+    document that can't be read keeps its markup in ``error``, which is null otherwise.
+    """
     # cut at the closing tag, so that big files split and several documents need no common root
     ends = spark.read.text(path, lineSep="</DOC>").where(F.col("value").rlike(r"<DOC[\s>]"))
     document = F.concat(F.regexp_extract("value", r"(?s)(<DOC[\s>].*)", 1), F.lit("</DOC>"))
-    raw = ends.select(F.from_xml(document, ESSAY_SCHEMA, {
-        "ignoreSurroundingSpaces": "false", "mode": "FAILFAST"}).alias("d")).select("d.*")
+    document = F.regexp_replace(document, STRAY_AMPERSAND, "&amp;")
+    tag = F.regexp_extract(document, r"\A<DOC([^>]*)>", 1)
+    attributes = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    raw = ends.select(F.map_from_arrays(*attributes).alias("_attrs"), F.from_xml(document, f"{ESSAY_SCHEMA}, _error string", {
+        "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_error"}).alias("d"))
+    raw = raw.select("_attrs", "d.*")
     paragraphs = F.concat(
         F.when(F.col("TEXT.TITLE").isNotNull(), F.array("TEXT.TITLE")).otherwise(F.array().cast("array<string>")),
         F.coalesce("TEXT.P", F.array().cast("array<string>")))
@@ -41,9 +52,10 @@ def read_essays(spark: SparkSession, path: str) -> DataFrame:
             _inner_text(m["COMMENT"]).alias("comment")))))
     return raw.select(
         F.col("_nid").alias("doc_id"),
-        F.create_map(F.lit("nid"), F.col("_nid").cast("string")).alias("attrs"),
+        F.col("_attrs").alias("attrs"),
         F.transform(paragraphs, lambda p: _inner_text(F.coalesce(p, F.lit("")))).alias("paragraphs"),
-        mistakes.alias("mistakes"), *(_inner_text(F.col(tag)).alias(tag.lower()) for tag in PROFILE_TAGS))
+        mistakes.alias("mistakes"), *(_inner_text(F.col(tag)).alias(tag.lower()) for tag in PROFILE_TAGS),
+        F.col("_error").alias("error"))
 
 
 def essay_mistakes(essays: DataFrame) -> DataFrame:

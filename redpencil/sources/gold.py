@@ -130,7 +130,7 @@ def annotation_line(start: Column, end: Column, etype: Column, correction: Colum
 
 def _write_blocks(df: DataFrame, lines: Column, path: str, single_file: bool) -> None:
     block = df.select("sent_id", F.array_join(lines, "\n").alias("value"))
-    block = (block.coalesce(1).sortWithinPartitions("sent_id") if single_file else block.orderBy("sent_id"))
+    block = (block.repartition(1).sortWithinPartitions("sent_id") if single_file else block.orderBy("sent_id"))
     block.select("value").write.text(path, lineSep="\n\n")
 
 

@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from redpencil.session import materialize, shared_dir, spread
+from redpencil.session import SPREAD, materialize, shared_dir, spread
 from redpencil.operators.edits import with_edits
 from redpencil.sources import essays, gold, lines
 
@@ -105,6 +105,17 @@ def test_edit_file(spark, tmp_path):
     assert text == "S a b c\nT a x\nA 1 3|||UNK|||x|||REQUIRED|||-NONE-|||0\n\nS same\nT same\n\n"
 
 
+def test_essays_that_are_no_clean_markup(spark, tmp_path):
+    (tmp_path / "e.sgml").write_text("""<DOC nid="1" place="Q &amp; A"><TEXT><P>rock & roll, R&D</P></TEXT></DOC>
+<DOC nid="2"><TEXT><P>never closed</TEXT></DOC>
+<DOC nid="3"><TEXT><P>fine</P></TEXT></DOC>
+""")
+    rows = sorted(essays.read_essays(spark, str(tmp_path / "e.sgml")).collect(), key=lambda r: r.attrs["nid"])
+    assert [r.attrs["nid"] for r in rows] == ["1", "2", "3"] and rows[0].attrs["place"] == "Q &amp; A"
+    assert rows[0].paragraphs == ["rock & roll, R&D"] and rows[2].paragraphs == ["fine"]
+    assert [r.error is None for r in rows] == [True, False, True]
+
+
 def test_essays(spark, tmp_path):
     (tmp_path / "e.sgml").write_text("""<DOC nid="7">
 <MATRIC>M1</MATRIC><EMAIL>e@x</EMAIL><NATIONALITY>N</NATIONALITY>
@@ -140,4 +151,10 @@ def test_shared_folder_and_datasets(spark, tmp_path):
     assert materialize(df, "t").count() == 5
     lines.save_dataset(df, str(tmp_path / "d"))
     assert lines.load_dataset(spark, str(tmp_path / "d")).count() == 5
-    assert spread(lines.load_dataset(spark, str(tmp_path / "d")).coalesce(1)).rdd.getNumPartitions() == 4
+    one = lines.load_dataset(spark, str(tmp_path / "d")).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == 1
+    spark.conf.set(SPREAD, "true")
+    try:
+        assert spread(one).rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.unset(SPREAD)

@@ -114,8 +114,8 @@ def test_cp1252(spark):
 
 
 TOKENIZED = [
-    ("He said, \"We shouldn't go to the place. It'll kill one of us.\"", True,
-     "He said , `` We should n't go to the place . It 'll kill one of us . ''"),
+    ("Ann wrote, \"We couldn't find it. They'll call us.\"", True,
+     "Ann wrote , `` We could n't find it . They 'll call us . ''"),
     ("a,b,c 1,000 x,5", False, "a , b,c 1,000 x , 5"),
     ("Mr. Smith is 5. 6 e.g. U.S. end.", False, "Mr. Smith is 5. 6 e.g. U.S. end ."),
     ("wait... what--yes - no", False, "wait ... what -- yes - no"),
