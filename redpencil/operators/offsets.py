@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpencil.functions.tokenizer import ptb_tokens
-from redpencil.session import unnest
 
 
 def token_offset(sentence: Column, char_offset: Column) -> Column:
@@ -33,25 +32,24 @@ def convert_blocks(blocks: DataFrame, text: str = "text") -> DataFrame:
     """Rewrite blocks of S and A lines from character to token offsets.
 
     The rewritten S line is the tokenized sentence; an A line gets token offsets and tokenized
-    corrections; other lines pass. Offsets refer to the nearest S line above.
+    corrections; other lines pass. Offsets refer to the nearest S line above. Blocks are cut before
+    their S lines, so each line is looked at once with its sentence; nothing is shuffled.
     """
+    def rewritten(line: Column, sentence: Column) -> Column:
+        fields = F.split(F.substring(line, F.lit(3), F.length(line)), r"\|\|\|")
+        offsets = F.split(F.trim(F.get(fields, F.lit(0))), r"\s+")
+        place = lambda k: token_offset(sentence, F.get(offsets, F.lit(k)).cast("int")).cast("string")
+        annotation = F.concat(F.lit("A "), F.array_join(F.concat(
+            F.array(F.concat(place(0), F.lit(" "), place(1)), F.get(fields, F.lit(1)),
+                    tokenize_corrections(F.get(fields, F.lit(2)))),
+            F.slice(fields, F.lit(4), F.greatest(F.size(fields) - 3, F.lit(0)))), "|||"))
+        return F.when(line.startswith("S "), F.concat(F.lit("S "), tokenized_text(sentence))).when(
+            line.startswith("A "), annotation).otherwise(line)
+
+    def part(piece: Column) -> Column:
+        head = F.substring_index(piece, "\n", 1)
+        sentence = F.when(head.startswith("S "), F.substring(head, F.lit(3), F.length(head))).otherwise("")
+        return F.array_join(F.transform(F.split(piece, "\n"), lambda line: rewritten(line, sentence)), "\n")
     keys = [c for c in blocks.columns if c != text]
-    lines = unnest(blocks, [*keys, F.split(text, "\n").alias("_all")], F.split(text, "\n"), "_line", "_pos")
-    # sentence above: last S line among the block's lines so far
-    above = F.filter(F.slice("_all", F.lit(1), F.col("_pos") + 1), lambda x: x.startswith("S "))
-    sentence_line = F.coalesce(F.try_element_at(above, F.lit(-1)), F.lit(""))
-    lines = lines.select(*keys, "_pos", "_line", F.substring(
-        sentence_line, F.lit(3), F.length(sentence_line)).alias("_sentence"))
-    fields = F.split(F.substring("_line", F.lit(3), F.length("_line")), r"\|\|\|")
-    offsets = F.split(F.trim(F.element_at(fields, 1)), r"\s+")
-    place = lambda k: token_offset(F.col("_sentence"), F.element_at(offsets, k).cast("int")).cast("string")
-    annotation = F.concat(F.lit("A "), F.array_join(F.concat(
-        F.array(F.concat(place(1), F.lit(" "), place(2)), F.element_at(fields, 2),
-                tokenize_corrections(F.element_at(fields, 3))),
-        F.slice(fields, F.lit(4), F.greatest(F.size(fields) - 3, F.lit(0)))), "|||"))
-    sentence = F.concat(F.lit("S "), tokenized_text(F.col("_sentence")))
-    new = F.when(F.startswith("_line", F.lit("S ")), sentence).when(
-        F.startswith("_line", F.lit("A ")), annotation).otherwise(F.col("_line"))
-    rows = lines.select(*keys, F.struct("_pos", new.alias("line")).alias("_new"))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list("_new")), lambda x: x["line"]), "\n").alias(text))
+    new = F.array_join(F.transform(F.split(F.col(text), r"\n(?=S )"), part), "\n")
+    return blocks.where(F.col(text).isNotNull()).select(*keys, new.alias(text))
