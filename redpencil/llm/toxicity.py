@@ -176,14 +176,21 @@ def _fit_weights(tokens: list[np.ndarray], toxic: np.ndarray, is_telling: np.nda
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Intercept and slopes, by Newton steps with a small penalty; slopes are not negative."""
-    a = np.column_stack([np.ones(len(x)), x])
-    b = np.zeros(3)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.01, 0.1, 0.1])
-        b = b + np.linalg.solve(h, a.T @ (y - p) - np.array([0.01, 0.1, 0.1]) * b)
-    return float(b[0]), float(b[1]), float(b[2])
+    """Intercept and slopes, by Newton steps with a small penalty; a slope that would be negative is left out."""
+    used = [0, 1, 2]
+    while True:
+        a = np.column_stack([np.ones(len(x)), x])[:, used]
+        penalty = np.array([0.01, 0.1, 0.1])[used]
+        b = np.zeros(len(used))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+            h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty)
+            b = b + np.linalg.solve(h, a.T @ (y - p) - penalty * b)
+        negative = [k for k, v in zip(used, b) if k and v < 0]
+        if not negative:
+            found = dict(zip(used, b.tolist()))
+            return found[0], found.get(1, 0.0), found.get(2, 0.0)
+        used = [k for k in used if k not in negative]
 
 
 def in_training(doc_id: Column) -> Column:
