@@ -43,40 +43,42 @@ def keyed(lines: DataFrame) -> DataFrame:
         F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), place.alias("place"), "body", "n")
 
 
-def segments(body: Column, n: Column) -> Column:
-    """``role, number, start, width, context`` of each segment, as part of the line and of one shorter by a character.
+def with_segments(lines: DataFrame) -> DataFrame:
+    """A row for each segment of each line, with ``role, start, width, context``.
 
     Role 0 takes the line as the shorter or equal one of a pair, role 1 as the one with an inserted character: its
     segments are one character longer than those of the line without it, and what lies around them is the same.
+    ``context`` is a hash of that and of the shorter line's length. Places come from explodes, so that the text is cut
+    and hashed in compiled projections.
     """
-    def of(role: int) -> Column:
-        base = n - role
-        width = F.when(base > 2 * SEGMENT, SEGMENT).otherwise(F.ceil(base / 2)).cast("int")
-        count = F.ceil(base / width).cast("int")
+    def width(base: Column) -> Column:
+        return F.when(base > 2 * SEGMENT, SEGMENT).otherwise(F.ceil(base / 2)).cast("int")
 
-        def segment(j: Column) -> Column:
-            start = j * width
-            length = F.least(width, base - start) + role
-            context = F.xxhash64(base, j, F.substring(body, F.lit(1), start), F.substring(body, start + length + 1, n))
-            return F.struct(F.lit(role).alias("role"), start.alias("start"), length.alias("width"), context.alias("context"))
-        return F.when(base >= MIN_CHARS, F.transform(F.sequence(F.lit(0), count - 1), segment)).otherwise(F.array())
-    return F.concat(of(0), of(1))
+    def count(base: Column) -> Column:
+        return F.when(base >= MIN_CHARS, F.ceil(base / width(base))).otherwise(0).cast("int")
+    n = F.col("n")
+    rows = lines.withColumn("_k", F.explode(F.sequence(F.lit(0), count(n) + count(n - 1) - 1)))
+    rows = rows.withColumn("role", F.when(F.col("_k") < count(n), 0).otherwise(1))
+    base = n - F.col("role")
+    rows = rows.withColumn("start", ((F.col("_k") - F.when(F.col("role") == 1, count(n)).otherwise(0)) * width(base)).cast("int"))
+    rows = rows.withColumn("width", (F.least(width(base), base - F.col("start")) + F.col("role")).cast("int"))
+    before = F.substring(F.col("body"), F.lit(1), F.col("start"))
+    after = F.substring(F.col("body"), F.col("start") + F.col("width") + 1, n)
+    return rows.withColumn("context", F.xxhash64(base, F.col("start"), before, after)).drop("_k")
 
 
-def variants(part: Column, role: Column) -> Column:
-    """Keys of a segment's variants with the side on which they meet others.
+def with_variants(rows: DataFrame) -> DataFrame:
+    """A row for each variant of ``part``, with ``key`` and the side on which it meets others.
 
     Side 0: a character of this segment replaced, so equal positions meet. Side 1: the segment as it is, which meets
     side 2: a longer segment with a character deleted.
     """
-    n = F.length(part)
-    without = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct(
-        p.alias("at"), F.concat(F.substring(part, F.lit(1), p - 1), F.substring(part, p + 1, n)).alias("rest")))
-    deleted = F.when(role == 1, F.transform(without, lambda v: F.struct(
-        F.lit(2).alias("side"), F.xxhash64(F.lit(-1), v["rest"]).alias("key")))).otherwise(F.transform(
-            without, lambda v: F.struct(F.lit(0).alias("side"), F.xxhash64(v["at"], v["rest"]).alias("key"))))
-    itself = F.array(F.struct(F.lit(1).alias("side"), F.xxhash64(F.lit(-1), part).alias("key")))
-    return F.array_distinct(F.when(role == 1, deleted).otherwise(F.concat(deleted, itself)))
+    n, at, long = F.length("part"), F.col("at"), F.col("role") == 1
+    rows = rows.withColumn("at", F.explode(F.sequence(F.when(long, 1).otherwise(0), n)))
+    rest = F.when(at == 0, F.col("part")).otherwise(
+        F.concat(F.substring(F.col("part"), F.lit(1), at - 1), F.substring(F.col("part"), at + 1, n)))
+    rows = rows.withColumn("side", F.when(long, 2).when(at == 0, 1).otherwise(0))
+    return rows.withColumn("key", F.xxhash64(F.when(F.col("side") == 0, at).otherwise(-1), rest))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,8 +112,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def earlier_neighbours(own: DataFrame, first: DataFrame) -> DataFrame:
     """``h1, h2, near``: for different lines, the earliest first place of a line that is one edit away, if earlier."""
     long_enough = own.where(F.col("n") >= MIN_CHARS)
-    parts = long_enough.select("h1", "h2", F.explode(segments(F.col("body"), F.col("n"))).alias("s"))
-    contexts = parts.select(F.col("s.context").alias("context"), "h1", "h2", F.col("s.role").alias("role"), F.col("s.start").alias("start"))
+    contexts = with_segments(long_enough).select("context", "h1", "h2", "role", "start")
     # surroundings that at least two different lines share
     shared = contexts.groupBy("context").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
     busy = contexts.join(shared.select("context"), "context", "left_semi").groupBy("h1", "h2").agg(
@@ -119,13 +120,11 @@ def earlier_neighbours(own: DataFrame, first: DataFrame) -> DataFrame:
     wanted = busy.join(first, ["h1", "h2"])
     texts = long_enough.join(wanted.withColumnRenamed("first", "place"), ["h1", "h2", "place"])
     texts = materialize(texts.dropDuplicates(["h1", "h2"]), "busy-lines")
-    wanted = F.filter(segments(F.col("body"), F.col("n")), lambda s: F.exists(
-        F.col("busy"), lambda b: (b["role"] == s["role"]) & (b["start"] == s["start"])))
-    active = texts.select("place", F.explode(F.transform(wanted, lambda s: F.struct(
-        s["role"].alias("role"), s["context"].alias("context"),
-        F.substring(F.col("body"), s["start"] + 1, s["width"]).alias("part")))).alias("s"))
-    keys = active.select("place", F.col("s.context").alias("context"), F.explode(variants(F.col("s.part"), F.col("s.role"))).alias("v"))
-    keys = keys.select("context", F.col("v.key").alias("key"), F.col("v.side").alias("side"), "place")
+    active = with_segments(texts).where(F.exists("busy", lambda b: (b["role"] == F.col("role")) & (b["start"] == F.col("start"))))
+    active = active.select("place", "context", "role", F.substring(F.col("body"), F.col("start") + 1, F.col("width")).alias("part"))
+    # the pieces are few but grow to a row for each character, so they are dealt out first
+    active = active.repartition("context", "place")
+    keys = with_variants(active).select("context", "key", "side", "place")
     # at most a line for each character that can stand at a place, however often the lines occur
     equal = Window.partitionBy("context", "key")
     keys = keys.withColumn("short", F.min(F.when(F.col("side") < 2, F.col("place"))).over(equal)).withColumn(
