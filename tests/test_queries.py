@@ -34,7 +34,7 @@ def test_registry_shape():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
