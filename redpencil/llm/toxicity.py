@@ -5,14 +5,16 @@ has two states; tokens of toxic documents with a telling feature are the labelle
 negative ones. Forward-backward marginals give the spans; their maximum and their sum give the document's score
 through a logistic curve fitted on the same rows.
 
-Fitting sees at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows and ``TRAIN_CHARS`` characters, the first in
-the order of a hash of the document id. All of them decide which features are telling and where the curve lies; the
+Fitting sees at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled ids, the first in the order of a hash of the id, and of
+each class ``TOXIC_CHARS`` and ``CLEAN_CHARS`` characters, the shortest texts first; so a long text costs its class no
+other row. All of them decide which features are telling and where the curve lies; the
 field's weights are fitted on the toxic rows and as many clean ones. Scoring reads every text whole, in chains of ``CHAIN`` tokens.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 TOXIC_ROWS, CLEAN_ROWS = 1200, 4000
-TRAIN_CHARS = 16_000_000
+TOXIC_CHARS, CLEAN_CHARS = 8_000_000, 16_000_000
 FOLDS = 5
 CHAIN = 128
 STEPS = 40
@@ -197,10 +199,17 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS != 0, F.lit(False))
 
 
+def _that_fit(sizes: list[tuple[int, int, int]], most: int) -> list[tuple[int]]:
+    """The ids of ``sizes``, which has characters, hash and id in ascending order, until ``most`` characters are taken."""
+    ends = np.cumsum([n for n, _, _ in sizes])
+    return [(i,) for _, _, i in sizes[:int(np.searchsorted(ends, most, side="right"))]]
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Crf:
     """Fit on a bounded sample of the labelled rows whose crc32 of the id, modulo 5, is not 0.
 
-    Rows with a null id or label are left out; of several labels of an id the highest counts.
+    Rows with a null id or label are left out; of several labels of an id the highest counts. A class whose texts are
+    all longer than its characters is an error; one whose ids have no documents is a warning.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_id IS NOT NULL AND _toxic IS NOT NULL")
     known = known.where(in_training(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
@@ -211,14 +220,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ids = spark.createDataFrame([(r._id, int(r._toxic)) for r in picked], "_id long, _toxic int")
     body = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     rows = body.join(F.broadcast(ids), "_id")            # at most TOXIC_ROWS + CLEAN_ROWS ids
-    sizes = sorted(rows.select(F.xxhash64("_id").alias("k"), "_id", F.coalesce(F.length("_text"), F.lit(0)).alias("n")).groupBy("k", "_id").agg(
-        F.max("n").alias("n")).collect())
-    total, chosen = 0, []
-    for r in sizes:
-        total += r.n
-        if total > TRAIN_CHARS:
-            break
-        chosen.append((r._id,))
+    sizes = rows.groupBy("_toxic", F.xxhash64("_id").alias("k"), "_id").agg(
+        F.sum(F.coalesce(F.length("_text"), F.lit(0))).alias("n")).collect()
+    chosen = []
+    for toxic, most in ((1, TOXIC_CHARS), (0, CLEAN_CHARS)):
+        own = sorted((r.n, r.k, r._id) for r in sizes if r._toxic == toxic)
+        fits = _that_fit(own, most)
+        if own and not fits:
+            raise ValueError(f"no document labelled toxic={toxic} has at most {most} characters; the shortest has {own[0][0]}")
+        if not own and any(r._toxic == toxic for r in picked):
+            warnings.warn(f"no document of the sampled labels toxic={toxic}; the model finds nothing")
+        chosen += fits
     within = spark.createDataFrame(chosen, "_id long")
     found = rows.join(F.broadcast(within), "_id").orderBy("_id", "_text").select("_text", "_toxic").toArrow()
     return fit((x.as_py() for x in found.column(0)), found.column(1).to_numpy())

@@ -80,3 +80,25 @@ def test_nulls_and_no_labels(spark, corpus):
     empty = toxicity.train(docs, labels.limit(0))
     assert all(r.toxicity.score < 0.5 for r in toxicity.score(docs, empty).collect())
     assert toxicity.score(rows.limit(0), model).count() == 0
+
+
+def test_long_rows_cost_no_other_rows(spark, corpus, monkeypatch):
+    docs, labels, truth = corpus
+    spent = {y: sum(len(t) for t, own in truth.values() if own == y) for y in (0, 1)}
+    monkeypatch.setattr(toxicity, "TOXIC_CHARS", spent[1], raising=False)
+    monkeypatch.setattr(toxicity, "CLEAN_CHARS", spent[0], raising=False)
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", spent[0] + spent[1], raising=False)
+    # long rows of both classes among the sample, some of them first in its order
+    long = [(10**7 + k, "neutral filler " * (1 + sum(spent.values()) // 15), k % 2) for k in range(20)]
+    more = docs.union(spark.createDataFrame([(d, t, "x") for d, t, _ in long], docs.schema))
+    known = labels.union(spark.createDataFrame([(d, y) for d, _, y in long], labels.schema))
+    assert toxicity.train(more, known).weights == toxicity.train(docs, labels).weights != {}
+
+
+def test_class_without_a_row_that_fits(spark, corpus, monkeypatch):
+    docs, labels, _ = corpus
+    monkeypatch.setattr(toxicity, "TOXIC_CHARS", 5, raising=False)
+    with pytest.raises(ValueError, match="toxic=1"):
+        toxicity.train(docs, labels)
+    with pytest.warns(UserWarning, match="toxic=0"):
+        toxicity.train(docs.limit(0), labels)
