@@ -1,10 +1,11 @@
 """Personal data in texts: generators propose spans, boosted trees judge them; DataFrame functions only.
 
-Four base kinds have exact rules and always stay. Looser patterns propose more spans, which may overlap: written-out
-addresses, and runs of digits with separators. Gradient-boosted trees (Spark's) see a candidate's format and the text
-around it. Their labels come from the base rules: a candidate that holds a base span is positive, one that touches
-none is negative. Trees are fitted on at most ``FIT_DOCS`` documents; half of their candidates set each kind's
-threshold, the lowest with a precision of ``PRECISION``. A kind without such a threshold adds nothing.
+Four base kinds have exact rules and always stay. Looser patterns propose more spans of each kind, which may overlap:
+written-out addresses, spaced or bracketed dots, and runs of digits with other separators. Gradient-boosted trees
+(Spark's) see a candidate's format and the text around it. Their labels do not follow the strict form: positive are base
+spans rewritten into loose forms at their place in the text; negative are base spans rewritten into numbers, versions and
+ends of sentences, and the texts' own candidates in a neutral context or of an impossible form. Own candidates that may be
+personal data have no label. Trees are fitted on at most ``FIT_DOCS`` documents; half of them set each kind's threshold, the lowest with a precision of ``PRECISION``. A kind without such a threshold adds nothing.
 
 A text is read by each pattern twice, for the matches and for what lies between them; their lengths give the places.
 """
@@ -36,9 +37,17 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 LOOSE = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?@ ?| ?[(\[]at[)\]] ?| at )[A-Za-z0-9-]{1,64}+(?:(?: ?\. ?| ?[(\[]dot[)\]] ?| dot )[A-Za-z0-9-]{1,64}+){1,8}+",
     "phone": r"(?<![0-9+(])[+(]?[0-9](?:[ ().-]{0,2}+[0-9]){6,40}+",
+    "ip": r"(?i)(?<![0-9])[0-9]{1,3}(?:(?: ?\. ?| ?[(\[](?:dot|\.)[)\]] ?| dot )[0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ ._/-]{0,3}+[0-9]){13,18}(?![0-9])",
 }
 WORDS = {"mail": r"(?i)mail|contact", "phone": r"(?i)tel|phone|call|fax|mobil", "card": r"(?i)card|visa|pay|account",
-         "code": r"(?i)key|token|pass|secret|hash|version|id"}
+         "net": r"(?i)\bip\b|host|server|address|network", "code": r"(?i)key|token|pass|secret|hash|version|id"}
+CUES = {"email": "mail", "phone": "phone", "card": "card", "ip": "net"}
+
+# Base spans in loose forms, and what looks like those but is none: (text before, text, text after).
+AT, DOT = (" at ", " [at] ", "(at)", " @ "), (" dot ", " [dot] ", ".", ".")
+GROUPS = (".", " - ", "  ", "/")
+POINTS = (" . ", "[.]", " dot ", "(dot)")
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -100,14 +109,15 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(part(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-FEATURES = ("is_email", "length", "digits", "separators", "plus", "parens", "dots", "longest", "letters", "glued_before",
-            "glued_after", *(f"near_{w}" for w in WORDS), "line_start", "line_end")
+FEATURES = ("kind", "length", "digits", "separators", "plus", "parens", "dots", "longest", "letters", "glued_before",
+            "glued_after", *(f"near_{w}" for w in WORDS), "line_start", "line_end",
+            "at_sign", "at_word", "dot_word", "dot_space", "octets", "luhn")
 
 
 def candidates(text: Column) -> Column:
     """What the loose patterns propose: ``start, rank, end, kind, x``, with the features in ``x``."""
     def part(kind: str, pattern: str) -> Column:
-        has = text.rlike("(?i)@|at") if kind == "email" else text.rlike("[0-9]")
+        has = text.rlike("(?i)@|\\bat\\b") if kind == "email" else text.rlike("[0-9]")
 
         def judged(m: Column) -> Column:
             v = m["value"]
@@ -115,11 +125,14 @@ def candidates(text: Column) -> Column:
             after = F.substring(text, m["end"] + 1, F.lit(AROUND))
             around = F.concat(before, F.lit(" "), after)
             n = F.length(v)
-            values = [F.lit(float(kind == "email")), n, F.length(digits(v)), n - F.length(F.regexp_replace(v, "[ ().-]", "")),
+            values = [F.lit(float(KINDS.index(kind))), n, F.length(digits(v)), n - F.length(F.regexp_replace(v, "[ ().-]", "")),
                       v.contains("+"), v.contains("("), n - F.length(F.replace(v, F.lit("."), F.lit(""))),
                       F.array_max(F.transform(F.split(v, "[^0-9]"), F.length)), n - F.length(F.regexp_replace(v, "[A-Za-z]", "")),
                       before.rlike(r"[\p{L}\p{N}_]$"), after.rlike(r"^[\p{L}\p{N}_]"),
-                      *(around.rlike(w) for w in WORDS.values()), before.rlike(r"(^|\n)$"), after.rlike(r"^(\n|$)")]
+                      *(around.rlike(w) for w in WORDS.values()), before.rlike(r"(^|\n)$"), after.rlike(r"^(\n|$)"),
+                      v.contains("@"), v.rlike(r"(?i)[ (\[]at[ )\]]"), v.rlike(r"(?i)[ (\[]dot[ )\]]"), v.contains(". "),
+                      F.regexp_replace(v, "[^0-9]+", ".").rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$") if kind == "ip" else F.lit(False),
+                      valid("card", v) if kind == "card" else F.lit(False)]
             return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"),
                             F.lit(kind).alias("kind"), F.array(*(x.cast("double") for x in values)).alias("x"))
         own = F.transform(found(text, pattern), judged)
@@ -132,17 +145,82 @@ def touches(a: Column, b: Column) -> Column:
 
 
 def proposed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_base`` and ``_more``: the base spans, and the candidates with ``label`` 1 if they hold a base span,
-    0 if they touch none, else null."""
+    """``docs`` with ``_base`` and ``_more``: the base spans, and the candidates with ``label`` 0 if they touch no base span
+    and can't be personal data, or nothing around them speaks for it; else null."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_base", base_spans(body)).withColumn("_more", candidates(body))
+    at = {name: k for k, name in enumerate(FEATURES)}
+
+    def has(c: Column, name: str) -> Column:
+        return c["x"][at[name]] > 0
 
     def label(c: Column) -> Column:
-        held = F.exists("_base", lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
-        return c.withField("label", F.when(held, 1.0).when(~F.exists("_base", lambda b: touches(b, c)), 0.0))
+        numbers = c["x"][at["digits"]]
+        impossible = F.when(c["kind"] == "ip", ~has(c, "octets")).when(c["kind"] == "card", ~has(c, "luhn")).when(
+            c["kind"] == "phone", ~numbers.between(7, 15)).otherwise(False)
+        neutral = F.lit(False)
+        for kind, word in CUES.items():
+            neutral = neutral | ((c["kind"] == kind) & ~has(c, f"near_{word}"))
+        # a written-out address speaks for itself
+        open_ = (c["kind"] != "email") | ~(has(c, "at_sign") | has(c, "dot_word"))
+        free = ~F.exists("_base", lambda b: touches(b, c))
+        return c.withField("label", F.when(free & (impossible | (neutral & open_)), 0.0))
     return rows.withColumn("_more", F.transform("_more", label))
 
 
+def rewritten(kind: str, value: Column, before: Column, after: Column) -> list[tuple[float, Column, Column, Column]]:
+    """Labelled forms of a base span: ``label, text before, text, text after``."""
+    number, plain, total = digits(value), F.lit(" of the library"), (F.lit("a total of "), F.lit(" units"))
+    if kind == "email":
+        local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+
+        def form(a: str, d: str) -> Column:
+            return F.concat(local, F.lit(a), F.replace(host, F.lit("."), F.lit(d)))
+        return [(1.0, before, form(a, d), after) for a, d in zip(AT, DOT)] + [
+            (0.0, before, form(" at ", ". "), after), (0.0, F.lit("they met "), form(" at ", ". "), F.lit(" was"))]
+    if kind == "phone":
+        bare = F.substring(value, F.lit(2), F.length(value))
+        forms = [bare, F.regexp_replace(bare, "[ ().-]+", "."), F.regexp_replace(bare, "[ ().-]+", "-"), F.concat(F.lit("00"), number)]
+        return [(1.0, before, v, after) for v in forms] + [
+            (0.0, total[0], number, total[1]), (0.0, F.lit("since version "), F.regexp_replace(number, "(.{3})(?=.)", "$1."), plain)]
+    if kind == "card":
+        broken = F.concat(F.substring(number, F.lit(1), F.length(number) - 1), ((F.substring(number, -1, 1).cast("int") + 1) % 10).cast("string"))
+
+        def grouped(n: Column, mark: str) -> Column:
+            return F.regexp_replace(n, "(.{4})(?=.)", f"$1{mark}")
+        return [(1.0, before, grouped(number, mark), after) for mark in GROUPS] + [
+            (0.0, before, grouped(broken, "."), after), (0.0, total[0], grouped(broken, "  "), total[1])]
+    wrong = F.regexp_replace(value, "[0-9]+$", "999")
+    return [(1.0, before, F.replace(value, F.lit("."), F.lit(mark)), after) for mark in POINTS] + [
+        (0.0, before, F.replace(wrong, F.lit("."), F.lit(" . ")), after),
+        (0.0, F.lit("since version "), F.replace(value, F.lit("."), F.lit(". ")), plain)]
+
+
+def examples(rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``k, kind, x, label`` of all labelled candidates and of all base spans in their rewritten forms."""
+    own = rows.where(F.exists("_more", lambda c: c["label"].isNotNull())).select(F.col(doc_id).alias("_id"), F.explode("_more").alias("c"))
+    own = own.where("c.label IS NOT NULL").select(
+        F.xxhash64("_id", "c.start", "c.kind").alias("k"), "c.kind", "c.x", "c.label")
+    body = F.col(text)
+    spans = rows.where(F.size("_base") > 0).select(F.col(doc_id).alias("_id"), body.alias("_t"), F.explode("_base").alias("b"))
+    spans = spans.select(
+        F.xxhash64("_id", "b.start", "b.kind").alias("k"), F.col("b.kind").alias("kind"),
+        F.expr("substring(_t, b.start + 1, b.end - b.start)").alias("value"),
+        F.expr(f"substring(_t, greatest(b.start - {AROUND}, 0) + 1, least(b.start, {AROUND}))").alias("before"),
+        F.expr(f"substring(_t, b.end + 1, {AROUND})").alias("after"))
+    forms = F.lit(None)
+    for kind in KINDS:
+        made = F.array(*(F.struct(F.lit(y).alias("label"), b.alias("before"), v.alias("value"), a.alias("after"))
+                         for y, b, v, a in rewritten(kind, F.col("value"), F.col("before"), F.col("after"))))
+        forms = F.when(F.col("kind") == kind, made).otherwise(forms)
+    spans = spans.select("k", "kind", F.posexplode(forms).alias("n", "f"))
+    spans = spans.select(F.xxhash64("k", "n").alias("k"), "kind", "f.label", F.length("f.before").alias("start"), F.length("f.value").alias("n"),
+                         F.concat("f.before", "f.value", "f.after").alias("_t"))
+    met = F.filter(candidates(F.col("_t")), lambda c: (c["kind"] == F.col("kind")) & (c["start"] <= F.col("start")) & (c["end"] >= F.col("start") + F.col("n")))
+    spans = spans.select("k", "kind", "label", F.explode(met).alias("c"))
+    return own.unionByName(spans.select("k", "kind", "c.x", "label"))
+
+
 class Trees:
     """Boosted trees as a column expression, with a threshold for each kind."""
 
@@ -175,17 +253,16 @@ def _node(node):
     return int(split.featureIndex()), float(split.threshold()), _node(node.leftChild()), _node(node.rightChild())
 
 
-def fit(rows: DataFrame, doc_id: str) -> Trees:
-    """Trees and thresholds from the candidates of at most ``FIT_DOCS`` documents, the first by a hash of their id."""
-    some = rows.where(F.exists("_more", lambda c: c["label"].isNotNull())).select(F.xxhash64(doc_id).alias("k"), "_more")
-    some = some.orderBy("k").limit(FIT_DOCS).select("k", F.explode("_more").alias("c")).where("c.label IS NOT NULL")
-    some = materialize(some.select("k", F.col("c.kind").alias("kind"), F.col("c.x").alias("x"), F.col("c.label").alias("label")), "candidates")
+def fit(rows: DataFrame, text: str, doc_id: str) -> Trees:
+    """Trees and thresholds from the examples of at most ``FIT_DOCS`` documents, the first by a hash of their id."""
+    docs = rows.where((F.size("_base") > 0) | F.exists("_more", lambda c: c["label"].isNotNull())).orderBy(F.xxhash64(doc_id)).limit(FIT_DOCS)
+    some = materialize(examples(docs, text, doc_id), "candidates")
     fold = F.pmod("k", F.lit(2))
     learn = some.where(fold == 0)
     if learn.select("label").distinct().count() < 2:
         return Trees([], [], {})
     sample = learn.select("label", array_to_vector("x").alias("features")).coalesce(1).sortWithinPartitions("label", "features")
-    model = GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, seed=7).fit(sample)
+    model = GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, seed=7).fit(sample)
     trees = Trees([_node(t._call_java("rootNode")) for t in model.trees], list(model.treeWeights), {})
     # calibration: the margin in steps, counted; a few hundred rows at most
     step = F.floor(trees.margin(F.col("x")) * 50)
@@ -208,7 +285,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.struct("*").alias("_row"))
     rows = proposed(rows.withColumn("_text", F.col(f"_row.{text}")), "_text").drop("_text")
     rows = materialize(rows.withColumn("_id", F.col(f"_row.{doc_id}")), "proposed")
-    trees = fit(rows, "_id")
+    trees = fit(rows, f"_row.{text}", "_id")
     more = F.filter("_more", lambda c: trees.selected(c) & ~F.exists("_base", lambda b: touches(b, c)))
     added = F.transform(more, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
     return rows.select("_row", F.col("_base").alias("base"), F.array_sort(F.array_distinct(F.concat("_base", added))).alias("spans"))
