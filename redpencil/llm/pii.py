@@ -5,7 +5,8 @@ written-out addresses, spaced or bracketed dots, and runs of digits with other s
 (Spark's) see a candidate's format and the text around it. Their labels do not follow the strict form: positive are base
 spans rewritten into loose forms at their place in the text; negative are base spans rewritten into numbers, versions and
 ends of sentences, and the texts' own candidates in a neutral context or of an impossible form. Own candidates that may be
-personal data have no label. Trees are fitted on at most ``FIT_DOCS`` documents; half of them set each kind's threshold, the lowest with a precision of ``PRECISION``. A kind without such a threshold adds nothing.
+personal data have no label. Trees are fitted on at most ``FIT_EACH`` examples for each kind and label; all examples set
+each kind's threshold, the lowest with a precision of ``PRECISION``. A kind without such a threshold adds nothing.
 
 A text is read by each pattern twice, for the matches and for what lies between them; their lengths give the places.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from redpencil.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_DOCS = 4000
+FIT_EACH = 2000                  # examples of a kind and label that the trees are fitted on
 PRECISION = 0.99
 LEAST_JUDGED = 30                # candidates over the threshold that its precision must rest on
 AROUND = 24                      # characters of context on either side
@@ -254,19 +255,23 @@ def _node(node):
 
 
 def fit(rows: DataFrame, text: str, doc_id: str) -> Trees:
-    """Trees and thresholds from the examples of at most ``FIT_DOCS`` documents, the first by a hash of their id."""
-    docs = rows.where((F.size("_base") > 0) | F.exists("_more", lambda c: c["label"].isNotNull())).orderBy(F.xxhash64(doc_id)).limit(FIT_DOCS)
-    some = materialize(examples(docs, text, doc_id), "candidates")
-    fold = F.pmod("k", F.lit(2))
-    learn = some.where(fold == 0)
+    """Trees from at most ``FIT_EACH`` examples of each kind and label, the first by a hash; thresholds from all examples."""
+    some = materialize(examples(rows, text, doc_id), "candidates")
+    learn = None
+    for kind in LOOSE:
+        for y in (0.0, 1.0):
+            own = some.where((F.col("kind") == kind) & (F.col("label") == y)).orderBy("k", "x").limit(FIT_EACH)
+            learn = own if learn is None else learn.union(own)
+    learn = materialize(learn, "sample")
     if learn.select("label").distinct().count() < 2:
         return Trees([], [], {})
+    # at most 2 * FIT_EACH rows of each kind
     sample = learn.select("label", array_to_vector("x").alias("features")).coalesce(1).sortWithinPartitions("label", "features")
     model = GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, seed=7).fit(sample)
     trees = Trees([_node(t._call_java("rootNode")) for t in model.trees], list(model.treeWeights), {})
-    # calibration: the margin in steps, counted; a few hundred rows at most
+    # calibration: the margin in steps, counted over all rows; a few hundred groups at most
     step = F.floor(trees.margin(F.col("x")) * 50)
-    counts = some.where(fold == 1).groupBy("kind", step.alias("step")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    counts = some.groupBy("kind", step.alias("step")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
     for kind in LOOSE:
         good = n = 0
         for r in sorted((r for r in counts if r.kind == kind), key=lambda r: -r.step):

@@ -107,3 +107,11 @@ def test_loose_spans_are_added_and_masked(spark):
         hits = [k for k in own if any(s.kind == kind for s in got[k].spans) and f"[{kind}]" in masked[k]]
         assert not any(got[k].base for k in own) and len(hits) >= 0.9 * len(own), (kind, len(hits), len(own))
     assert [(t, got[k].spans) for k, t in docs if k % 3 == 2 and got[k].spans] == []
+
+
+def test_rare_kind_among_many_digit_runs(spark):
+    """Thresholds rest on all rows, so a kind that a few documents hold is judged in a table full of numbers."""
+    docs = [(k, f"a total of {10**9 + k * 7919} units and {10**11 + k * 104729} more") for k in range(9000)]
+    docs += [(10**6 + k, f"write to user{k}@host.example now") for k in range(12)] + [(2 * 10**6, "write to someone at host dot com now")]
+    got = pii.detect(spark.createDataFrame(docs, "doc_id long, text string")).where("_row.doc_id = 2000000").head()
+    assert [s.kind for s in got.spans] == ["email"]
