@@ -102,3 +102,9 @@ def test_class_without_a_row_that_fits(spark, corpus, monkeypatch):
         toxicity.train(docs, labels)
     with pytest.warns(UserWarning, match="toxic=0"):
         toxicity.train(docs.limit(0), labels)
+
+
+def test_small_weights_and_earlier_bounds(spark, corpus):
+    docs, labels, _ = corpus
+    assert any(0.02 <= abs(w) < 0.05 for w in toxicity.train(docs, labels).weights.values())
+    assert toxicity.CLEAN_ROWS >= 6000 and toxicity.TOXIC_CHARS + toxicity.CLEAN_CHARS >= 24_000_000
