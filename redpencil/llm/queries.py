@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from redpencil.llm import embedding_join, line_dedup, maxscore, odd_sketch, packing, pii, sentencepiece_codec, sharding, toxicity, warc
+from redpencil.llm import (collocations, embedding_join, gated_lm, line_dedup, maxscore, negative_tree, odd_sketch, packing, pii,
+                           sentencepiece_codec, sharding, toxicity, warc)
 from redpencil.llm.common import table
 
 
@@ -139,6 +140,60 @@ SELECT doc_id, line_no, of_place IS NULL AS kept, (of_place // 10000000000)::BIG
        (of_place % 10000000000)::INTEGER AS of_line_no,
        CASE WHEN of_place = first THEN 0 WHEN of_place IS NOT NULL THEN 1 END::INTEGER AS edits FROM found"""
 
+def op11_negative_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the positives of every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL")
+    whole = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.where(whole).select(F.col("vec_id").alias("id"), label.alias("label"), maxscore.integers(F.col("embedding"), 256).alias("vector"))
+    found = negative_tree.hard_negatives(rows, F.col("id") % 50 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+OP11 = """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding::DOUBLE[], lambda c: floor(c * 256)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+    AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+def op12_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of all documents, by word counts and by the recurrent model."""
+    return gated_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language of all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13 = """WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS place, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS words
+  FROM (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents)),
+total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS p FROM pieces),
+grams AS (SELECT lang, k, words[p:p + k - 1] AS phrase FROM starts, (VALUES (1), (2), (3), (4)) s(k) WHERE p + k - 1 <= len(words)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, l.k AS cut,
+    ((2000000::HUGEINT * c.f) // (l.f + r.f))::BIGINT AS score
+  FROM f c JOIN f l ON l.lang = c.lang AND l.k < c.k AND l.phrase = c.phrase[:l.k]
+    JOIN f r ON r.lang = c.lang AND r.k = c.k - l.k AND r.phrase = c.phrase[l.k + 1:]),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = s.lang AND g.k > len(s.phrase) AND 100 * g.f >= 80 * s.a
+    AND len(list_filter(range(1, g.k - len(s.phrase) + 2), lambda i: g.phrase[i:i + len(s.phrase) - 1] = s.phrase)) > 0)),
+ranked AS (SELECT *, array_to_string(phrase, ' ') AS joined FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(joined)) AS rank, joined AS phrase, a, l, r, n, score
+FROM ranked JOIN total USING (lang) QUALIFY rank <= 2000"""
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_warc": (op2_warc, None),
@@ -150,4 +205,7 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_line_dedup": (op9_line_dedup, OP9),
     "op10_maxscore": (op10_maxscore, OP10),
+    "op11_negative_tree": (op11_negative_tree, OP11),
+    "op12_gated_lm": (op12_gated_lm, None),
+    "op13_collocations": (op13_collocations, OP13),
 }
