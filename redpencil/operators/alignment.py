@@ -16,8 +16,9 @@ edits by last inner node. Only token positions leave the task; Spark builds the
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections import Counter, deque
+from collections import Counter, defaultdict, deque
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +30,39 @@ EDIT_COST = 0.001       # fixed value: charge per edit; a matrix step costs 1
 ONE_EDIT = 1.0 + EDIT_COST
 FIRST = (float("inf"),)
 CELLS_PER_CHUNK = 1 << 22
+SPARSE_WORK = 200_000   # pairs of walks that are put together one by one; beyond, in matrices
+DENSE_NODES = 1200      # lattices with more nodes and more pairs of walks than that charge a longer edit once
 DELETE, INSERT, KEPT = 4, 16, 64    # places of the move counts in a lattice node's number
 
 SPANS = "array<array<struct<start:int,end:int,hyp_start:int,hyp_end:int>>>"
 
 
-def banded_costs(pairs, sub_costs, band):
-    """Distance matrices of many pairs at once, as an array [row, pair, cost, diagonal + band]."""
-    rows = max(len(s) for s, _ in pairs)
-    width = 2 * band + 1
-    src = np.full((len(pairs), rows), -1, np.int32)
-    hyp = np.full((len(pairs), rows + width), -2, np.int32)
-    for p, (s, t) in enumerate(pairs):
-        src[p, :len(s)] = s
-        usable = t[:rows + width - band]
-        hyp[p, band:band + len(usable)] = usable
-    subs = np.asarray(sub_costs, np.int32)[None, :, None]
-    ramp = np.arange(width, dtype=np.int32)
-    cost = np.empty((rows + 1, len(pairs), len(sub_costs), width), np.int32)
-    cost[0] = np.where(ramp >= band, ramp - band, FAR)
-    for i in range(1, rows + 1):
-        prev = cost[i - 1]
-        differ = src[:, i - 1, None] != hyp[:, i - 1:i - 1 + width]
-        best = prev + differ[:, None, :] * subs
+class Band:
+    """Rows of the distance matrices of several pairs, each an array [pair, cost, diagonal + band]."""
+
+    def __init__(self, pairs, sub_costs, band):
+        self.band, self.width, self.rows = band, 2 * band + 1, max(len(s) for s, _ in pairs)
+        self.src = np.full((len(pairs), self.rows), -1, np.int32)
+        self.hyp = np.full((len(pairs), self.rows + self.width), -2, np.int32)
+        for p, (s, t) in enumerate(pairs):
+            self.src[p, :len(s)] = s
+            usable = t[:self.rows + self.width - band]
+            self.hyp[p, band:band + len(usable)] = usable
+        self.subs = np.asarray(sub_costs, np.int32)[None, :, None]
+        self.ramp = np.arange(self.width, dtype=np.int32)
+        self.shape = (len(pairs), len(sub_costs), self.width)
+
+    def first(self):
+        return np.broadcast_to(np.where(self.ramp >= self.band, self.ramp - self.band, FAR), self.shape).astype(np.int32)
+
+    def differ(self, i):
+        """Where the source token before row ``i`` differs from the hypothesis token."""
+        return (self.src[:, i - 1, None] != self.hyp[:, i - 1:i - 1 + self.width])[:, None, :]
+
+    def after(self, prev, i):
+        best = prev + self.differ(i) * self.subs
         best[..., :-1] = np.minimum(best[..., :-1], prev[..., 1:] + 1)
-        cost[i] = np.minimum.accumulate(best - ramp, axis=-1) + ramp
-    return cost
+        return np.minimum.accumulate(best - self.ramp, axis=-1) + self.ramp
 
 
 def _chunks(pairs, indexes, bands, costs):
@@ -91,54 +99,107 @@ def _wider_band(n, m, band):
 
 
 def lattices(pairs, sub_costs):
-    """Yield (pair number, band, lattice) with a band that provably holds every cheapest path."""
+    """Yield (pair number, band, lattice) with a band that provably holds every cheapest path.
+
+    Rows of the matrices are kept at intervals only where all of them would not fit, and the rows between are computed
+    again on the way back, so memory grows with the square root of the length times the band.
+    """
     bands = _first_bands(pairs)
     waiting = list(range(len(pairs)))
     while waiting:
         retry = []
-        for group, band in _chunks(pairs, waiting, bands, 2 * len(sub_costs)):
+        for group, width in _chunks(pairs, waiting, bands, len(sub_costs)):
             members = [pairs[p] for p in group]
-            ahead = banded_costs(members, sub_costs, band)
-            behind = banded_costs([(s[::-1], t[::-1]) for s, t in members], sub_costs, band)
+            band = Band(members, sub_costs, width)
+            cells = band.rows * int(np.prod(band.shape))
+            every = 1 if cells <= CELLS_PER_CHUNK else isqrt(band.rows) + 1
+            kept, totals = _forward(band, members, every)
+            fits = [not _needs_wider_band(t, len(s), len(h), width) for t, (s, h) in zip(totals, members)]
             for g, p in enumerate(group):
-                n, m = len(pairs[p][0]), len(pairs[p][1])
-                total = int(ahead[n, g, :, m - n + band].max())
-                if _needs_wider_band(total, n, m, band):
-                    bands[p] = _wider_band(n, m, band)
+                if not fits[g]:
+                    bands[p] = _wider_band(len(pairs[p][0]), len(pairs[p][1]), width)
                     retry.append(p)
-                else:
-                    yield p, band, _lattice(ahead[:n + 1, g], behind[:n + 1, g], pairs[p], sub_costs, band)
+            for g, lattice in _backward(band, members, kept, every, fits):
+                yield group[g], width, lattice
         waiting = retry
 
 
-def _lattice(ahead, behind, pair, sub_costs, band):
-    """{node: moves into it} for nodes ``row * width + diagonal`` on cheapest paths, in row-major order.
+def _forward(band, members, every):
+    """Each ``every``-th row, and each pair's largest distance."""
+    ends = defaultdict(list)
+    for g, (s, t) in enumerate(members):
+        ends[len(s)].append((g, len(t) - len(s) + band.band))
+    row, kept, totals = band.first(), {}, [0] * len(members)
+    for i in range(band.rows + 1):
+        if i:
+            row = band.after(row, i)
+        if i % every == 0:
+            kept[i] = row
+        for g, d in ends.get(i, ()):
+            totals[g] = int(row[g, :, d].max())
+    return kept, totals
 
-    A move is on a cheapest path when the cost before it, its own cost and the cost after it add up
-    to the distance. The moves of a node are one number, decoded by :func:`moves`.
+
+def _backward(band, members, kept, every, wanted):
+    """Follow all cheapest paths back from the ends: (pair, {node: moves into it}) in row-major order.
+
+    Nodes are ``row * width + diagonal``; the moves into a node are one number, decoded by :func:`moves`.
     """
-    src, hyp = pair
-    n, m, width = len(src), len(hyp), 2 * band + 1
-    after = np.full_like(ahead, FAR)
-    mirrored = behind[::-1, :, ::-1]
-    shift = m - n
-    if shift >= 0:
-        after[..., shift:] = mirrored[..., :width - shift]
-    else:
-        after[..., :shift] = mirrored[..., -shift:]
-    rest = ahead[n, :, shift + band][:, None] - after
-    padded = np.full(n + 2 * band + m + 1, -2, np.int32)
-    padded[band:band + m] = hyp
-    same = np.lib.stride_tricks.sliding_window_view(padded, width)[:n] == np.asarray(src, np.int32)[:, None]
-    code = np.zeros((n + 1, width), np.int16)
-    differ = np.where(same, 0, 1)[:, None, :] * np.asarray(sub_costs, np.int32)[None, :, None]
-    diagonal = (ahead[:-1] + differ == rest[1:]).sum(axis=1)
-    code[1:] = diagonal + np.where(same & (diagonal > 0), KEPT, 0)
-    code[1:, :-1] += ((ahead[:-1, :, 1:] + 1 == rest[1:, :, :-1]).sum(axis=1) * DELETE).astype(np.int16)
-    code[:, 1:] += ((ahead[:, :, :-1] + 1 == rest[:, :, 1:]).sum(axis=1) * INSERT).astype(np.int16)
-    flat = code.ravel()
-    nodes = np.flatnonzero(flat)
-    return {band: 0, **dict(zip(nodes.tolist(), flat[nodes].tolist()))}
+    ends = defaultdict(list)
+    for g, (s, t) in enumerate(members):
+        if wanted[g]:
+            ends[len(s)].append((g, len(t) - len(s) + band.band))
+    alive, found = np.zeros(band.shape, bool), []
+    rows: dict = {}
+    place = np.arange(band.width)
+    for i in range(band.rows, -1, -1):
+        if i not in rows:
+            start = i - i % every
+            rows = {start: kept[start]}
+            for k in range(start + 1, i + 1):
+                rows[k] = band.after(rows[k - 1], k)
+        for g, d in ends.get(i, ()):
+            alive[g, :, d] = True
+        row = rows.pop(i)
+        inserts = np.zeros(band.shape, bool)
+        inserts[..., 1:] = row[..., :-1] + 1 == row[..., 1:]
+        # a node is on a path when the next node at its right that is has only insertions in between
+        if (alive & inserts).any():
+            shut = np.where(inserts, band.width, place)                   # no insertion leads into these
+            shut = np.minimum.accumulate(shut[..., ::-1], axis=-1)[..., ::-1]
+            near = np.where(alive, place, 2 * band.width)
+            near = np.minimum.accumulate(near[..., ::-1], axis=-1)[..., ::-1]
+            after = np.full(band.shape, band.width)
+            after[..., :-1] = shut[..., 1:]
+            alive = near < after
+        code = (alive & inserts).sum(axis=1) * INSERT
+        if i:
+            prev = rows[i - 1] if i - 1 in rows else kept[i - 1] if i - 1 in kept else None
+            if prev is None:
+                start = (i - 1) - (i - 1) % every
+                rows = {start: kept[start]}
+                for k in range(start + 1, i):
+                    rows[k] = band.after(rows[k - 1], k)
+                prev = rows[i - 1]
+            differ = band.differ(i)
+            diagonal = alive & (prev + differ * band.subs == row)
+            deletes = np.zeros(band.shape, bool)
+            deletes[..., :-1] = alive[..., :-1] & (prev[..., 1:] + 1 == row[..., :-1])
+            count = diagonal.sum(axis=1)
+            code += count + np.where((count > 0) & ~differ[:, 0], KEPT, 0) + deletes.sum(axis=1) * DELETE
+            alive = diagonal
+            alive[..., 1:] |= deletes[..., :-1]
+        g, d = np.nonzero(code)
+        found.append((g, i * band.width + d, code[g, d]))
+    pair, node, code = (np.concatenate(x) for x in zip(*found[::-1]))
+    order = np.argsort(pair, kind="stable")
+    pair, node, code = pair[order], node[order], code[order]
+    cuts = np.searchsorted(pair, np.arange(len(members) + 1))
+    for g in range(len(members)):
+        if wanted[g]:
+            part = slice(cuts[g], cuts[g + 1])
+            # a row's nodes were found from left to right, rows now ascend
+            yield g, {band.band: 0, **dict(zip(node[part].tolist(), code[part].tolist()))}
 
 
 @lru_cache(maxsize=256)
@@ -153,6 +214,210 @@ def moves(width):
     return table
 
 
+def _arcs(lattice, nodes, width, keep, merged):
+    """All walks of the lattice that can be an edit or a kept token, or None if they are too many to list.
+
+    Returns {goal: [(start, weight, kept token?, places)]} and the length of the list of arcs. Walks are found node by
+    node: one that ends at a node is prolonged by those that start there, and is listed when it is shorter than what its
+    ends had before. So an arc can be listed again, and each time it is charged again. ``places`` are its places in the list.
+    """
+    into = moves(width)
+    if merged:
+        order = nodes                                        # row by row
+        base = [(v + offset, v, change, charge) for v in nodes for offset, change, charge in into[lattice[v]]]
+        base.sort()
+    else:
+        order, base, seen = [nodes[-1]], [], {nodes[-1]}     # breadth first from the end
+        for v in order:
+            for offset, change, charge in into[lattice[v]]:
+                base.append((v + offset, v, change, charge))
+                if v + offset not in seen:
+                    seen.add(v + offset)
+                    order.append(v + offset)
+    # [steps, kept tokens, is kept, places]
+    arcs, starts, goals, length = {}, defaultdict(dict), defaultdict(dict), 0
+    for u, v, change, charge in base:
+        arcs[u, v] = starts[v][u] = goals[u][v] = [1, 0 if change else 1, not change, list(range(length, length + charge))]
+        length += charge
+    listed = _prolong(order, arcs, starts, goals, keep, length)
+    if listed is None:
+        listed = _prolong_dense(order, arcs, keep, length) if len(nodes) <= DENSE_NODES else None
+    if listed is None:
+        return None
+    # kept walks of several steps go, but after each of them the next entry of the list is passed over
+    length, at = length + len(listed), 0
+    while at < len(listed):
+        arc = arcs.get(listed[at])
+        if arc is not None and arc[2] and arc[0] > 1:
+            del arcs[listed[at]]
+            length -= 1
+            at += 1
+        at += 1
+    found = defaultdict(list)
+    for (u, v), (steps, _, kept, places) in arcs.items():
+        weight = float(steps)
+        if not kept:
+            for _ in places:
+                weight += EDIT_COST
+        found[v].append((u, weight, kept, places))
+    return found, length
+
+
+def _prolong(order, arcs, starts, goals, keep, length):
+    rank = {v: k for k, v in enumerate(order)}.__getitem__
+    listed, work = [], 0
+    for k in order:
+        before, after = starts[k], goals[k]
+        work += len(before) * len(after)
+        if work > SPARSE_WORK:
+            return None
+        if len(after) > 1:
+            after = {j: after[j] for j in sorted(after, key=rank)}
+        for i in sorted(before, key=rank) if len(before) > 1 else before:
+            steps, kept, same, _ = before[i]
+            own = goals[i]
+            for j, (more, also, alike, _) in after.items():
+                if kept + also > keep:
+                    continue
+                now = own.get(j)
+                if now is None:
+                    arcs[i, j] = own[j] = starts[j][i] = [steps + more, kept + also, same and alike, [length + len(listed)]]
+                elif steps + more < now[0]:
+                    now[:3] = steps + more, kept + also, same and alike
+                    now[3].append(length + len(listed))
+                else:
+                    continue
+                listed.append((i, j))
+    return listed
+
+
+def _prolong_dense(order, arcs, keep, length):
+    """:func:`_prolong` over matrices [start, goal]; ``arcs`` may hold walks listed before, only single steps count."""
+    size, rank = len(order), {v: k for k, v in enumerate(order)}
+    for key in [key for key, arc in arcs.items() if arc[3][0] >= length]:
+        del arcs[key]
+    steps, kept = np.full((size, size), FAR, np.int32), np.zeros((size, size), np.int32)
+    same = np.zeros((size, size), bool)
+    for (u, v), arc in arcs.items():
+        arc[:3], arc[3] = (1, int(arc[2] if arc[0] == 1 else 0), arc[2] if arc[0] == 1 else False), [x for x in arc[3] if x < length]
+        steps[rank[u], rank[v]], kept[rank[u], rank[v]], same[rank[u], rank[v]] = arc[0], arc[1], arc[2]
+    listed = []
+    for k in range(size):
+        i, j = np.flatnonzero(steps[:, k] < FAR), np.flatnonzero(steps[k] < FAR)
+        if not len(i) or not len(j):
+            continue
+        both, held = steps[i, k][:, None] + steps[k, j], kept[i, k][:, None] + kept[k, j]
+        a, b = np.nonzero((both < steps[np.ix_(i, j)]) & (held <= keep))
+        steps[i[a], j[b]], kept[i[a], j[b]], same[i[a], j[b]] = both[a, b], held[a, b], same[i[a], k] & same[k, j[b]]
+        listed.append(i[a] * size + j[b])
+    flat = np.concatenate(listed) if listed else np.empty(0, np.int64)
+    names = [(order[x // size], order[x % size]) for x in flat.tolist()]
+    for place, key in enumerate(names, length):
+        arc = arcs.get(key)
+        if arc is None:
+            arc = arcs[key] = [0, 0, False, []]
+        arc[3].append(place)
+    for (u, v), arc in arcs.items():
+        x, y = rank[u], rank[v]
+        arc[:3] = int(steps[x, y]), int(kept[x, y]), bool(same[x, y])
+    return names
+
+
+def _gold_weights(gold, pair, arcs, length, width, band):
+    """Weights that differ because of gold edits: {(start, goal): weight}."""
+    src, hyp = pair
+    by_span = defaultdict(list)
+    for start, end, alternatives in gold:
+        if 0 <= start <= end <= len(src):
+            by_span[start, end].append(alternatives)
+    if not by_span:
+        return {}
+    place = lambda v: (v // width, v // width + v % width - band)
+    weights, insertions = {}, defaultdict(list)
+    for v, own in arcs.items():
+        row, j = place(v)
+        for u, weight, kept, places in own:
+            i, k = place(u)
+            golds = by_span.get((i, row))
+            if golds is None:
+                continue
+            if i == row:
+                insertions[row] += [(u, v)] * len(places)
+                continue
+            words = hyp[k:j]
+            if any(words in alternatives for alternatives in golds):
+                weights[u, v] = float(-length)
+    for row, listed in insertions.items():
+        golds = [[w for w in alternatives if w] for alternatives in by_span[row, row]]
+        weights.update(_insertion_weights(sorted(listed), golds, hyp, place, float(-length)))
+    return weights
+
+
+def _insertion_weights(listed, golds, hyp, place, hit):
+    """Weights of the insertions at one position, an entry for each time an arc is listed.
+
+    Gold insertions are used once each, in order. The list is read from both ends: a miss changes the end, a hit keeps it
+    and passes over the entries that do not continue from it; what is missed or passed over is charged.
+    """
+    weights = {(u, v): float(v - u) for u, v in listed}
+    ends, open_golds, front = [0, len(listed) - 1], [0, len(golds) - 1], True
+    while ends[0] <= ends[1]:
+        front = front or ends[0] == ends[1]
+        side, step = (0, 1) if front else (1, -1)
+        arc = listed[ends[side]]
+        words = hyp[place(arc[0])[1]:place(arc[1])[1]]
+        order = range(open_golds[0], open_golds[1] + 1)
+        found = next((g for g in (order if front else reversed(order)) if words in golds[g]), None)
+        ends[side] += step
+        if found is None:
+            weights[arc] += EDIT_COST
+            front = not front
+            continue
+        weights[arc] = hit
+        open_golds[side] = found + step
+        while 0 <= ends[side] < len(listed) and listed[ends[side]][side] != arc[1 - side]:
+            weights[listed[ends[side]]] += EDIT_COST
+            ends[side] += step
+    return weights
+
+
+def best_spans(pair, nodes, band, gold, arcs):
+    """Edit spans (start, end, hyp_start, hyp_end) of the cheapest sequence, in document order.
+
+    Of sequences of equal cost the one stays that is found first when the list of arcs is gone through again and again:
+    a node's rank is its cost, then the round and the place in the list at which it got that cost.
+    """
+    arcs, length = arcs
+    width = 2 * band + 1
+    weights = _gold_weights(gold, pair, arcs, length, width, band) if gold else {}
+    rank, came = {nodes[0]: (0.0, 1, -1)}, {nodes[0]: None}
+    for v in nodes[1:]:
+        best, back = FIRST, None
+        for u, weight, kept, places in arcs[v]:
+            cost, turn, at = rank[u]
+            if weights:
+                weight = weights.get((u, v), weight)
+            cost += weight
+            if cost > best[0]:
+                continue
+            if places[-1] > at:
+                option = (cost, turn, places[0] if places[0] > at else places[bisect_right(places, at)])
+            else:
+                option = (cost, turn + 1, places[0])
+            if option < best:
+                best, back = option, (u, kept)
+        rank[v], came[v] = best, back
+    spans, node = [], nodes[-1]
+    while came[node] is not None:
+        start, kept = came[node]
+        if not kept:
+            i, d = divmod(start, width)
+            ii, dd = divmod(node, width)
+            spans.append((i, ii, i + d - band, ii + dd - band))
+        node = start
+    return spans[::-1]
+
+
 def _walk_exists(lattice, nodes, into, start, goal, max_unchanged):
     """Whether start -> goal is one edit; also whether it holds any change."""
     reach = {start: (0, 0, False)}
@@ -238,8 +503,8 @@ def _gold_arcs(gold, pair, lattice, nodes, band, max_unchanged):
     return arcs
 
 
-def best_spans(pair, lattice, nodes, band, gold, max_unchanged):
-    """Edit spans (start, end, hyp_start, hyp_end) of the best sequence, in document order."""
+def _spans_charged_once(pair, lattice, nodes, band, gold, max_unchanged):
+    """:func:`best_spans` where the walks are too many to list: linear in the nodes, every longer edit charged once."""
     src, hyp = pair
     width = 2 * band + 1
     into = moves(width)
@@ -386,13 +651,16 @@ def align_batch(source, hypothesis, gold, max_unchanged, sub_costs):
     members = list(rows_of.values())
     for p, band, lattice in lattices(pairs, sub_costs):
         memo, nodes = {}, list(lattice)
+        arcs = _arcs(lattice, nodes, 2 * band + 1, max_unchanged, len(sub_costs) > 1)
         for r in members[p]:
             result[r] = []
             for edits in golds[r] or ((),):
                 if edits not in memo:
                     coded = [(start, end, [[words.get(w, -1) for w in c.split(" ")] if c else [] for c in corrections])
                              for start, end, corrections in edits]
-                    memo[edits] = best_spans(pairs[p], lattice, nodes, band, coded, max_unchanged)
+                    memo[edits] = (
+                        _spans_charged_once(pairs[p], lattice, nodes, band, coded, max_unchanged) if arcs is None else
+                        best_spans(pairs[p], nodes, band, coded, arcs))
                 result[r].append(memo[edits])
     return _pack_spans(result)
 
@@ -433,10 +701,11 @@ def distance_batch(left, right, cost_sub):
     while waiting:
         retry = []
         for group, band in _chunks(pairs, waiting, bands, 1):
-            cost = banded_costs([pairs[p] for p in group], (cost_sub,), band)
+            members = [pairs[p] for p in group]
+            _, totals = _forward(Band(members, (cost_sub,), band), members, 1 << 40)
             for g, p in enumerate(group):
                 n, m = len(pairs[p][0]), len(pairs[p][1])
-                total = int(cost[n, g, 0, m - n + band])
+                total = totals[g]
                 if _needs_wider_band(total, n, m, band):
                     bands[p] = _wider_band(n, m, band)
                     retry.append(p)

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from edit_model import choose
+from redpencil.operators import alignment
 from redpencil.operators.alignment import align_batch, distance_batch
 from redpencil.operators.edits import edit_count, extract_edits, with_edits, zip_lines
 
@@ -85,8 +87,67 @@ def cost_by_sequence(src, hyp, gold, keep, costs):
     return best((0, 0))
 
 
+def random_case(rnd):
+    """A dense pair, or one of mostly kept tokens, with gold of all kinds, insertions and repeats among it."""
+    words = [f"w{k}" for k in range(rnd.choice([2, 3, 6, 12]))]
+    pick = lambda n: [rnd.choice(words) for _ in range(n)]
+    if rnd.random() < .5:
+        src, hyp = pick(rnd.randint(0, 6)), pick(rnd.randint(0, 6))
+    else:
+        src, hyp = pick(rnd.randint(0, 11)), []
+        for w in src:
+            r = rnd.random()
+            hyp += [] if r < .1 else [w] if r < .85 else pick(1 if r < .9 else 2)
+    gold = []
+    for k in range(len(src) + 1):
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            if rnd.random() < .5:
+                gold.append((k, k, *[pick(rnd.choice([1, 1, 2])) for _ in range(rnd.choice([1, 2]))]))
+            if k < len(src) and rnd.random() < .4:
+                gold.append((k, min(len(src), k + rnd.choice([1, 1, 2, 3])), pick(rnd.choice([0, 1, 1, 2]))))
+    return src, hyp, gold
+
+
+def correct(found, gold, hyp):
+    """Matched edits, in order; equal gold further on counts an edit again."""
+    count = last = 0
+    for a, b, j, jj in found:
+        places = [k for k in range(last, len(gold)) if gold[k][:2] == (a, b) and hyp[j:jj] in gold[k][2:]]
+        count, last = count + len(places), places[-1] + 1 if places else last
+    return count
+
+
+@pytest.mark.parametrize("keep", [0, 1, 2])
+@pytest.mark.parametrize("costs", [(1, 2), (2,)])
+@pytest.mark.parametrize("sparse", [True, False])
+def test_counts_equal_the_model(monkeypatch, keep, costs, sparse):
+    if not sparse:
+        monkeypatch.setattr(alignment, "SPARSE_WORK", 0)
+    monkeypatch.setattr(alignment, "CELLS_PER_CHUNK", random.Random(keep).choice([1 << 22, 400]))
+    rnd = random.Random(7 * keep + len(costs) + 100 * sparse)
+    for _ in range(260):
+        src, hyp, gold = random_case(rnd)
+        listed = [(a, b, *(" ".join(x) for x in alts)) for a, b, *alts in gold]
+        found = spans(src, hyp, [listed], keep, costs)[0]
+        wanted = choose(src, hyp, gold, keep, costs)
+        assert (len(found), correct(found, gold, hyp)) == (len(wanted), correct(wanted, gold, hyp)), (src, hyp, gold)
+
+
+def test_long_pair_in_bounded_memory(monkeypatch):
+    """Rows that don't all fit are computed again; the lattice is the same."""
+    rnd = random.Random(11)
+    src = [rnd.randrange(300) for _ in range(700)]
+    hyp = [t if rnd.random() < .9 else rnd.randrange(300) for t in src if rnd.random() < .95]
+    whole = list(alignment.lattices([(src, hyp)], (1, 2)))
+    monkeypatch.setattr(alignment, "CELLS_PER_CHUNK", 1000)
+    assert list(alignment.lattices([(src, hyp)], (1, 2))) == whole
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_kernel_is_optimal(seed):
+def test_search_for_large_lattices_is_optimal(seed, monkeypatch):
+    """Where walks are too many to list, longer edits are charged once."""
+    monkeypatch.setattr(alignment, "SPARSE_WORK", -1)
+    monkeypatch.setattr(alignment, "DENSE_NODES", 0)
     rnd = random.Random(seed)
     for _ in range(25):
         words = [f"w{k}" for k in range(rnd.choice([2, 3, 6]))]
