@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redpencil.functions.text import equal_ignoring_space_and_case
 from redpencil.functions.tokenizer import whitespace_tokens
@@ -14,15 +14,22 @@ EDIT = "struct<start:int,end:int,original:string,correction:string>"
 
 def zip_lines(left: DataFrame, right: DataFrame, key: str = "sent_id", strict: bool = True) -> DataFrame:
     """Match two line tables one to one. ``strict`` fails on the first unmatched line as the query
-    runs; otherwise unmatched lines are dropped."""
+    runs; otherwise unmatched lines are dropped. A position that a table holds twice is an error in both
+    cases, found where the join sorts its rows anyway, before any row is matched."""
+    order = Window.partitionBy(key).orderBy(key)
+
+    def fail(words: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{words}: {key}="), F.col(key).cast("string"))).cast("boolean")
+
+    def once(df: DataFrame) -> DataFrame:
+        numbered = df.where(F.col(key).isNotNull() | F.lit(strict)).withColumn("_n", F.row_number().over(order))
+        return numbered.where(F.when((F.col("_n") > 1) & F.col(key).isNotNull(), fail("repeated line")).otherwise(F.lit(True))).drop("_n")
     if not strict:
-        return left.join(right, key)
-    a = left.withColumn("_left", F.lit(True))
-    b = right.withColumn("_right", F.lit(True))
+        return once(left).join(once(right), key)
+    a = once(left).withColumn("_left", F.lit(True))
+    b = once(right).withColumn("_right", F.lit(True))
     unmatched = F.col("_left").isNull() | F.col("_right").isNull()
-    checked = F.when(unmatched, F.raise_error(F.concat(
-        F.lit(f"line without partner: {key}="), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
-    return a.join(b, key, "full_outer").where(checked).drop("_left", "_right")
+    return a.join(b, key, "full_outer").where(F.when(unmatched, fail("line without partner")).otherwise(F.lit(True))).drop("_left", "_right")
 
 
 def _edit(span: Column, source: Column, hypothesis: Column) -> Column:

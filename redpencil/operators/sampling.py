@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpencil.functions.text import equal_ignoring_space_and_case
@@ -15,28 +16,22 @@ def changed_pairs(df: DataFrame) -> DataFrame:
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "pair_id", strict: bool = True) -> DataFrame:
     """The first ``n`` rows of a seeded order that depends on the keys only, not on partitions.
 
-    ``strict`` fails when there are fewer than ``n`` rows. Ranks are hexadecimal hashes, so rows are
-    first counted by the rank's leading digits; only the ranks up to the one that completes the
-    sample are sorted and merged, a few more than ``n`` rows in all.
+    ``strict`` fails when there are fewer than ``n`` rows. Ranks are hexadecimal hashes. One aggregate counts the rows
+    by the rank's first four digits, 65,536 counts at most; the second scan sorts only the ranks up to the digits that
+    complete the sample, a few more than ``n`` rows in all.
     """
-    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ranked = df.withColumn("_rank", rank)
-    last, missing = "", n
-    for _ in range(2):                   # 4,096 counts at most each time
-        digits = len(last) + 3
-        counts = ranked.where(F.col("_rank").startswith(last)).groupBy(F.substring("_rank", 1, digits).alias("head")).count()
-        for row in sorted(counts.collect()):
-            last = row["head"]
-            if row["count"] >= missing:
-                break
-            missing -= row["count"]
-        else:
-            if strict and missing:
-                raise ValueError(f"sample of {n} rows asked for, fewer present")
-            return df
-        if row["count"] <= n:
-            break
-    return ranked.where(F.substring("_rank", 1, len(last)) <= last).orderBy("_rank", key).limit(n).drop("_rank")
+    ranked = df.withColumn("_rank", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    head = F.conv(F.substring("_rank", 1, 4), 16, 10).cast("int")
+    counts = ranked.groupBy(head.alias("head")).count().where("head IS NOT NULL").toArrow()
+    heads, rows = (np.asarray(c) for c in counts.columns) if len(counts) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    order = np.argsort(heads, kind="stable")
+    reached = np.cumsum(rows[order])
+    at = int(np.searchsorted(reached, n))
+    if at == len(reached):
+        if strict and n > (reached[-1] if len(reached) else 0):
+            raise ValueError(f"sample of {n} rows asked for, fewer present")
+        return df
+    return ranked.where(head <= int(heads[order][at])).orderBy("_rank", key).limit(n).drop("_rank")
 
 
 def drop_space_and_case_edits(df: DataFrame) -> DataFrame:

@@ -33,35 +33,31 @@ def prefix_sum(df: DataFrame, value: Column, name: str, order: str, by: list[str
         *df.columns, (F.col("_before") + F.col("_inside")).alias(name))
 
 
-def next_value(df: DataFrame, value: str, name: str, order: str, by: list[str] = (),
-               width: int = BUCKET_ROWS) -> DataFrame:
-    """The following row's value (null at the end) and, as ``<name>_exists``, whether there is one."""
-    by = list(by)
-    cells = _bucketed(df, order, width).withColumn("_cell", F.struct(F.col(value).alias("v")))
-    firsts = cells.groupBy(*by, "_bucket").agg(F.min_by("_cell", order).alias("_first"))
-    ahead = firsts.select(*by, "_bucket", F.lead("_first").over(_over_buckets(by)).alias("_ahead"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(order)
-    led = cells.withColumn("_next", F.lead("_cell").over(inside))
-    following = F.coalesce("_next", "_ahead")
-    return led.join(ahead, by + ["_bucket"]).select(
-        *df.columns, following["v"].alias(name), following.isNotNull().alias(f"{name}_exists"))
-
-
 def pairs(df: DataFrame, value: str, order: str, by: list[str] = (), overlapping: bool = False,
           width: int = BUCKET_ROWS) -> DataFrame:
     """Neighbouring values as ``(first, second)``.
 
     Without overlap rows 0-1, 2-3, ... pair up. When the number of rows is odd the last row is
     paired with null; with overlap and an even number there is no such row.
+
+    A row's place and follower come from one window inside its bucket; one row per bucket carries the
+    number of rows before it and the first value of the next bucket.
     """
     by = list(by)
-    placed = prefix_sum(df, F.lit(1), "_place", order, by, width)
-    ahead = next_value(placed, value, "second", order, by, width)
-    first_of_pair = F.col("_place") % 2 == 1
-    keep = first_of_pair
-    if overlapping:
-        keep = F.col("second_exists") | first_of_pair
-    return ahead.where(keep).select(*by, order, F.col(value).alias("first"), "second")
+    cells = _bucketed(df.select(*by, order, value), order, width).withColumn("_cell", F.struct(F.col(value).alias("v")))
+    totals = cells.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"), F.min(F.struct(F.col(order).alias("at"), "_cell")).alias("_first"))
+    over = _over_buckets(by)
+    borders = totals.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_bucket").alias("_of"), F.lead("_first").over(over)["_cell"].alias("_ahead"),
+                            F.coalesce(F.sum("_rows").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order)
+    placed = cells.withColumn("_place", F.row_number().over(inside)).withColumn("_next", F.lead("_cell").over(inside))
+    same = F.col("_bucket").eqNullSafe(F.col("_of"))
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    following = F.coalesce("_next", "_ahead")
+    first_of_pair = (F.col("_before") + F.col("_place")) % 2 == 1
+    keep = following.isNotNull() | first_of_pair if overlapping else first_of_pair
+    return placed.join(borders, same).where(keep).select(*by, order, F.col(value).alias("first"), following["v"].alias("second"))
 
 
 def blocks(df: DataFrame, is_separator: Column, order: str, line: str, by: list[str] = (),
@@ -76,11 +72,19 @@ def blocks(df: DataFrame, is_separator: Column, order: str, line: str, by: list[
 
 
 def uniq(df: DataFrame, key: Column | str, order: str, by: list[str] = ()) -> DataFrame:
-    """First row per key. A minimum over structs combines before the shuffle, so hot keys are cheap."""
+    """First row per key, in a unique ``order`` without nulls.
+
+    The least position of each key is found on 128 bits of it, in a hash aggregate that combines before the shuffle, so
+    hot keys are cheap and long keys don't move; then a semi-join keeps the rows at these positions.
+    """
     key = F.col(key) if isinstance(key, str) else key
-    group = [F.col(b).alias(f"_by_{b}") for b in by]
-    firsts = df.groupBy(*group, key.alias("_key")).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row"))
-    return firsts.select("_row.*")
+    keyed = df.select("*", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(1), key).alias("_h2"))
+    group = [*by, "_h1", "_h2"]
+    firsts = keyed.groupBy(*(F.col(c).alias(f"_of_{c}") for c in group)).agg(F.min(order).alias("_least"))
+    same = F.col(order) == F.col("_least")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return keyed.join(firsts, same, "left_semi").drop("_h1", "_h2")
 
 
 def sort_entries(df: DataFrame, key: str, value: str, by_value: bool = False, reverse: bool = False) -> DataFrame:
@@ -102,16 +106,22 @@ def extreme_entry(df: DataFrame, key: str, value: str, largest: bool, by_value:
     return best_rows.groupBy(*by).agg(entry).select(*by, F.col("e.k").alias(key), F.col("e.v").alias(value))
 
 
+SCALE_STEP = 32.0
+
+
 def softmax(df: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
     """Softmax within groups, shifted by the group maximum.
 
-    Both group figures come from pre-combined aggregates joined back, so a hot group is split like
-    any skewed join instead of being sorted in one window task.
+    Maximum and sum come from one pass: rows of a group add up in classes of ``SCALE_STEP``, each sum scaled to its
+    class so that nothing overflows, and a group's classes are then brought to the scale of its maximum. The
+    aggregates combine before the shuffle, and joining a group's row back is split like any skewed join.
     """
-    tops = df.groupBy(*by).agg(F.max(value).alias("_top"))
-    shifted = df.join(tops, list(by)).withColumn("_e", F.exp(F.col(value) - F.col("_top")))
-    masses = shifted.groupBy(*by).agg(F.sum("_e").alias("_mass"))
-    return shifted.join(masses, list(by)).select(*df.columns, (F.col("_e") / F.col("_mass")).alias(name))
+    by = list(by)
+    base = F.floor(F.col(value) / SCALE_STEP).cast("double") * SCALE_STEP
+    classes = df.groupBy(*by, base.alias("_base")).agg(F.max(value).alias("_top"), F.sum(F.exp(F.col(value) - base)).alias("_sum"))
+    peaks = classes.withColumn("_peak", F.max("_top").over(Window.partitionBy(*by)))
+    groups = peaks.groupBy(*by).agg(F.max("_peak").alias("_top"), F.sum(F.col("_sum") * F.exp(F.col("_base") - F.col("_peak"))).alias("_mass"))
+    return df.join(groups, by).select(*df.columns, (F.exp(F.col(value) - F.col("_top")) / F.col("_mass")).alias(name))
 
 
 def frange(spark: SparkSession, start: float, end: float | None = None, inc: float = 1.0) -> DataFrame:

@@ -239,3 +239,8 @@ def test_zip_lines_is_strict(spark):
     assert zip_lines(left, right, strict=False).count() == 1
     with pytest.raises(Exception, match="without partner"):
         zip_lines(left, right).collect()
+    for strict in (True, False):
+        with pytest.raises(Exception, match="repeated line"):
+            zip_lines(left.union(left.where("sent_id = 1")), left.withColumnRenamed("text", "t"), strict=strict).collect()
+    plan = zip_lines(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2      # the check needs no shuffle of its own

@@ -44,6 +44,9 @@ def test_prefix_sum_with_hot_key(spark):
 def test_uniq_and_extremes(spark):
     df = frame(spark, list("baBcAb"))
     assert [r.v for r in tables.uniq(df, F.lower("v"), "pos").orderBy("pos").collect()] == list("bac")
+    assert sorted(r.v for r in tables.uniq(df, F.when(F.lower("v") != "a", F.lower("v")), "pos").collect()) == ["a", "b", "c"]
+    plan = tables.uniq(df, F.lower("v"), "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
     rows = spark.createDataFrame([("g", "x", 2), ("g", "y", 5), ("g", "w", 5), ("h", "z", 1)], "g string, k string, v int")
     pick = lambda *a: {r.g: (r.k, r.v) for r in tables.extreme_entry(rows, "k", "v", *a, by=["g"]).collect()}
     assert pick(True, True) == {"g": ("w", 5), "h": ("z", 1)}
@@ -59,6 +62,13 @@ def test_softmax_and_grid(spark):
     got = [r.p for r in tables.softmax(df, "v", "p", ["g"]).orderBy("i").collect()]
     weights = [math.exp(v - 1001) for v in values]
     assert got == pytest.approx([w / sum(weights) for w in weights])
+    wide = [-700.0, 0.0, 31.9, 32.0, 700.0, 701.5]
+    df = spark.createDataFrame([(i, "g", v) for i, v in enumerate(wide)], "i long, g string, v double")
+    found = tables.softmax(df, "v", "p", ["g"])
+    weights = [math.exp(v - 701.5) for v in wide]
+    assert [r.p for r in found.orderBy("i").collect()] == pytest.approx([w / sum(weights) for w in weights], rel=1e-12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and plan.count("Join") == 1
 
     def grid(*args):
         return [r.value for r in tables.frange(spark, *args).orderBy("id").collect()]
