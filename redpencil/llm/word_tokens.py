@@ -13,14 +13,14 @@ class WordEncoder:
     """Ids as little-endian 32-bit numbers.
 
     White space separates tokens and is dropped, so the words between blanks and line breaks are encoded on their
-    own and remembered; all else, other kinds of white space too, is left to the tokenizer.
+    own and remembered; all else, other kinds of white space too, is left to the tokenizer. Its special tokens hold no
+    blanks and take none beside them, so their strings in a text get their ids as in whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {"": b""}
         self.earlier: dict[str, bytes] = {}
 

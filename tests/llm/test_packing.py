@@ -14,10 +14,10 @@ ALPHABET = "aB  the\n\t\r\v \u0085\x1ćéÉ😀ñΣσ<|endoftext|>'s 12.,中
 def test_words_equal_whole_texts(words_model):
     own = WordEncoder(words_model)
     whole = Tokenizer.from_file(words_model)
-    whole.encode_special_tokens = True
     r = random.Random(1)
     texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(5000)]
-    for text in [*texts, "", " ", "<|endoftext|>", "it's 'S", "\n\n"]:
+    special = ["<|endoftext|>", "hello <|endoftext|> there", "a<|startoftext|>b \n<|endoftext|>,", "<|endoftext|><|startoftext|>", " <|EndOfText|>"]
+    for text in [*texts, *special, "", " ", "it's 'S", "\n\n"]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
@@ -65,7 +65,6 @@ def test_pack(spark, documents, words_model):
     out = packing.pack(documents.repartition(3), words_model).collect()
     check_table(out)
     whole = Tokenizer.from_file(words_model)
-    whole.encode_special_tokens = True
     found = defaultdict(list)
     for r in out:
         found[r.doc_id].append((r.start, r.ids))
