@@ -286,23 +286,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Documents with enough shingles in common are linked; a component is what links reach, named by its smallest id,
     and that document is kept. Texts that are null, empty or blank have no shingles and are linked with nothing. A
-    row without id is linked with nothing and its ``component_id`` and ``kept`` are null. Of rows that repeat an id
-    with other texts one is compared with others, and what it is linked with counts for all of them. An empty table gives no rows. Other columns are not read.
+    row without id is linked with nothing and its ``component_id`` and ``kept`` are null. All texts of a repeated id are
+    compared, and what one of them is linked with counts for the id. An empty table gives no rows. Other columns are not read.
     """
     own = materialize(sketched(docs, doc_id, text, words), "sketches")
     usable = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    one = Window.partitionBy("rep").orderBy("same", "digest")        # more than a row only where ids repeat
-    sketches = usable.join(classes.withColumnRenamed("same", "of"), (F.col("doc_id") == F.col("rep")) & (F.col("same") == F.col("of")))
-    sketches = materialize(sketches.withColumn("_k", F.row_number().over(one)).where("_k = 1").select(
-        "rep", "digest", "n_shingles", "bands", "sketch"), "classes")
+    classes = usable.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    one = Window.partitionBy("same").orderBy("digest")               # more than a row only where an id repeats
+    sketches = usable.join(classes, ["same", "doc_id"]).withColumn("_k", F.row_number().over(one)).where("_k = 1")
+    # a class is named by a number of its own, as the same id can stand for several sets
+    sketches = materialize(sketches.select(F.monotonically_increasing_id().alias("rep"), "same", "doc_id", "digest", "n_shingles", "bands", "sketch"), "classes")
     banded = sketches.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
     members = materialize(banded.join(shared.select("band", "first"), "band"), "members")
-    mates = sketches.join(members.select("rep").distinct(), "rep").select("rep", "digest")
+    mates = sketches.join(members.select("rep").distinct(), "rep").select("rep", "doc_id", "digest")
     body = F.col(text)
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("digest"))
-    texts = materialize(texts.join(mates, ["rep", "digest"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("digest"))
+    texts = materialize(texts.join(mates, ["doc_id", "digest"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
 
     links = confirm(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")), sketches, texts, words)
     busy = with_component(members, components(links))
@@ -310,14 +310,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = links.union(confirm(pairs, sketches, texts, words))
     busy = with_component(busy, components(links))
     links = links.union(links_within_bands(busy, sketches, texts, words))
-    found = components(links)
+    found = components(links.union(links_of_ids(usable, sketches)))
 
-    named = classes.join(found, classes.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("component"))
+    linked = sketches.select("rep", "same", "doc_id").join(found, F.col("rep") == F.col("node"))
+    names = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = linked.join(names, "component").select("same", "component_id")
+    named = classes.withColumnRenamed("doc_id", "least").join(linked, "same", "left").select("same", F.coalesce("component_id", "least").alias("component"))
     rows = own.join(named, "same", "left")
     linked_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", linked_id.alias("component_id"), (F.col("doc_id") == linked_id).alias("kept"))
 
 
+def links_of_ids(usable: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the classes of ids that have several."""
+    several = usable.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high")
+    owned = usable.join(several, "doc_id").select("doc_id", "same", "low").distinct()
+    reps = sketches.select("same", "rep")
+    first = reps.select(F.col("same").alias("low"), F.col("rep").alias("a"))
+    return owned.where("same <> low").join(reps, "same").join(first, "low").select("a", F.col("rep").alias("b"))
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """The documents that are kept, with all their columns; rows without id stay."""
     gone = near_duplicates(docs, doc_id, text, words).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()

@@ -89,3 +89,12 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(10, 60)] + [(1, 2), (2, 1), (3, 3)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {**{k: 10 for k in range(10, 61)}, 1: 1, 2: 1}
+
+
+def test_all_texts_of_a_repeated_id_count(spark):
+    x = [f"x{k}" for k in range(100)]
+    near = [*x[:50], "other", *x[51:]]
+    rows = [(5, "a text of its own"), (5, " ".join(x)), (9, " ".join(x)), (12, " ".join(near)), (12, " ".join(near)), (20, "far from all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id, r.kept) for r in odd_sketch.near_duplicates(df).collect()}
+    assert found == {(5, 5, True), (9, 5, False), (12, 5, False), (20, 20, True)}
