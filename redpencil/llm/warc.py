@@ -131,11 +131,20 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return materialize(rows.select("page_id", "url", "payload", "sha1", "of", "of_url").mapInArrow(run, CAPTURES), "captures")
 
 
+INDEX_FILES = "file string, first_key string, first_page long, last_key string, last_page long, directory long, directory_length long"
+
+
+def _order(key: str, page: int | None) -> tuple[bytes, bool, int]:
+    """The order of captures in the index: as Spark sorts, by UTF-8 bytes and nulls first."""
+    return key.encode(), page is not None, page or 0
+
+
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
     """Write the sorted captures as compressed blocks with their directories; one row per index file.
 
-    ``file, first_key, last_key, directory, directory_length``: the directory lies at the end of the file, as a
-    compressed list of ``[first key, offset, length]``.
+    ``file, first_key, first_page, last_key, last_page, directory, directory_length``: the directory lies at the end of
+    the file, as a compressed list of ``[first key, its page, offset, length]``. An address of many captures so has
+    many entries, and a wanted one is in few blocks.
     """
     lines = captures.select("key", "page_id", "file", "offset", "length", "digest", "record_type")
     lines = lines.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
@@ -145,7 +154,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
 
         def flush() -> None:
             data = zlib.compress("\n".join(json.dumps(x) for x in held).encode(), 6)
-            directory.append([held[0][0], out.tell(), len(data)])
+            directory.append([held[0][0], held[0][1], out.tell(), len(data)])
             out.write(data)
             held.clear()
         for batch in batches:
@@ -156,7 +165,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path, compression=None)
                 held.append(row)
-                last = row[0]
+                last = row[:2]
                 if len(held) == LINES_PER_BLOCK:
                     flush()
         if out is not None:
@@ -165,18 +174,21 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             at, data = out.tell(), zlib.compress(json.dumps(directory).encode(), 6)
             out.write(data)
             out.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "first_key": directory[0][0], "last_key": last, "directory": at, "directory_length": len(data)}])
-    return materialize(lines.mapInArrow(run, "file string, first_key string, last_key string, directory long, directory_length long"), "index-files")
+            yield pa.RecordBatch.from_pylist([{
+                "file": name, "first_key": directory[0][0], "first_page": directory[0][1], "last_key": last[0], "last_page": last[1],
+                "directory": at, "directory_length": len(data)}])
+    return materialize(lines.mapInArrow(run, INDEX_FILES), "index-files")
 
 
 def look_up(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """``key, page_id, file, offset, length`` of the wanted ``key, page_id`` that the index has.
 
-    Every wanted row goes to the index files whose range of keys holds its key; a task opens a file's directory once
-    and reads a block once for neighbouring keys.
+    Every wanted row goes to the index files whose range of captures holds it; a task opens a file's directory once,
+    searches it by key and page, and reads a block once for neighbouring captures.
     """
     # one short row per index file, of which there are as many as shuffle partitions
-    files = sorted((r.first_key, r.last_key, r.file, r.directory, r.directory_length) for r in index.collect())
+    files = sorted((_order(r.first_key, r.first_page), _order(r.last_key, r.last_page), r.file, r.directory, r.directory_length)
+                   for r in index.collect())
     firsts = [x[0] for x in files]
     names = ["key", "page_id", "index", "directory", "directory_length"]
 
@@ -184,15 +196,16 @@ def look_up(wanted: DataFrame, index: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, page in zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist()):
-                k = bisect.bisect_right(firsts, key) - 1
-                while k >= 0 and files[k][1] >= key:     # a key can begin in one file and go on in the next
+                own = _order(key, page)
+                k = bisect.bisect_right(firsts, own) - 1
+                while k >= 0 and files[k][1] >= own:     # equal captures can begin in one file and go on in the next
                     rows.append((key, page, *files[k][2:]))
                     k -= 1
             if rows:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
     near = wanted.select("key", "page_id").mapInArrow(assign, "key string, page_id long, index string, directory long, directory_length long")
-    near = near.repartition("index").sortWithinPartitions("index", "key")
+    near = near.repartition(max(1, len(files)), "index").sortWithinPartitions("index", "key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, keys, directory, file, at, block = None, [], [], None, None, {}
@@ -204,14 +217,15 @@ def look_up(wanted: DataFrame, index: DataFrame) -> DataFrame:
                     name, file, at = index_name, system.open_input_file(path), None
                     file.seek(start)
                     directory = json.loads(zlib.decompress(file.read(length)))
-                    keys = [x[0] for x in directory]
-                # the block before the first one that begins with the key may end with it
-                k = max(bisect.bisect_left(keys, key) - 1, 0)
-                while k < len(keys) and keys[k] <= key:
+                    keys = [_order(*x[:2]) for x in directory]
+                # the block before the first one that begins with the capture may end with it
+                own = _order(key, page)
+                k = max(bisect.bisect_left(keys, own) - 1, 0)
+                while k < len(keys) and keys[k] <= own:
                     if at != k:
-                        file.seek(directory[k][1])
+                        file.seek(directory[k][2])
                         at, block = k, {}
-                        for line in zlib.decompress(file.read(directory[k][2])).decode().split("\n"):
+                        for line in zlib.decompress(file.read(directory[k][3])).decode().split("\n"):
                             x = json.loads(line)
                             block.setdefault((x[0], x[1]), []).append(x)
                     found += [{"key": key, "page_id": page, "file": x[2], "offset": x[3], "length": x[4]}
@@ -301,13 +315,15 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     folder = new_path(pages.sparkSession, "warc")
     captures = write_archives(pages, f"{folder}/archive", page_id, url, html)
     index = build_index(captures, f"{folder}/index")
+    # a task for each archive: their names say nothing of their sizes
     files = captures.select("file").distinct()
-    read = materialize(read_archives(files.repartition("file")).select(
+    archives = max(1, files.count())
+    read = materialize(read_archives(files.repartitionByRange(archives, "file")).select(
         "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
         "refers_to_key"), "records")
     wanted = read.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), F.col("refers_to_key").alias("key")).distinct()
     places = look_up(wanted, index)
-    originals = read_ranges(places.repartition("file").sortWithinPartitions("file", "offset"))
+    originals = read_ranges(places.repartition(archives, "file").sortWithinPartitions("file", "offset"))
     sizes = originals.groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest")).agg(
         F.max(F.octet_length("payload")).cast("long").alias("of_bytes"))
     full = read.join(sizes, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("of_digest")), "left")
