@@ -1,12 +1,14 @@
 """Exact top-k search by inner product with the MaxScore method over integer vectors.
 
-A dimension is a term, its postings are a shard's vectors with their values there. What a term can add to a query's
-score lies between bounds that the shard's smallest and largest value give. The terms of a query that together
-cannot lift a vector over the query's k-th best score so far are not essential: only the postings of the others are
-traversed, and vectors that are still competitive are probed in the remaining terms, the strongest first.
-
-Candidates are cut into shards and queries into blocks. Every block meets every shard once, in a task that holds one
-of each, goes through its shards in order and keeps the k best of each query; the parts are merged at the end.
+A dimension is a term, its postings are a shard's vectors with their values there. What the terms from some place on can
+add to a query's score is bounded twice: by the range of the shard's values in each of them, and by the product of the
+query's and the vector's lengths in them; the lesser one counts. The terms that together cannot lift a vector over the
+query's k-th best score so far are not essential: only the postings of the others are traversed for every vector, and
+what is still competitive then is probed in the remaining terms, some at a time.
+
+Candidates are cut into shards and queries into blocks. Every block meets every shard once, in a task that holds one of
+each, goes through its shards in order and keeps the k best of each query; the parts are merged at the end. Essential
+terms are summed for a block and a shard as one product of matrices.
 """
 
 from __future__ import annotations
@@ -21,9 +23,13 @@ from redpencil.llm.common import partitions_for
 from redpencil.session import materialize
 
 SHARD_ROWS = 2048
-BLOCK_ROWS = 512
-SHARDS_PER_TASK = 8
+BLOCK_ROWS = 8192
+TOGETHER = 256                   # queries of one product
+SHARDS_PER_TASK = 4
+TERMS = 16                       # terms that are added at once
+SPARSE = 0.1                     # below this share of competitive pairs each is probed on its own
 SCALE = 64
+LEAST = -(2**62)                # below every score
 
 
 def integers(embedding: Column, scale: int = SCALE) -> Column:
@@ -31,59 +37,112 @@ def integers(embedding: Column, scale: int = SCALE) -> Column:
     return F.transform(embedding.cast("array<double>"), lambda x: F.floor(x * scale).cast("long"))
 
 
+def exact_kind(a: np.ndarray, b: np.ndarray) -> type:
+    """A type in which inner products of these integers are exact."""
+    reach = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    return np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64
+
+
+class Shard:
+    """A shard's vectors in ascending order of ids, with its terms from the widest range to the narrowest."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, vectors = ids[order], vectors[order]
+        self.terms = np.argsort(vectors.min(axis=0) - vectors.max(axis=0), kind="stable")
+        self.vectors = vectors[:, self.terms]
+        self.low, self.high = self.vectors.min(axis=0), self.vectors.max(axis=0)
+        self.steps = [*range(0, self.vectors.shape[1], TERMS), self.vectors.shape[1]]
+        self.lengths = self.rests(self.vectors)
+
+    def rests(self, rows: np.ndarray) -> np.ndarray:
+        """Lengths of rows in the terms from each step on, rounded up."""
+        square = rows.astype(np.float64) ** 2
+        tails = np.stack([square[:, at:].sum(axis=1) for at in self.steps], axis=1)
+        return np.sqrt(tails) * (1 + 1e-9)
+
+
 class TopK:
     """The best candidates of each query of a block so far; of equal scores the smaller id."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = query_ids, queries, k
-        self.scores = [np.empty(0, np.int64)] * len(query_ids)
-        self.found = [np.empty(0, np.int64)] * len(query_ids)
-        self.bar = np.full(len(query_ids), np.iinfo(np.int64).min)
-
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores, ids = np.concatenate([self.scores[q], scores]), np.concatenate([self.found[q], ids])
-        best = np.lexsort((ids, -scores))[:self.k]
-        self.scores[q], self.found[q] = scores[best], ids[best]
-        if len(best) == self.k:
-            self.bar[q] = scores[best[-1]]
+        self.scores = np.full((len(query_ids), k), LEAST)
+        self.found = np.full((len(query_ids), k), np.iinfo(np.int64).max)
 
     def shard(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Add a shard's vectors; integer sums stay exact in doubles as long as they are below 2 ** 53."""
-        low, high = vectors.min(axis=0), vectors.max(axis=0)
-        q = self.queries
-        best = np.maximum(q * low, q * high)                      # a term's bounds for each query
-        reach = float(np.abs(q).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
-        kind = np.float64 if reach < 2**53 else np.int64
-        own, columns = q.astype(kind), np.ascontiguousarray(vectors.T.astype(kind))
-        spread = best - np.minimum(q * low, q * high)
-        order = np.argsort(-spread, axis=1, kind="stable")        # the terms that can differ most come first
-        for k in range(len(self.ids)):
-            terms = order[k]
-            least = np.minimum(q[k] * low, q[k] * high)[terms]
-            gain = best[k][terms]
-            rest = np.concatenate([np.cumsum(gain[::-1])[::-1], [0]])   # the most that terms from here on can add
-            if rest[0] < self.bar[k]:
-                continue                                          # no vector of the shard can compete
-            # essential: up to the first term from which on the others can't lift the best of the shard's floors
-            floor = np.cumsum(least)
-            can = np.flatnonzero(floor + rest[1:] < self.bar[k])
-            essential = int(can[0]) + 1 if len(can) else min(16, len(terms))
-            score = own[k][terms[:essential]] @ columns[terms[:essential]]
-            alive = np.flatnonzero(score + rest[essential] >= self.bar[k])
-            score = score[alive]
-            at = essential
-            while at < len(terms) and len(alive):
-                to = min(at + 8, len(terms))
-                score = score + own[k][terms[at:to]] @ columns[np.ix_(terms[at:to], alive)]
-                ok = score + rest[to] >= self.bar[k]
-                alive, score, at = alive[ok], score[ok], to
-            ok = ids[alive] != self.ids[k]
-            if ok.any():
-                alive, score = alive[ok], score[ok].astype(np.int64)
-                if len(alive) > self.k:                           # ties at the bar stay, ids decide
-                    bar = np.partition(score, len(score) - self.k)[len(score) - self.k]
-                    alive, score = alive[score >= bar], score[score >= bar]
-                self.add(k, score, ids[alive])
+        """Add a shard's vectors."""
+        shard = Shard(ids, vectors)
+        for at in range(0, len(self.ids), TOGETHER):
+            self.some(np.arange(at, min(at + TOGETHER, len(self.ids))), shard)
+
+    def some(self, mine: np.ndarray, shard: Shard) -> None:
+        queries = self.queries[mine][:, shard.terms]
+        best = np.maximum(queries * shard.low, queries * shard.high)
+        gain = np.stack([best[:, at:].sum(axis=1) for at in shard.steps], axis=1)      # the most that ranges allow from a step on
+        own = shard.rests(queries)
+        bar = self.scores[mine, -1]                               # LEAST until k are found
+        most = np.minimum(gain[:, 0], own[:, 0] * shard.lengths[:, 0].max(initial=0))
+        live = most >= bar
+        if not live.any():
+            return                                                # no vector of the shard can compete
+        mine, queries, gain, own, bar = (x[live] for x in (mine, queries, gain, own, bar))
+        # essential: the first terms, until the others alone can't reach any query's bar
+        rest = np.minimum(gain, own * shard.lengths.max(axis=0, initial=0))
+        essential = int(np.argmax((rest < bar[:, None]).all(axis=0))) if (rest < bar[:, None]).all(axis=0).any() else len(shard.steps) - 1
+        kind = exact_kind(queries, shard.vectors)
+        q, v = queries.astype(kind), shard.vectors.astype(kind)
+        step = max(essential, 1)
+        at = shard.steps[step]
+        scores = q[:, :at] @ v[:, :at].T
+        pairs = None
+        while pairs is None and step < len(shard.steps) - 1:
+            alive = scores + self._bound(gain[:, step, None], own[:, step, None], shard.lengths[None, :, step], kind) >= bar[:, None]
+            if alive.mean() < SPARSE:
+                pairs = np.nonzero(alive)
+                break
+            to = shard.steps[step + 1]
+            scores += q[:, at:to] @ v[:, at:to].T
+            step, at = step + 1, to
+        if pairs is None:
+            pairs = np.nonzero((scores >= bar[:, None]) & (shard.ids[None, :] != self.ids[mine][:, None]))
+            a, b = pairs
+            score = scores[a, b]
+        else:
+            a, b = pairs
+            score = scores[a, b]
+            while step < len(shard.steps) - 1 and len(a):
+                to = shard.steps[step + 1]
+                score = score + np.einsum("ij,ij->i", q[a, at:to], v[b, at:to])
+                step, at = step + 1, to
+                ok = score + self._bound(gain[a, step], own[a, step], shard.lengths[b, step], kind) >= bar[a]
+                a, b, score = a[ok], b[ok], score[ok]
+            ok = shard.ids[b] != self.ids[mine][a]
+            a, b, score = a[ok], b[ok], score[ok]
+        self._merge(mine, a, shard.ids[b], score.astype(np.int64))
+
+    @staticmethod
+    def _bound(gain: np.ndarray, own: np.ndarray, other: np.ndarray, kind: type) -> np.ndarray:
+        bound = np.minimum(gain, own * other)
+        bound = np.ceil(bound + np.abs(bound) * 1e-9)
+        return bound.astype(kind) if kind is not np.float32 else np.nextafter(bound.astype(np.float32), np.float32(np.inf))
+
+    def _merge(self, mine: np.ndarray, a: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """The k best of what was found and what was there, for the queries ``mine``; ``a`` are places in it."""
+        order = np.lexsort((ids, -scores, a))
+        a, ids, scores = a[order], ids[order], scores[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        ok = place < self.k
+        a, ids, scores, place = a[ok], ids[ok], scores[ok], place[ok]
+        new_scores, new_ids = np.full((len(mine), self.k), LEAST), np.full((len(mine), self.k), np.iinfo(np.int64).max)
+        new_scores[a, place], new_ids[a, place] = scores, ids
+        both = np.concatenate([self.scores[mine], new_scores], axis=1), np.concatenate([self.found[mine], new_ids], axis=1)
+        best = np.lexsort((both[1], -both[0]), axis=1)[:, :self.k]
+        self.scores[mine], self.found[mine] = (np.take_along_axis(x, best, axis=1) for x in both)
+
+    def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        full = self.scores > LEAST
+        return np.repeat(self.ids, full.sum(axis=1)), self.found[full], self.scores[full]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -116,10 +175,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
 
         def finish() -> Iterator[pa.RecordBatch]:
             if state is not None and len(state.ids):
-                n = [len(x) for x in state.found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(state.ids, n)), pa.array(np.concatenate(state.found)), pa.array(np.concatenate(state.scores))],
-                    names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in state.results()], names=["query_id", "vec_id", "score"])
 
         def take(t: pa.Table) -> Iterator[pa.RecordBatch]:
             nonlocal state, now
