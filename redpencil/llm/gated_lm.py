@@ -35,7 +35,7 @@ COUNTED = 200_000                # words whose counts every task holds
 COUNTED_BYTES = 64               # longer words meet their counts in the join
 CLASSES = 32
 HIDDEN = 16
-SLOTS, STEPS = 256, 16
+SLOTS, STEPS = 512, 16
 ROUNDS = 4
 TRAINER_TOKENS = 2_000_000       # a task trains on about so many tokens of a part, or on its split's if those are more
 RATE = 0.02
@@ -90,7 +90,8 @@ class Model:
     def __init__(self, own: np.ndarray, flat: np.ndarray | None = None):
         self.layout = lay = Layout(own)
         n, h, c = len(own), HIDDEN, lay.classes
-        shapes = {"table": (n, 3 * h), "again": (h, 3 * h), "to_class": (h, c), "class_bias": (c,), "to_word": (n, h), "word_bias": (n,)}
+        # arrays lie with their longest side last, so that a step goes through memory in order
+        shapes = {"table": (3 * h, n), "again": (3 * h, h), "to_class": (c, h), "class_bias": (c,), "to_word": (n, h), "word_bias": (n,)}
         fresh = flat is None
         self.flat = np.zeros(sum(map(math.prod, shapes.values())), np.float32) if fresh else flat.astype(np.float32)
         self.shapes = shapes
@@ -114,108 +115,124 @@ class Model:
         return out
 
     def states(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """States after each step of a window [step, slot], and what the way back needs."""
+        """States [step, unit, slot] after each step of a window [step, slot], and what the way back needs."""
         h, steps = HIDDEN, len(inputs)
-        given = self.table.take(inputs, axis=0)
+        given = np.take(self.table, inputs, axis=1)
         out = np.empty((steps + 1, *state.shape), np.float32)
-        before = np.empty((steps, *state.shape), np.float32)
-        gates, inner, recurrent = np.empty((steps, len(state), 2 * h), np.float32), np.empty_like(before), np.empty_like(before)
+        before, inner, recurrent = (np.empty((steps, *state.shape), np.float32) for _ in range(3))
+        gates = np.empty((steps, 2 * h, state.shape[1]), np.float32)
         out[0] = state
-        keep = (~fresh).astype(np.float32)[:, :, None]
+        keep = (~fresh).astype(np.float32)
         for t in range(steps):
             prev, g, n = before[t], gates[t], inner[t]
             np.multiply(out[t], keep[t], out=prev)
-            a = prev @ self.again
-            recurrent[t] = a[:, 2 * h:]
-            np.add(given[t, :, :2 * h], a[:, :2 * h], out=g)
+            a = self.again @ prev
+            recurrent[t] = a[2 * h:]
+            np.add(given[:2 * h, t], a[:2 * h], out=g)
             np.negative(g, out=g)
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            np.multiply(g[:, h:], recurrent[t], out=n)
-            n += given[t, :, 2 * h:]
+            np.multiply(g[h:], recurrent[t], out=n)
+            n += given[2 * h:, t]
             np.tanh(n, out=n)
             np.subtract(prev, n, out=out[t + 1])
-            out[t + 1] *= g[:, :h]
+            out[t + 1] *= g[:h]
             out[t + 1] += n
         return out[1:], (before, gates, inner, recurrent, keep)
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray, weight: np.ndarray | None = None, into: dict | None = None):
-        """Natural logarithms of the targets' probabilities; with ``into`` also gradients, and those by the states."""
+        """Natural logarithms of the targets' probabilities, given states [unit, place]; with ``into`` also gradients, and
+        those by the states."""
         lay = self.layout
         place = lay.place[targets]
         cls = lay.of_place[place]
-        logits = states @ self.to_class + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1, keepdims=True)
-        rows = np.arange(len(targets))
-        found = logits[rows, cls] - np.log(total[:, 0])
+        order = np.argsort(cls.astype(np.int16), kind="stable")     # places by class, so that a class is a slice
+        states, place, cls = np.take(states, order, axis=1), place[order], cls[order]
+        ends = np.searchsorted(cls, np.arange(lay.classes + 1))
+        weight = None if weight is None else weight[order]
+
+        def softmax(matrix, bias, own, wanted, weight):
+            e = matrix @ own
+            e += bias[:, None]
+            e -= e.max(axis=0)
+            columns = np.arange(len(wanted))
+            found = e[wanted, columns]
+            np.exp(e, out=e)
+            total = e.sum(axis=0)
+            found -= np.log(total)
+            if into is not None:
+                e *= weight / total
+                e[wanted, columns] -= weight
+            return found, e
+        found, d = softmax(self.to_class, self.class_bias, states, cls, weight)
         down = None
         if into is not None:
-            d = np.multiply(e, weight[:, None] / total, out=e)
-            d[rows, cls] -= weight
-            into["to_class"] += states.T @ d
-            into["class_bias"] += d.sum(axis=0)
-            down = d @ self.to_class.T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(lay.classes + 1))
+            into["to_class"] += d @ states.T
+            into["class_bias"] += d.sum(axis=1)
+            down = self.to_class.T @ d
         for c in range(lay.classes):
-            lo, hi = lay.starts[c], lay.starts[c + 1]
-            k = order[ends[c]:ends[c + 1]]
-            if hi - lo == 1 or not len(k):
+            lo, hi, k = lay.starts[c], lay.starts[c + 1], slice(ends[c], ends[c + 1])
+            if hi - lo == 1 or k.start == k.stop:
                 continue
-            own = states[k]
-            logits = own @ self.to_word[lo:hi].T + self.word_bias[lo:hi]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1, keepdims=True)
-            at, mine = np.arange(len(k)), place[k] - lo
-            found[k] += logits[at, mine] - np.log(total[:, 0])
+            part, d = softmax(self.to_word[lo:hi], self.word_bias[lo:hi], states[:, k], place[k] - lo, None if weight is None else weight[k])
+            found[k] += part
             if into is not None:
-                d = np.multiply(e, weight[k][:, None] / total, out=e)
-                d[at, mine] -= weight[k]
-                into["to_word"][lo:hi] += d.T @ own
-                into["word_bias"][lo:hi] += d.sum(axis=0)
-                down[k] += d @ self.to_word[lo:hi]
-        return found, down
+                into["to_word"][lo:hi] += d @ states[:, k].T
+                into["word_bias"][lo:hi] += d.sum(axis=1)
+                down[:, k] += self.to_word[lo:hi].T @ d
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return found[back], None if down is None else np.take(down, back, axis=1)
 
     def gradients(self, inputs, fresh, targets, used, state) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradient of a window's loss, in parts of a full one, by all parameters; the state after it, and the loss."""
-        h, steps = HIDDEN, len(inputs)
+        h, (steps, slots) = HIDDEN, inputs.shape
         flat = np.zeros_like(self.flat)
         g = self.views(flat)
         states, (before, gates, inner, recurrent, keep) = self.states(inputs, fresh, state)
         weight = (used.ravel() / (SLOTS * STEPS)).astype(np.float32)      # a window of few tokens moves little
-        found, down = self.log_probabilities(states.reshape(-1, h), targets.ravel(), weight, g)
-        down = down.reshape(states.shape)
-        by_input = np.empty((steps, len(state), 3 * h), np.float32)
-        z, r = gates[..., :h], gates[..., h:]
+        found, down = self.log_probabilities(_side_by_side(states), targets.ravel(), weight, g)
+        down = down.reshape(h, steps, slots)
+        by_input, by_state = (np.empty((steps, 3 * h, slots), np.float32) for _ in range(2))
+        z, r = gates[:, :h], gates[:, h:]
         # how a state depends on the inputs of its gates, for all steps at once
-        of_z = (before - inner) * z * (1 - z)
-        of_n = (1 - z) * (1 - inner * inner)
-        of_r = recurrent * r * (1 - r)
-        by_state = np.empty_like(by_input)
+        rest = 1 - z
+        of_z = before - inner
+        of_z *= z
+        of_z *= rest
+        of_n = inner * inner
+        np.subtract(1, of_n, out=of_n)
+        of_n *= rest
+        of_r = 1 - r
+        of_r *= r
+        of_r *= recurrent
         back, later = np.ascontiguousarray(self.again.T), np.zeros_like(state)
         for t in range(steps - 1, -1, -1):
-            d = down[t] + later
+            d = later
+            d += down[:, t]
             x, a = by_input[t], by_state[t]
-            n = x[:, 2 * h:]
-            np.multiply(d, of_z[t], out=x[:, :h])
+            n = x[2 * h:]
+            np.multiply(d, of_z[t], out=x[:h])
             np.multiply(d, of_n[t], out=n)
-            np.multiply(n, of_r[t], out=x[:, h:2 * h])
-            a[:, :2 * h] = x[:, :2 * h]
-            np.multiply(n, r[t], out=a[:, 2 * h:])
+            np.multiply(n, of_r[t], out=x[h:2 * h])
+            a[:2 * h] = x[:2 * h]
+            np.multiply(n, r[t], out=a[2 * h:])
             d *= z[t]
-            d += a @ back
-            later = np.multiply(d, keep[t], out=d)
-        g["again"] += before.reshape(-1, h).T @ by_state.reshape(-1, 3 * h)
-        order = np.argsort(inputs, axis=None, kind="stable")
-        used_inputs, first = np.unique(inputs.ravel()[order], return_index=True)
-        g["table"][used_inputs] = np.add.reduceat(by_input.reshape(-1, 3 * h)[order], first, axis=0)
+            d += back @ a
+            d *= keep[t]
+        g["again"] += _side_by_side(by_state) @ _side_by_side(before).T
+        names = inputs.ravel()
+        for row, own in zip(g["table"], _side_by_side(by_input)):
+            row += np.bincount(names, weights=own, minlength=len(row))
         return flat, states[-1], float(-(found * weight).sum())
 
 
+def _side_by_side(steps: np.ndarray) -> np.ndarray:
+    """[step, unit, slot] as [unit, place]."""
+    return np.ascontiguousarray(steps.transpose(1, 0, 2)).reshape(steps.shape[1], -1)
+
+
 class Slots:
     """Documents as windows [step, slot] of inputs, targets, first tokens, and the numbers of their documents (-1: none)."""
 
@@ -261,9 +278,16 @@ class Coder:
 
     def __init__(self, counts: Counts):
         self.code, self.own = counts.code(), len(counts.own)
+        self.symbol = {None: END, **{w: k + 2 for k, w in enumerate(counts.words[:self.own - 2])}}
         self.counts = np.concatenate([[counts.documents, 0], counts.counts])
         self.logs = np.log10(self.counts + 1.0)
 
+    def symbols(self, text: bytes) -> np.ndarray:
+        """Symbols with the end."""
+        words = tokens(text)
+        words.append(None)
+        return np.fromiter(map(self.symbol.get, words, repeat(RARE)), np.int64, len(words))
+
     def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Symbols with the end, numbers of the counted words, and the other words."""
         words = tokens(text)
@@ -325,7 +349,7 @@ def train(rows: DataFrame, counts: Counts) -> np.ndarray:
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
             coder, model = Coder(shared.value), Model(shared.value.own, start.value)
-            seen = fit(model, ((0, coder.read(t)[0]) for b in batches for t in _texts(b.column(0))), rate)
+            seen = fit(model, ((0, coder.symbols(t)) for b in batches for t in _texts(b.column(0))), rate)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(model.flat))), pa.array(model.flat.astype(np.float64) * seen),
                                                   pa.repeat(pa.scalar(seen), len(model.flat))], names=["k", "x", "n"])
@@ -342,10 +366,10 @@ def train(rows: DataFrame, counts: Counts) -> np.ndarray:
 def fit(model: Model, documents: Iterator[tuple[int, np.ndarray]], rate: float) -> int:
     """Train a model in place, with steps scaled by running means of gradients and their squares; the tokens seen."""
     mean, square, step, seen = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0
-    state = np.zeros((SLOTS, HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, SLOTS), np.float32)
     for slots, inputs, targets, fresh, number in Slots(documents).windows():
         used = number >= 0
-        grad, state[slots], _ = model.gradients(inputs, fresh, targets, used, state[slots])
+        grad, state[:, slots], _ = model.gradients(inputs, fresh, targets, used, state[:, slots])
         norm = math.sqrt(float(grad @ grad))
         if norm > 1:
             grad /= norm
@@ -391,11 +415,11 @@ def score_rows(counts, flat):
             columns[6] = [own + r[0] / math.log(10) for own, r in zip(columns[6], rows)]
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in SCORED.split(", ")])
-        state, done = np.zeros((SLOTS, HIDDEN), np.float32), []
+        state, done = np.zeros((HIDDEN, SLOTS), np.float32), []
         for slots, inputs, targets, fresh, number in Slots(documents()).windows():
-            states, _ = model.states(inputs, fresh, state[slots])
-            state[slots] = states[-1]
-            found, _ = model.log_probabilities(states.reshape(-1, HIDDEN), targets.ravel())
+            states, _ = model.states(inputs, fresh, state[:, slots])
+            state[:, slots] = states[-1]
+            found, _ = model.log_probabilities(_side_by_side(states), targets.ravel())
             used = number.ravel() >= 0
             numbers, at = np.unique(number.ravel()[used], return_inverse=True)
             sums, sizes = np.bincount(at, weights=found[used].astype(np.float64)), np.bincount(at)
