@@ -30,7 +30,7 @@ ROWS, BANDS = 4, 36              # a pair at the bound shares no band with proba
 SAMPLES = ROWS * BANDS
 SKETCH_LONGS = 16                # 1024 bits
 CHUNK = 256
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _RANDOM = np.random.default_rng(20240917)
 FACTORS = _RANDOM.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -130,6 +130,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids[at:at + 256], pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(digests, pa.binary()), lists(bands), lists(sketches)],
                     names=["doc_id", "n_shingles", "same", "digest", "bands", "sketch"])
+        _hashes.clear()                                              # workers live on after a task
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(
         run, "doc_id long, n_shingles long, same binary, digest binary, bands array<long>, sketch array<long>")
 

@@ -6,9 +6,9 @@ negative ones. Forward-backward marginals give the spans; their maximum and thei
 through a logistic curve fitted on the same rows.
 
 Fitting sees at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled ids, the first in the order of a hash of the id, and of
-each class ``TOXIC_CHARS`` and ``CLEAN_CHARS`` characters, the shortest texts first; so a long text costs its class no
+each class ``TOXIC_CHARS`` and ``CLEAN_CHARS`` characters, the shortest texts first and at least one; so a long text costs its class no
 other row. All of them decide which features are telling and where the curve lies; the
-field's weights are fitted on the toxic rows and as many clean ones. Scoring reads every text whole, in chains of ``CHAIN`` tokens.
+field's weights are fitted on the toxic rows and as many clean ones. Scoring reads every text whole, as one chain.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 TOXIC_ROWS, CLEAN_ROWS = 1200, 6000
 TOXIC_CHARS, CLEAN_CHARS = 8_000_000, 16_000_000
 FOLDS = 5
-CHAIN = 128
+CHAIN = 128                      # tokens of a column; bounds the steps of a batch, not the chains
+BATCH_TOKENS, BATCH_TEXTS = 60_000, 1024
 STEPS = 40
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 TOKEN = re.compile(r"[^\W_]+")
 SPAN = "array<struct<start: int, end: int, probability: double>>"
 
@@ -49,47 +50,113 @@ class Crf:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
 
 
-def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts one after the other: each token's chain and place in it, and the chains' lengths."""
-    ends = np.cumsum(lengths)
-    within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-    place = within % CHAIN
-    chain = np.cumsum(place == 0) - 1
-    return chain, place, np.bincount(chain) if len(chain) else np.empty(0, np.int64)
-
-
-def forward_backward(evidence: np.ndarray, chain: np.ndarray, place: np.ndarray, sizes: np.ndarray,
-                     moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 per token, and the expected moves between states, over all chains at once."""
+class Layout:
+    """Texts one after the other as columns of at most ``CHAIN`` tokens. Columns of a text are links of one chain."""
+
+    def __init__(self, lengths: np.ndarray):
+        lengths = np.asarray(lengths, np.int64)
+        columns = -(-lengths // CHAIN)
+        self.count = int(columns.sum())
+        ends = np.cumsum(lengths)
+        within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+        self.place = within % CHAIN
+        self.column = np.repeat(np.cumsum(columns) - columns, lengths) + within // CHAIN
+        self.sizes = np.bincount(self.column, minlength=self.count)
+        self.width = int(self.sizes.max(initial=0))
+        self.follows = np.flatnonzero(within > 0)
+        # columns by how many of their text lie before them
+        number = np.arange(self.count) - np.repeat(np.cumsum(columns) - columns, columns)
+        order = np.argsort(number, kind="stable")
+        cuts = np.searchsorted(number[order], np.arange(1, int(columns.max(initial=0)) + 1))
+        self.turns = [x for x in np.split(order, cuts)[1:] if len(x)]     # second columns, third ones, ...
+
+
+def forward_backward(evidence: np.ndarray, layout: Layout, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 per token, and the expected moves between states, over all texts at once.
+
+    Each column's transfer from the state before it to that at its end is a product of two by two matrices, found for
+    all columns together. With these, states pass from column to column, so a text is one chain however long it is.
+    """
     m = np.exp(moves)
-    width = int(sizes.max()) if len(sizes) else 0
-    grid = np.zeros((width, len(sizes)))
-    grid[place, chain] = evidence
-    # the scaled vectors are kept as their share in state 1
+    width, count, sizes = layout.width, layout.count, layout.sizes
+    grid = np.zeros((width, count))
+    grid[layout.place, layout.column] = evidence
     on = 1 / (1 + np.exp(-np.clip(grid, -30, 30)))
+    # what enters a column: the share in state 1 of the token before it (none: no moves into the first token), and what follows its end
+    before, after = np.full(count, np.nan), np.full(count, 0.5)
+    if layout.turns:
+        transfer = _transfers(on, sizes, m)
+        first = np.setdiff1d(np.arange(count), np.concatenate(layout.turns))
+        ends = np.empty(count)
+        ends[first] = _ends(on[:, first], sizes[first], m)
+        for turn in layout.turns:
+            before[turn] = ends[turn - 1]
+            ends[turn] = _pass(transfer[:, :, turn], before[turn], forward=True)
+        for turn in layout.turns[::-1]:
+            after[turn - 1] = _pass(transfer[:, :, turn], after[turn], forward=False)
+    # the scaled vectors are kept as their share in state 1
     ahead = np.empty_like(grid)
-    share = on[0] if width else np.empty(0)
+    enters = ~np.isnan(before)
+    share = np.where(enters, before, 0.5)
     for t in range(width):
-        if t:
-            one = (1 - share) * m[0, 1] + share * m[1, 1]
-            zero = (1 - share) * m[0, 0] + share * m[1, 0]
-            share = one * on[t] / (one * on[t] + zero * (1 - on[t]))
+        one = (1 - share) * m[0, 1] + share * m[1, 1]
+        zero = (1 - share) * m[0, 0] + share * m[1, 0]
+        if not t:
+            one, zero = np.where(enters, one, 0.5), np.where(enters, zero, 0.5)
+        share = one * on[t] / (one * on[t] + zero * (1 - on[t]))
         ahead[t] = share
-    back = np.full((width, len(sizes)), 0.5)
+    back = np.full((width, count), 0.5)
     expected = np.zeros((2, 2))
-    after = np.full(len(sizes), 0.5)
+
+    def moved(share: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+        joint = np.stack([(1 - share) * m[0, 0] * zero, (1 - share) * m[0, 1] * one, share * m[1, 0] * zero, share * m[1, 1] * one])
+        return (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    state = after.copy()
+    if width:
+        back[width - 1] = state
     for t in range(width - 2, -1, -1):
         live = sizes > t + 1
-        one, zero = after * on[t + 1], (1 - after) * (1 - on[t + 1])
-        a1, a0 = ahead[t], 1 - ahead[t]
-        joint = np.stack([a0 * m[0, 0] * zero, a0 * m[0, 1] * one, a1 * m[1, 0] * zero, a1 * m[1, 1] * one])
-        expected += (joint / joint.sum(axis=0))[:, live].sum(axis=1).reshape(2, 2)
+        one, zero = state * on[t + 1], (1 - state) * (1 - on[t + 1])
+        expected += moved(ahead[t][live], one[live], zero[live])
         b1, b0 = m[1, 0] * zero + m[1, 1] * one, m[0, 0] * zero + m[0, 1] * one
-        after = np.where(live, b1 / (b1 + b0), 0.5)
-        back[t] = after
+        state = np.where(live, b1 / (b1 + b0), state)
+        back[t] = state
+    for turn in layout.turns:
+        expected += moved(before[turn], back[0, turn] * on[0, turn], (1 - back[0, turn]) * (1 - on[0, turn]))
     both = ahead * back
     marginal = both / (both + (1 - ahead) * (1 - back))
-    return marginal[place, chain], expected
+    return marginal[layout.place, layout.column], expected
+
+
+def _transfers(on: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each column the product of its tokens' moves and evidence, [from, to, column], scaled."""
+    out = np.repeat(np.eye(2)[:, :, None], on.shape[1], axis=2)
+    for t in range(len(on)):
+        live = sizes > t
+        zero = (out[:, 0] * m[0, 0] + out[:, 1] * m[1, 0]) * (1 - on[t])
+        one = (out[:, 0] * m[0, 1] + out[:, 1] * m[1, 1]) * on[t]
+        new = np.stack([zero, one], axis=1)
+        new /= new.sum(axis=(0, 1))
+        out = np.where(live, new, out)
+    return out
+
+
+def _pass(transfer: np.ndarray, share: np.ndarray, forward: bool) -> np.ndarray:
+    """The share in state 1 at the other end of columns."""
+    if forward:
+        zero, one = ((1 - share) * transfer[0, k] + share * transfer[1, k] for k in (0, 1))
+    else:
+        zero, one = ((1 - share) * transfer[k, 0] + share * transfer[k, 1] for k in (0, 1))
+    return one / (one + zero)
+
+
+def _ends(on: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The share at the end of first columns."""
+    share = on[0].copy()
+    for t in range(1, len(on)):
+        one, zero = ((1 - share) * m[0, 1] + share * m[1, 1]) * on[t], ((1 - share) * m[0, 0] + share * m[1, 0]) * (1 - on[t])
+        share = np.where(sizes > t, one / (one + zero), share)
+    return share
 
 
 def summary(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -124,6 +191,19 @@ def telling(found: list[np.ndarray], toxic: np.ndarray, count: int) -> np.ndarra
     return chosen
 
 
+def batches_of(items: Iterable) -> Iterator[list]:
+    """Lists of ``BATCH_TOKENS`` tokens, or one longer item."""
+    held, size = [], 0
+    for x in items:
+        if held and size + len(x) > BATCH_TOKENS:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield held
+
+
 def fit(texts: Iterable[str | None], toxic: np.ndarray) -> Crf:
     """The model of labelled texts; without texts of both classes one that finds nothing."""
     model = Crf()
@@ -143,11 +223,9 @@ def fit(texts: Iterable[str | None], toxic: np.ndarray) -> Crf:
     model.weights = {f: float(w[k]) for f, k in names.items() if w[k]}
     model.bias, model.moves = float(bias), moves
     evidence, found = bias + w[table].sum(axis=1), []
-    for at in range(0, len(tokens), 256):
-        part = tokens[at:at + 256]
+    for part in batches_of(tokens):
         lengths = np.array([len(t) for t in part])
-        chain, place, sizes = chains(lengths)
-        p, _ = forward_backward(evidence[np.concatenate(part)], chain, place, sizes, moves)
+        p, _ = forward_backward(evidence[np.concatenate(part)], Layout(lengths), moves)
         found.append(summary(p, lengths))
     model.curve = logistic(np.concatenate(found), toxic)
     return model
@@ -158,14 +236,14 @@ def _fit_weights(tokens: list[np.ndarray], toxic: np.ndarray, is_telling: np.nda
     lengths = np.array([len(t) for t in tokens])
     flat = np.concatenate(tokens)
     y = (is_telling[flat] & np.repeat(toxic, lengths)).astype(float)
-    chain, place, sizes = chains(lengths)
-    follows = np.flatnonzero(place > 0)
+    layout = Layout(lengths)
+    follows = layout.follows
     seen = np.bincount((2 * y[follows - 1] + y[follows]).astype(int), minlength=4).reshape(2, 2)
     w, squares = np.zeros(count), np.full(count, 1e-6)
     bias, moves, of_moves, of_bias = -3.0, np.zeros((2, 2)), np.full((2, 2), 1e-6), 1e-6
     for _ in range(STEPS):
         evidence = bias + w[table].sum(axis=1)
-        p, expected = forward_backward(evidence[flat], chain, place, sizes, moves)
+        p, expected = forward_backward(evidence[flat], layout, moves)
         by_type = np.bincount(flat, weights=y - p, minlength=len(table))
         g = np.bincount(table.ravel(), weights=np.repeat(by_type, 5), minlength=count) - 0.01 * w
         squares += g * g
@@ -200,16 +278,17 @@ def in_training(doc_id: Column) -> Column:
 
 
 def _that_fit(sizes: list[tuple[int, int, int]], most: int) -> list[tuple[int]]:
-    """The ids of ``sizes``, which has characters, hash and id in ascending order, until ``most`` characters are taken."""
+    """The ids of ``sizes``, which has characters, hash and id in ascending order, until ``most`` characters are taken; the
+    shortest text in any case."""
     ends = np.cumsum([n for n, _, _ in sizes])
-    return [(i,) for _, _, i in sizes[:int(np.searchsorted(ends, most, side="right"))]]
+    return [(i,) for _, _, i in sizes[:max(1, int(np.searchsorted(ends, most, side="right")))]]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Crf:
     """Fit on a bounded sample of the labelled rows whose crc32 of the id, modulo 5, is not 0.
 
-    Rows with a null id or label are left out; of several labels of an id the highest counts. A class whose texts are
-    all longer than its characters is an error; one whose ids have no documents is a warning.
+    Rows with a null id or label are left out; of several labels of an id the highest counts. Of a class whose texts are
+    all longer than its characters the shortest is taken; one whose ids have no documents is a warning.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_id IS NOT NULL AND _toxic IS NOT NULL")
     known = known.where(in_training(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
@@ -226,8 +305,6 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     for toxic, most in ((1, TOXIC_CHARS), (0, CLEAN_CHARS)):
         own = sorted((r.n, r.k, r._id) for r in sizes if r._toxic == toxic)
         fits = _that_fit(own, most)
-        if own and not fits:
-            raise ValueError(f"no document labelled toxic={toxic} has at most {most} characters; the shortest has {own[0][0]}")
         if not own and any(r._toxic == toxic for r in picked):
             warnings.warn(f"no document of the sampled labels toxic={toxic}; the model finds nothing")
         chosen += fits
@@ -250,12 +327,10 @@ class _Scorer:
                     found[k] = self.known[w] = self.model.evidence(w)
         return found
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
-        words = [TOKEN.findall(t) if t else [] for t in texts]
+    def score(self, texts: list[str | None], words: list[list[str]]) -> tuple[np.ndarray, list[list[dict]]]:
         lengths = np.array([len(w) for w in words])
         evidence = np.array([e for w in words for e in self.evidence(w)])
-        chain, place, sizes = chains(lengths)
-        p, _ = forward_backward(evidence, chain, place, sizes, self.model.moves)
+        p, _ = forward_backward(evidence, Layout(lengths), self.model.moves)
         b0, b1, b2 = self.model.curve
         x = summary(p, lengths)
         scores = 1 / (1 + np.exp(-np.clip(b0 + x @ np.array([b1, b2]), -30, 30)))
@@ -267,6 +342,27 @@ class _Scorer:
                           for k, m in enumerate(TOKEN.finditer(t)) if k in hits] if hits else [])
         return scores, spans
 
+    def scores(self, texts: Iterable[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores and spans, as many texts at once as ``BATCH_TOKENS`` allow."""
+        found, spans, words, held, size = [], [], [], [], 0
+
+        def flush() -> None:
+            s, x = self.score(held, words)
+            found.append(s)
+            spans.extend(x)
+            words.clear(), held.clear()
+        for text in texts:
+            own = TOKEN.findall(text) if text else []
+            if held and (size + len(own) > BATCH_TOKENS or len(held) == BATCH_TEXTS):
+                flush()
+                size = 0
+            held.append(text)
+            words.append(own)
+            size += len(own)
+        if held:
+            flush()
+        return np.concatenate(found) if found else np.empty(0), spans
+
 
 def score(docs: DataFrame, model: Crf, text: str = "text", output: str = "toxicity") -> DataFrame:
     """Add a struct ``score double, spans``; spans are toxic tokens with character offsets, end exclusive.
@@ -279,11 +375,6 @@ def score(docs: DataFrame, model: Crf, text: str = "text", output: str = "toxici
         scorer = _Scorer(model)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
         for column in columns:
-            scores, spans = [], []
-            for at in range(0, len(column), 256):
-                s, found = scorer.score(column[at:at + 256].to_pylist())
-                scores.append(s)
-                spans += found
-            values = np.concatenate(scores) if scores else np.empty(0)
+            values, spans = scorer.scores(x.as_py() for x in column)
             yield pa.StructArray.from_arrays([pa.array(values), pa.array(spans, kind)], names=["score", "spans"])
     return docs.withColumn(output, run(F.col(text)))
