@@ -237,6 +237,11 @@ def part(start: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice("words", start, length), " ")
 
 
+def cut_score(a: str, left: str, right: str) -> Column:
+    """``floor(SCALE a / (left + right))``; in decimals, as the product may pass 64 bits."""
+    return F.expr(f"CAST(CAST({a} AS DECIMAL(20,0)) * {SCALE} DIV (CAST({left} AS DECIMAL(20,0)) + CAST({right} AS DECIMAL(20,0))) AS LONG)")
+
+
 def collocations(docs: DataFrame, top: int = 2000, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
                  covered: int = COVERED) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best ``top`` phrases of each language, ranks from 1.
@@ -261,10 +266,7 @@ def collocations(docs: DataFrame, top: int = 2000, text: str = "text", lang: str
         "lang", "phrase", "a", "cut", part(1, F.col("cut")).alias("left"), part(F.col("cut") + 1, F.col("size") - F.col("cut")).alias("right"))
     cuts = cuts.join(known.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(known.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    # decimals of 38 digits: the product may pass 64 bits
-    wide = F.col("a").cast("decimal(38,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    cuts = cuts.withColumn("wide", wide).withColumn("both", F.col("l").cast("decimal(38,0)") + F.col("r"))
-    cuts = cuts.withColumn("score", F.expr("CAST(wide DIV both AS LONG)"))
+    cuts = cuts.withColumn("score", cut_score("a", "l", "r"))
     scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
     inner = found.where("size > 2").withColumn("m", F.explode(F.sequence(F.lit(2), F.col("size") - 1)))
     inner = inner.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("m") + 1)))
