@@ -4,8 +4,8 @@ Every word occurrence gives one window of the longest length: the word and those
 columns, padded where the piece ends. Only these windows are counted. Spark's ROLLUP over the lead columns then sums
 them to every shorter prefix, so phrases of all lengths come from one pass over the text.
 
-Two sieves shorten windows before they are counted. No phrase of ``least`` occurrences holds a rarer word or a rarer
-pair of neighbours, so a window ends before the first of these. The sieves are bitmaps of hashed words and pairs, built
+Sieves shorten windows before they are counted. No phrase of ``least`` occurrences holds a rarer word, pair or triple of
+neighbours, so a window ends before the first of these. A sieve is a bitmap of hashed words, pairs or triples, built
 from counts over all rows; a collision only lets a window stay longer than it must, and a bitmap that fills up sieves
 less. So counts are exact at every size, and what the tasks hold is bounded.
 """
@@ -106,7 +106,8 @@ def bits(hashes: np.ndarray) -> np.ndarray:
     return ((mixed >> np.uint64(20)) % np.uint64(SIEVE_BITS)).astype(np.int64) + 1
 
 
-def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of sequences, from those of all but the last word and that of the last one."""
     return (left ^ (left >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + right
 
 
@@ -138,8 +139,26 @@ def has(sieve: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (sieve[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def pair_counter(words_sieve) -> Callable:
-    """Counts of hashed pairs of neighbours that the sieve of words lets pass: ``bit, n``."""
+def passing(codes: np.ndarray, hashes: np.ndarray, ok: np.ndarray, sieves: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For sequences of 1, 2, ... words the places that pass all sieves so far, and the hashes of what is there."""
+    k = np.flatnonzero(ok)
+    h = hashes[codes[k]]
+    yield k, h
+    for n, sieve in enumerate(sieves, 2):
+        k, h = longer(codes, hashes, k, h, n)
+        good = has(sieve.value, bits(h))
+        k, h = k[good], h[good]
+        yield k, h
+
+
+def longer(codes: np.ndarray, hashes: np.ndarray, k: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sequences of ``n`` words whose first and last ``n - 1`` words both pass, and their hashes."""
+    both = np.flatnonzero(k[1:] == k[:-1] + 1)
+    return k[both], joined(h[both], hashes[codes[k[both] + n - 1]])
+
+
+def sequence_counter(words_sieve, sieves: list) -> Callable:
+    """Counts of hashed sequences, one word longer than the last sieve's, that may be frequent: ``bit, n``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded, held, size = Coded(words_sieve.value), [], 0
 
@@ -149,10 +168,10 @@ def pair_counter(words_sieve) -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(places[at:at + (1 << 18)]), pa.array(n[at:at + (1 << 18)])], names=["bit", "n"])
         for lang, texts in blocks(batches):
             _, codes, hashes, passes = coded.read(lang, texts)
-            ok = passes[codes]
-            k = np.flatnonzero(ok[:-1] & ok[1:])
-            held.append(bits(pair_hash(hashes[codes[k]], hashes[codes[k + 1]])))
-            size += len(k)
+            *_, (k, h) = passing(codes, hashes, passes[codes], sieves)
+            _, h = longer(codes, hashes, k, h, len(sieves) + 2)
+            held.append(bits(h))
+            size += len(h)
             if size > 2 * BLOCK_ROWS:
                 yield from out()
                 held, size = [], 0
@@ -161,21 +180,21 @@ def pair_counter(words_sieve) -> Callable:
     return run
 
 
-def window_counter(words_sieve, pairs_sieve, longest: int) -> Callable:
+def window_counter(words_sieve, sieves: list, longest: int) -> Callable:
     """``lang, w1 .. , n``: a task's counts of padded windows; null is padding."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = Coded(words_sieve.value)
         for lang, texts in blocks(batches):
             words, codes, hashes, passes = coded.read(lang, texts)
-            ok = passes[codes]
-            go = np.zeros(len(codes), bool)                         # the word after this one stays in the window
-            k = np.flatnonzero(ok[:-1] & ok[1:])
-            go[k] = has(pairs_sieve.value, bits(pair_hash(hashes[codes[k]], hashes[codes[k + 1]])))
-            starts = np.flatnonzero(ok)
-            names = np.array(list(words.codes), object)
-            columns, alive = [codes[starts]], np.ones(len(starts), bool)
+            found = [k for k, _ in passing(codes, hashes, passes[codes], sieves)]
+            starts, names = found[0], np.array(list(words.codes), object)
+            columns = [codes[starts]]
             for lead in range(1, longest):
-                alive = alive & go[np.minimum(starts + lead - 1, len(codes) - 1)]
+                # the word stays while all sequences of the sieves' lengths up to it pass
+                n = min(lead, len(sieves)) + 1
+                whole = np.zeros(len(codes), bool)
+                whole[found[n - 1]] = True
+                alive = whole[starts] if lead < len(found) else alive & whole[np.minimum(starts + lead + 1 - n, len(codes) - 1)]
                 columns.append(np.where(alive, codes[np.minimum(starts + lead, len(codes) - 1)], END))
             # END stands for padding
             order = np.lexsort(columns[::-1])
@@ -219,18 +238,23 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int = LEAST, longes
             yield pa.RecordBatch.from_arrays([pa.array(bits(hashes))], names=["bit"])
     frequent = words.where(F.col("n") >= least).select("lang", "word").mapInArrow(place, "bit long")
     words_sieve = sc.broadcast(sieve_of(frequent, "bit"))           # bounded: SIEVE_BITS
-    pairs = texts.mapInArrow(pair_counter(words_sieve), "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n"))
-    pairs_sieve = sc.broadcast(sieve_of(pairs.where(F.col("n") >= least), "bit"))
+    sieves: list = []
+    for _ in range(2, longest):
+        counted = texts.mapInArrow(sequence_counter(words_sieve, sieves), "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n"))
+        sieves = [*sieves, sc.broadcast(sieve_of(counted.where(F.col("n") >= least), "bit"))]
     lead = [f"w{i + 1}" for i in range(longest)]
     schema = ", ".join(["lang string", *(f"{c} string" for c in lead), "n long"])
-    windows = texts.mapInArrow(window_counter(words_sieve, pairs_sieve, longest), schema)
+    windows = texts.mapInArrow(window_counter(words_sieve, sieves, longest), schema)
     windows = windows.groupBy("lang", *lead).agg(F.sum("n").alias("n"))
-    sums = windows.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
-    # a prefix of k words: the last longest - k columns are rolled up, and its own last one is no padding
-    phrase = F.filter(F.array(*lead), lambda w: w.isNotNull())
-    size = F.lit(longest) - F.bit_count("level")
+    # whole windows are counted already; the rollup sums them to shorter prefixes
+    whole = windows.where((F.col("n") >= least) & F.col(lead[-1]).isNotNull()).select("lang", F.array(*lead).alias("words"), F.col("n").alias("f"))
+    shorter = lead[:-1]
+    sums = windows.rollup("lang", *shorter).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    # a prefix of k words: the last columns are rolled up, and its own last one is no padding
+    phrase = F.filter(F.array(*shorter), lambda w: w.isNotNull())
+    size = F.lit(len(shorter)) - F.bit_count("level")
     sums = sums.where((F.col("f") >= least) & (size >= 1) & (F.size(phrase) == size))
-    return sums.select("lang", phrase.alias("words"), "f")
+    return sums.select("lang", phrase.alias("words"), "f").union(whole)
 
 
 def part(start: Column | int, length: Column | int) -> Column:
