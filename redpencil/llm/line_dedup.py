@@ -9,6 +9,9 @@ earliest line stays.
 
 Only different lines meet, and those with one variant differ by one character, so the groups don't grow with the
 number of copies. Copies are counted before anything is shuffled.
+
+What few rows of many are wanted is found with a sieve before a join: a bitmap of their hashed keys, of a fixed size, that
+is broadcast. It lets a few others pass, which the join then drops, so only rows that are likely wanted are shuffled.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redpencil.session import materialize
 
-#: Lines of fewer characters must be equal to count as repeated; from here on one edit is allowed.
+#: Default: lines of fewer characters must be equal to count as repeated; from here on one edit is allowed.
 MIN_CHARS = 20
 #: Characters of a segment of lines over twice as long; shorter lines have two segments.
 SEGMENT = 256
+SIEVE_BITS, SLICE_BITS = 1 << 26, 1 << 15
+SEGMENTS = "array<struct<role:int,start:int,width:int,context:bigint>>"
 PLACES = 10_000_000_000          # more than lines of a document: position = document * PLACES + line
 BLANKS = " \t\r"
 
@@ -43,28 +48,58 @@ def keyed(lines: DataFrame) -> DataFrame:
         F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), place.alias("place"), "body", "n")
 
 
-def with_segments(lines: DataFrame) -> DataFrame:
-    """A row for each segment of each line, with ``role, start, width, context``.
+def sieve(rows: DataFrame, key: str) -> DataFrame:
+    """``slice, words``: a bitmap of the hashes in a column, ``SIEVE_BITS`` in all, whatever the table's size."""
+    bit = F.pmod(key, F.lit(SIEVE_BITS)) + 1
+    parts = rows.groupBy(F.bitmap_bucket_number(bit).alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
+    word = lambda k: F.conv(F.hex(F.substring("bitmap", 8 * k + 1, F.lit(8))), 16, -10).cast("long")
+    return parts.select("slice", F.transform(F.sequence(F.lit(0), F.lit(SLICE_BITS // 64 - 1)), word).alias("words"))
+
+
+def sieved(rows: DataFrame, key: str, sieve: DataFrame) -> DataFrame:
+    """The rows whose key may be in the sieve."""
+    bit = F.pmod(key, F.lit(SIEVE_BITS))
+    at = bit % SLICE_BITS
+    # the lowest bit of a byte comes first, and so does the highest byte of a word
+    inside = F.getbit(F.get("words", (at / 64).cast("int")), (7 - F.floor(at / 8) % 8) * 8 + at % 8)
+    return rows.join(F.broadcast(sieve), (F.floor(bit / SLICE_BITS) + 1 == F.col("slice")) & (inside == 1), "left_semi")
+
+
+def _width(base: Column) -> Column:
+    return F.when(base > 2 * SEGMENT, SEGMENT).otherwise(F.ceil(base / 2)).cast("int")
+
+
+def segment_array(body: Column, n: Column, min_chars: int) -> Column:
+    """A line's segments as ``role, start, width, context``.
 
     Role 0 takes the line as the shorter or equal one of a pair, role 1 as the one with an inserted character: its
     segments are one character longer than those of the line without it, and what lies around them is the same.
-    ``context`` is a hash of that and of the shorter line's length. Places come from explodes, so that the text is cut
-    and hashed in compiled projections.
+    ``context`` is a hash of that and of the shorter line's length. Lines of two segments, as nearly all are, need no
+    lambda, so that their text is cut and hashed in a compiled projection.
     """
-    def width(base: Column) -> Column:
-        return F.when(base > 2 * SEGMENT, SEGMENT).otherwise(F.ceil(base / 2)).cast("int")
-
-    def count(base: Column) -> Column:
-        return F.when(base >= MIN_CHARS, F.ceil(base / width(base))).otherwise(0).cast("int")
-    n = F.col("n")
-    rows = lines.withColumn("_k", F.explode(F.sequence(F.lit(0), count(n) + count(n - 1) - 1)))
-    rows = rows.withColumn("role", F.when(F.col("_k") < count(n), 0).otherwise(1))
-    base = n - F.col("role")
-    rows = rows.withColumn("start", ((F.col("_k") - F.when(F.col("role") == 1, count(n)).otherwise(0)) * width(base)).cast("int"))
-    rows = rows.withColumn("width", (F.least(width(base), base - F.col("start")) + F.col("role")).cast("int"))
-    before = F.substring(F.col("body"), F.lit(1), F.col("start"))
-    after = F.substring(F.col("body"), F.col("start") + F.col("width") + 1, n)
-    return rows.withColumn("context", F.xxhash64(base, F.col("start"), before, after)).drop("_k")
+    def segment(base: Column, role: int, start: Column, width: Column) -> Column:
+        before, after = F.substring(body, F.lit(1), start), F.substring(body, start + width + role + 1, n)
+        return F.struct(F.lit(role).alias("role"), start.cast("int").alias("start"), (width + role).cast("int").alias("width"),
+                        F.xxhash64(base, start.cast("int"), before, after).alias("context"))
+
+    def two(base: Column, role: int) -> list[Column]:
+        half = _width(base)
+        return [segment(base, role, F.lit(0), half), segment(base, role, half, base - half)]
+
+    def many(base: Column, role: int) -> Column:
+        width = _width(base)
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(base / width).cast("int") - 1), lambda k: segment(
+            base, role, k * width, F.least(width, base - k * width)))
+        return F.when(base >= min_chars, cut).otherwise(F.array().cast(SEGMENTS))
+    short, long = n, n - 1
+    return F.when(n > 2 * SEGMENT, F.concat(many(short, 0), many(long, 1))).when(
+        n > min_chars, F.array(*two(short, 0), *two(long, 1))).when(n == min_chars, F.array(*two(short, 0))).otherwise(F.array().cast(SEGMENTS))
+
+
+def with_segments(lines: DataFrame, min_chars: int, *more: str) -> DataFrame:
+    """A row for each segment of each line: its columns of :func:`segment_array`, and the line's ``more`` columns."""
+    rows = lines.withColumn("_segments", segment_array(F.col("body"), F.col("n"), min_chars))
+    return rows.select(*more, F.explode("_segments").alias("_s")).select(*more, "_s.*")
 
 
 def with_variants(rows: DataFrame) -> DataFrame:
@@ -81,11 +116,11 @@ def with_variants(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64(F.when(F.col("side") == 0, at).otherwise(-1), rest))
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, line_no, kept, of_doc_id, of_line_no, edits``: one row per line of every text.
 
-    A line is dropped when an earlier one (by document id, then line) equals it, or, from ``MIN_CHARS`` characters of
-    both on, is one edit away; ``of_*`` name the earliest such line, ``edits`` its distance. Blanks at the ends of a
+    A line is dropped when an earlier one (by document id, then line) equals it, or, from ``min_chars`` characters of
+    both on (at least 2), is one edit away; ``of_*`` name the earliest such line, ``edits`` its distance. Blanks at the ends of a
     line don't count. Blank lines and lines of documents without id are kept and repeat nothing. A null text has no
     lines, an empty one a blank line. Rows with the same document id count as one document: their equal lines are
     decided alike. Other columns are not read.
@@ -93,7 +128,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lines = split_lines(docs, doc_id, text)
     own = keyed(lines)
     first = own.groupBy("h1", "h2").agg(F.min("place").alias("first"))
-    near = earlier_neighbours(own, first)
+    near = earlier_neighbours(own, first, min_chars)
     verdict = first.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", "near")
     mine = lines.withColumn("h1", F.when(F.col("doc_id").isNotNull() & (F.col("body") != ""), F.xxhash64("body")))
     place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(31,0)")
@@ -109,18 +144,20 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.when(F.col("of").isNotNull(), F.when(F.col("of") == F.col("first"), 0).otherwise(1)).alias("edits"))
 
 
-def earlier_neighbours(own: DataFrame, first: DataFrame) -> DataFrame:
+def earlier_neighbours(own: DataFrame, first: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``h1, h2, near``: for different lines, the earliest first place of a line that is one edit away, if earlier."""
-    long_enough = own.where(F.col("n") >= MIN_CHARS)
-    contexts = with_segments(long_enough).select("context", "h1", "h2", "role", "start")
+    long_enough = own.where(F.col("n") >= min_chars)
+    contexts = with_segments(long_enough, min_chars, "h1", "h2")
     # surroundings that at least two different lines share
     shared = contexts.groupBy("context").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
-    busy = contexts.join(shared.select("context"), "context", "left_semi").groupBy("h1", "h2").agg(
+    shared = materialize(shared.select("context"), "shared-contexts")
+    busy = sieved(contexts, "context", sieve(shared, "context")).join(shared, "context", "left_semi").groupBy("h1", "h2").agg(
         F.collect_set(F.struct("role", "start")).alias("busy"))
-    wanted = busy.join(first, ["h1", "h2"])
-    texts = long_enough.join(wanted.withColumnRenamed("first", "place"), ["h1", "h2", "place"])
+    wanted = materialize(busy.join(first, ["h1", "h2"]).withColumnRenamed("first", "place"), "wanted-lines")
+    texts = sieved(long_enough, "h1", sieve(wanted, "h1")).join(wanted, ["h1", "h2", "place"])
     texts = materialize(texts.dropDuplicates(["h1", "h2"]), "busy-lines")
-    active = with_segments(texts).where(F.exists("busy", lambda b: (b["role"] == F.col("role")) & (b["start"] == F.col("start"))))
+    active = with_segments(texts, min_chars, "place", "body", "busy").where(
+        F.exists("busy", lambda b: (b["role"] == F.col("role")) & (b["start"] == F.col("start"))))
     active = active.select("place", "context", "role", F.substring(F.col("body"), F.col("start") + 1, F.col("width")).alias("part"))
     # the pieces are few but grow to a row for each character, so they are dealt out first
     active = active.repartition("context", "place")
@@ -136,12 +173,12 @@ def earlier_neighbours(own: DataFrame, first: DataFrame) -> DataFrame:
     return verified.groupBy("h1", "h2").agg(F.min("near").alias("near"))
 
 
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without their repeated lines; a document with no other line than repeated and blank ones goes.
 
     Columns and other rows stay as they are.
     """
-    lines = repeated_lines(docs, doc_id, text)
+    lines = repeated_lines(docs, doc_id, text, min_chars)
     gone = lines.where("NOT kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
     rows = docs.select(F.struct("*").alias("_row")).join(gone, F.col(f"_row.{doc_id}").cast("long") == F.col("_doc"), "left")
     body = F.col(f"_row.{text}")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from redpencil.llm import line_dedup
 
 
@@ -14,7 +16,7 @@ def within_one(a, b):
     return any(long[:k] + long[k + 1:] == short for k in range(len(long)))
 
 
-def brute(docs):
+def brute(docs, min_chars=line_dedup.MIN_CHARS):
     lines = [(d, k, line.strip(" \t\r")) for d, text in docs for k, line in enumerate((text or "").split("\n")) if text is not None]
     order = sorted((x for x in lines if x[0] is not None and x[2]))
     out = []
@@ -24,7 +26,7 @@ def brute(docs):
             for e, j, other in order:
                 if (e, j) >= (d, k):
                     break
-                close = within_one(body, other) if min(len(body), len(other)) >= line_dedup.MIN_CHARS else body == other
+                close = within_one(body, other) if min(len(body), len(other)) >= min_chars else body == other
                 if close:
                     of = (e, j, int(body != other))
                     break
@@ -60,6 +62,17 @@ def test_equals_brute_force(spark):
     out = [tuple(r) for r in line_dedup.repeated_lines(rows).select(
         "doc_id", "line_no", "kept", "of_doc_id", "of_line_no", "edits").collect()]
     assert sorted(out, key=str) == brute(docs)
+    other = [tuple(r) for r in line_dedup.repeated_lines(rows, min_chars=6).select(
+        "doc_id", "line_no", "kept", "of_doc_id", "of_line_no", "edits").collect()]
+    assert sorted(other, key=str) == brute(docs, 6)
+
+
+def test_sieve_lets_all_wanted_pass(spark):
+    rows = spark.range(-5000, 5000).select(F.xxhash64("id").alias("k"), "id")
+    kept = line_dedup.sieved(rows, "k", line_dedup.sieve(rows.where("id % 100 = 0"), "k"))
+    found = {r.id for r in kept.collect()}
+    assert set(range(-5000, 5000, 100)) <= found and len(found) < 110
+    assert line_dedup.sieved(rows, "k", line_dedup.sieve(rows.limit(0), "k")).count() == 0
 
 
 def test_documents_without_their_lines(spark):
