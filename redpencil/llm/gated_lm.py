@@ -24,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,7 +36,8 @@ COUNTED = 200_000                # words whose counts every task holds
 COUNTED_BYTES = 64               # longer words meet their counts in the join
 CLASSES = 32
 HIDDEN = 16
-SLOTS, STEPS = 512, 16
+SLOTS, STEPS = 256, 32
+LONGER = 16                      # times that a window of few slots may be longer
 ROUNDS = 4
 TRAINER_TOKENS = 2_000_000       # a task trains on about so many tokens of a part, or on its split's if those are more
 RATE = 0.02
@@ -238,39 +240,43 @@ class Slots:
 
     def __init__(self, documents: Iterator[tuple[int, np.ndarray]]):
         self.documents = documents
-        self.waiting: list = [None] * SLOTS                   # (number, targets, first open token)
+        self.waiting: dict[int, tuple] = {}                   # slot -> (number, targets, first open token)
         self.over = False
 
     def windows(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """The slots in use, then what they hold."""
-        while True:
-            targets, inputs = np.zeros((SLOTS, STEPS), np.int64), np.zeros((SLOTS, STEPS), np.int64)
-            fresh, number = np.zeros((SLOTS, STEPS), bool), np.full((SLOTS, STEPS), -1)
-            for s in range(SLOTS):
+        """The slots in use, then what they hold. When few are left, which hold long texts, windows grow longer."""
+        live = list(range(SLOTS))
+        while live:
+            steps = STEPS * min(max(SLOTS // len(live), 1), LONGER) if self.over else STEPS
+            targets, inputs = np.zeros((len(live), steps), np.int64), np.zeros((len(live), steps), np.int64)
+            fresh, number = np.zeros((len(live), steps), bool), np.full((len(live), steps), -1)
+            for row, s in enumerate(live):
                 at = 0
-                while at < STEPS:
-                    if self.waiting[s] is None:
-                        if not self.over:
-                            new = next(self.documents, None)
-                            self.over = new is None
-                        if self.over:
+                while at < steps:
+                    held = self.waiting.pop(s, None)
+                    if held is None:
+                        new = None if self.over else next(self.documents, None)
+                        if new is None:
+                            self.over = True
                             break
-                        self.waiting[s] = (*new, 0)
-                    k, symbols, done = self.waiting[s]
-                    n = min(STEPS - at, len(symbols) - done)
-                    targets[s, at:at + n] = symbols[done:done + n]
-                    number[s, at:at + n] = k
+                        held = (*new, 0)
+                    k, symbols, done = held
+                    n = min(steps - at, len(symbols) - done)
+                    targets[row, at:at + n] = symbols[done:done + n]
+                    number[row, at:at + n] = k
                     if done:
-                        inputs[s, at:at + n] = symbols[done - 1:done + n - 1]
+                        inputs[row, at:at + n] = symbols[done - 1:done + n - 1]
                     else:
-                        fresh[s, at] = True                   # a text begins after the end of another one
-                        inputs[s, at + 1:at + n] = symbols[:n - 1]
+                        fresh[row, at] = True                 # a text begins after the end of another one
+                        inputs[row, at + 1:at + n] = symbols[:n - 1]
                     at, done = at + n, done + n
-                    self.waiting[s] = None if done == len(symbols) else (k, symbols, done)
-            live = np.flatnonzero(number[:, 0] >= 0)
-            if not len(live):
-                return
-            yield live, inputs[live].T, targets[live].T, fresh[live].T, number[live].T
+                    if done < len(symbols):
+                        self.waiting[s] = (k, symbols, done)
+            used = np.flatnonzero(number[:, 0] >= 0)
+            if len(used):
+                yield np.array(live)[used], inputs[used].T, targets[used].T, fresh[used].T, number[used].T
+            if self.over:
+                live = sorted(self.waiting)
 
 
 class Coder:
@@ -397,6 +403,8 @@ def score_rows(counts, flat):
         def documents() -> Iterator[tuple[int, np.ndarray]]:
             k = 0
             for batch in batches:
+                # long texts first, so that they don't go on alone at the end
+                batch = batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column(2)), 0), sort_keys=[("", "descending")]))
                 for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))):
                     symbols, known, other = coder.read(text)
                     logs = float(coder.logs[known].sum() + coder.logs[END])
