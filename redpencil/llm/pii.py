@@ -22,8 +22,9 @@ from redpencil.session import materialize
 KINDS = ("email", "ip", "card", "phone")
 FIT_EACH = 2000                  # examples of a kind and label that the trees are fitted on
 PRECISION = 0.99
-LEAST_JUDGED = 30                # candidates over the threshold that its precision must rest on
 AROUND = 24                      # characters of context on either side
+PER_BLOCK = 48                   # items that are gone through one by one
+PIECE = 1024                     # characters that a cut looks through
 
 # The base patterns. Runs are taken whole, as no shorter run can match where the whole one does not, and a match
 # can begin only where its run begins or the last match ended; so long runs are read once.
@@ -51,20 +52,49 @@ GROUPS = (".", " - ", "  ", "/")
 POINTS = (" . ", "[.]", " dot ", "(dot)")
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def before_each(items: Column, zero: Column, step, join) -> Column:
+    """For each item what ``step`` makes of those before it.
+
+    Items are summed by blocks first, so the work grows with their number, not its square. ``join`` adds a block's result.
+    """
+    def over(it: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(it) - 1) / PER_BLOCK).cast("int"))
+        block = lambda b: F.slice(it, b * PER_BLOCK + 1, F.lit(PER_BLOCK))
+        totals = F.transform(blocks, lambda b: F.aggregate(block(b), zero, step))
+        starts = F.aggregate(totals, F.array(zero), lambda s, t: F.concat(s, F.array(join(F.element_at(s, -1), t))))
+        each = bound(starts, lambda at: F.transform(blocks, lambda b: bound(block(b), lambda own: F.transform(
+            own, lambda x, i: F.aggregate(F.slice(own, F.lit(1), i), F.get(at, b), step)))))
+        return F.when(F.size(it) > 0, F.flatten(each)).otherwise(F.array().cast("array<int>"))
+    return bound(items, over)
+
+
 def found(text: Column, pattern: str) -> Column:
-    """``start, end, value`` of the matches, leftmost and non-overlapping, in characters."""
-    p = F.lit(pattern)
-    gaps = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, p, F.lit(0))
-    sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    # the last gap has no match
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """``start, end, value, before, after`` of the matches, leftmost and non-overlapping, in characters.
 
-    def step(s: Column, x: Column) -> Column:
-        first = s["at"] + x["gap"]
-        last = first + F.length(x["value"])
-        return F.struct(last.alias("at"), F.concat(s["out"], F.array(F.struct(first.alias("start"), last.alias("end"), x["value"].alias("value")))).alias("out"))
-    return F.aggregate(F.filter(sizes, lambda x: x["value"].isNotNull()), start, step, lambda s: s["out"])
+    The text around a match is cut from the gaps and matches beside it, so no cut begins at the start of the text.
+    """
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
+    none, around = F.lit(""), F.lit(AROUND)
+
+    def place(it: Column, starts: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            last, then, later = F.get(it, i - 1), F.get(it, i + 1), F.get(it, i + 2)
+            first = F.get(starts, i) + F.length(x["gap"])
+            before = F.concat(F.right(F.coalesce(last["gap"], none), around), F.coalesce(last["value"], none), F.right(x["gap"], around))
+            after = F.concat(F.left(then["gap"], around), F.when(F.length(then["gap"]) < AROUND, F.concat(
+                F.coalesce(then["value"], none), F.left(F.coalesce(later["gap"], none), around))).otherwise(none))
+            return F.struct(first.alias("start"), (first + F.length(x["value"])).alias("end"), x["value"].alias("value"),
+                            F.right(before, around).alias("before"), F.left(after, around).alias("after"))
+        # the last gap has no match
+        return F.filter(F.transform(it, one), lambda m: m["value"].isNotNull())
+    return bound(sizes, lambda it: bound(before_each(it, F.lit(0), lambda s, x: s + F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0)),
+                                                     lambda s, t: s + t), lambda starts: place(it, starts)))
 
 
 def digits(value: Column) -> Column:
@@ -95,21 +125,27 @@ def gate(text: Column, kind: str) -> Column:
 
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+SEEN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,before:string,after:string>>"
 
 
-def spans_of(matches: Column, kind: str, rank: int) -> Column:
-    return F.transform(matches, lambda m: F.struct(
-        m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
-
-
-def base_spans(text: Column) -> Column:
-    """The spans of the base kinds by start, then kind in the order of ``KINDS``."""
+def base_matches(text: Column) -> Column:
+    """The spans of the base kinds by start, then kind in the order of ``KINDS``, with their texts and those around them."""
     def part(rank: int, kind: str) -> Column:
         kept = F.filter(found(text, BASE[kind]), lambda m: valid(kind, m["value"]))
-        return F.when(gate(text, kind), spans_of(kept, kind, rank)).otherwise(F.array().cast(SPAN))
+        own = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"),
+                                                   *(m[c].alias(c) for c in ("value", "before", "after"))))
+        return F.when(gate(text, kind), own).otherwise(F.array().cast(SEEN))
     return F.array_sort(F.concat(*(part(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
+def spans_only(matches: Column) -> Column:
+    return F.transform(matches, lambda m: F.struct(*(m[c].alias(c) for c in ("start", "rank", "end", "kind"))))
+
+
+def base_spans(text: Column) -> Column:
+    return spans_only(base_matches(text))
+
+
 FEATURES = ("kind", "length", "digits", "separators", "plus", "parens", "dots", "longest", "letters", "glued_before",
             "glued_after", *(f"near_{w}" for w in WORDS), "line_start", "line_end",
             "at_sign", "at_word", "dot_word", "dot_space", "octets", "luhn")
@@ -121,9 +157,7 @@ def candidates(text: Column) -> Column:
         has = text.rlike("(?i)@|\\bat\\b") if kind == "email" else text.rlike("[0-9]")
 
         def judged(m: Column) -> Column:
-            v = m["value"]
-            before = F.substring(text, F.greatest(m["start"] - AROUND, F.lit(0)) + 1, F.least(m["start"], F.lit(AROUND)))
-            after = F.substring(text, m["end"] + 1, F.lit(AROUND))
+            v, before, after = m["value"], m["before"], m["after"]
             around = F.concat(before, F.lit(" "), after)
             n = F.length(v)
             values = [F.lit(float(KINDS.index(kind))), n, F.length(digits(v)), n - F.length(F.regexp_replace(v, "[ ().-]", "")),
@@ -141,15 +175,29 @@ def candidates(text: Column) -> Column:
     return F.concat(*(part(kind, pattern) for kind, pattern in LOOSE.items()))
 
 
-def touches(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def with_free(spans: Column, base: Column) -> Column:
+    """Spans with ``free``: whether they touch no base span. Both in one order, with the farthest end of the base spans
+    before each and the nearest start of those after it."""
+    kind = "struct<start:int,late:int,end:int,at:int>"
+    marks = F.concat(F.transform(base, lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("late"), x["end"].alias("end"), F.lit(-1).alias("at")).cast(kind)),
+                     F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), F.lit(1).alias("late"), x["end"].alias("end"), i.alias("at")).cast(kind)))
+
+    def judged(own: Column) -> Column:
+        ends = before_each(own, F.lit(-1), lambda s, x: F.greatest(s, F.when(x["late"] == 0, x["end"]).otherwise(-1)), F.greatest)
+        far = F.lit(2**31 - 1)
+        starts = F.reverse(before_each(F.reverse(own), far, lambda s, x: F.least(s, F.when(x["late"] == 0, x["start"]).otherwise(far)), F.least))
+        free = F.zip_with(F.zip_with(own, ends, lambda x, e: F.struct(x["at"].alias("at"), x["end"].alias("end"), (e <= x["start"]).alias("ok"))), starts,
+                          lambda x, t: F.struct(x["at"].alias("at"), (x["ok"] & (t >= x["end"])).alias("free")))
+        return F.array_sort(F.filter(free, lambda x: x["at"] >= 0))
+    free = bound(F.array_sort(marks), judged)
+    return bound(free, lambda f: F.transform(spans, lambda x, i: x.withField("free", F.get(f, i)["free"])))
 
 
 def proposed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_base`` and ``_more``: the base spans, and the candidates with ``label`` 0 if they touch no base span
-    and can't be personal data, or nothing around them speaks for it; else null."""
+    """``docs`` with ``_seen`` and ``_more``: the base matches, and the candidates with ``free`` and with ``label`` 0 if they
+    touch no base span and can't be personal data, or nothing around them speaks for it; else null."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_base", base_spans(body)).withColumn("_more", candidates(body))
+    rows = docs.withColumn("_seen", base_matches(body)).withColumn("_more", candidates(body))
     at = {name: k for k, name in enumerate(FEATURES)}
 
     def has(c: Column, name: str) -> Column:
@@ -164,9 +212,8 @@ def proposed(docs: DataFrame, text: str) -> DataFrame:
             neutral = neutral | ((c["kind"] == kind) & ~has(c, f"near_{word}"))
         # a written-out address speaks for itself
         open_ = (c["kind"] != "email") | ~(has(c, "at_sign") | has(c, "dot_word"))
-        free = ~F.exists("_base", lambda b: touches(b, c))
-        return c.withField("label", F.when(free & (impossible | (neutral & open_)), 0.0))
-    return rows.withColumn("_more", F.transform("_more", label))
+        return c.withField("label", F.when(c["free"] & (impossible | (neutral & open_)), 0.0))
+    return rows.withColumn("_more", F.transform(with_free(F.col("_more"), F.col("_seen")), label))
 
 
 def rewritten(kind: str, value: Column, before: Column, after: Column) -> list[tuple[float, Column, Column, Column]]:
@@ -181,8 +228,11 @@ def rewritten(kind: str, value: Column, before: Column, after: Column) -> list[t
             (0.0, before, form(" at ", ". "), after), (0.0, F.lit("they met "), form(" at ", ". "), F.lit(" was"))]
     if kind == "phone":
         bare = F.substring(value, F.lit(2), F.length(value))
-        forms = [bare, F.regexp_replace(bare, "[ ().-]+", "."), F.regexp_replace(bare, "[ ().-]+", "-"), F.concat(F.lit("00"), number)]
-        return [(1.0, before, v, after) for v in forms] + [
+        local = F.regexp_replace(bare, "^[0-9]+[ ().-]+(?=[0-9 ().-]{8})", "")
+        forms = [bare, F.regexp_replace(bare, "[ ().-]+", "."), F.regexp_replace(bare, "[ ().-]+", "-"), F.concat(F.lit("00"), number),
+                 F.concat(F.lit("00"), bare)]
+        cued = [(F.lit(cue), v, F.lit(end)) for cue, end in (("call me on ", " please"), ("Phone: ", "")) for v in (*forms[1:], local)]
+        return [(1.0, before, v, after) for v in forms] + [(1.0, *x) for x in cued] + [
             (0.0, total[0], number, total[1]), (0.0, F.lit("since version "), F.regexp_replace(number, "(.{3})(?=.)", "$1."), plain)]
     if kind == "card":
         broken = F.concat(F.substring(number, F.lit(1), F.length(number) - 1), ((F.substring(number, -1, 1).cast("int") + 1) % 10).cast("string"))
@@ -197,18 +247,13 @@ def rewritten(kind: str, value: Column, before: Column, after: Column) -> list[t
         (0.0, F.lit("since version "), F.replace(value, F.lit("."), F.lit(". ")), plain)]
 
 
-def examples(rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+def examples(rows: DataFrame, doc_id: str) -> DataFrame:
     """``k, kind, x, label`` of all labelled candidates and of all base spans in their rewritten forms."""
     own = rows.where(F.exists("_more", lambda c: c["label"].isNotNull())).select(F.col(doc_id).alias("_id"), F.explode("_more").alias("c"))
     own = own.where("c.label IS NOT NULL").select(
         F.xxhash64("_id", "c.start", "c.kind").alias("k"), "c.kind", "c.x", "c.label")
-    body = F.col(text)
-    spans = rows.where(F.size("_base") > 0).select(F.col(doc_id).alias("_id"), body.alias("_t"), F.explode("_base").alias("b"))
-    spans = spans.select(
-        F.xxhash64("_id", "b.start", "b.kind").alias("k"), F.col("b.kind").alias("kind"),
-        F.expr("substring(_t, b.start + 1, b.end - b.start)").alias("value"),
-        F.expr(f"substring(_t, greatest(b.start - {AROUND}, 0) + 1, least(b.start, {AROUND}))").alias("before"),
-        F.expr(f"substring(_t, b.end + 1, {AROUND})").alias("after"))
+    spans = rows.where(F.size("_seen") > 0).select(F.col(doc_id).alias("_id"), F.explode("_seen").alias("b"))
+    spans = spans.select(F.xxhash64("_id", "b.start", "b.kind").alias("k"), "b.kind", "b.value", "b.before", "b.after")
     forms = F.lit(None)
     for kind in KINDS:
         made = F.array(*(F.struct(F.lit(y).alias("label"), b.alias("before"), v.alias("value"), a.alias("after"))
@@ -254,9 +299,9 @@ def _node(node):
     return int(split.featureIndex()), float(split.threshold()), _node(node.leftChild()), _node(node.rightChild())
 
 
-def fit(rows: DataFrame, text: str, doc_id: str) -> Trees:
+def fit(rows: DataFrame, doc_id: str) -> Trees:
     """Trees from at most ``FIT_EACH`` examples of each kind and label, the first by a hash; thresholds from all examples."""
-    some = materialize(examples(rows, text, doc_id), "candidates")
+    some = materialize(examples(rows, doc_id), "candidates")
     learn = None
     for kind in LOOSE:
         for y in (0.0, 1.0):
@@ -276,7 +321,7 @@ def fit(rows: DataFrame, text: str, doc_id: str) -> Trees:
         good = n = 0
         for r in sorted((r for r in counts if r.kind == kind), key=lambda r: -r.step):
             good, n = good + r.good, n + r.n
-            if n >= LEAST_JUDGED and good >= PRECISION * n:
+            if good >= PRECISION * n:
                 trees.thresholds[kind] = r.step / 50
     return trees
 
@@ -290,10 +335,10 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.struct("*").alias("_row"))
     rows = proposed(rows.withColumn("_text", F.col(f"_row.{text}")), "_text").drop("_text")
     rows = materialize(rows.withColumn("_id", F.col(f"_row.{doc_id}")), "proposed")
-    trees = fit(rows, f"_row.{text}", "_id")
-    more = F.filter("_more", lambda c: trees.selected(c) & ~F.exists("_base", lambda b: touches(b, c)))
-    added = F.transform(more, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return rows.select("_row", F.col("_base").alias("base"), F.array_sort(F.array_distinct(F.concat("_base", added))).alias("spans"))
+    trees = fit(rows, "_id")
+    more = F.filter("_more", lambda c: trees.selected(c) & c["free"])
+    base = spans_only(F.col("_seen"))
+    return rows.select("_row", base.alias("base"), F.array_sort(F.array_distinct(F.concat(base, spans_only(more)))).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -308,12 +353,21 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     found_ = detect(docs, doc_id, text)
     body = F.col(f"_row.{text}")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        out = F.when(fresh, F.concat(s["out"], F.substring(body, s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(own: Column, start: Column, end: Column) -> Column:
+        """The text from a place to another one, out of the pieces that hold it."""
+        first = F.floor(start / PIECE).cast("int")
+        held = F.array_join(F.slice(own, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(held, start - first * PIECE + 1, end - start)).otherwise("")
+
+    def masked(own: Column, spans: Column, upto: Column) -> Column:
+        """Before each span the text since the farthest end so far; a span that begins earlier adds nothing."""
+        parts = F.transform(spans, lambda x, i: F.when(x["start"] >= F.get(upto, i), F.concat(
+            cut(own, F.get(upto, i), x["start"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(""))
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(parts, ""), cut(own, last, F.length(body)))
+    upto = before_each(F.col("spans"), F.lit(0), lambda s, x: F.greatest(s, x["end"]), F.greatest)
+    clean = bound(pieces, lambda own: bound(upto, lambda u: masked(own, F.col("spans"), u)))
     clean = F.when(F.size("spans") == 0, body).otherwise(clean)
     return found_.select(*(clean.alias(c) if c == text else F.col(f"_row.{c}") for c in docs.columns))
