@@ -115,3 +115,54 @@ def test_rare_kind_among_many_digit_runs(spark):
     docs += [(10**6 + k, f"write to user{k}@host.example now") for k in range(12)] + [(2 * 10**6, "write to someone at host dot com now")]
     got = pii.detect(spark.createDataFrame(docs, "doc_id long, text string")).where("_row.doc_id = 2000000").head()
     assert [s.kind for s in got.spans] == ["email"]
+
+
+def test_long_texts_of_many_matches(spark):
+    """Places, contexts and cuts beyond one block of matches and one piece of text; overlaps and ties among them."""
+    r = random.Random(6)
+    parts = ["call +44 20 7946 0958 now", "é😀", "me@x.org", "1.2.3.4", "4111 1111 1111 1111", "+1 (202) 555 0123 4111-1111-1111-1111", "w" * 700, "x@y.z 1.1.1.1"]
+    docs = [(k, " ".join(r.choice(parts) for _ in range(n))) for k, n in enumerate([1, 47, 48, 49, 97, 500, 3000])]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {x._row.doc_id: x for x in pii.detect(table).collect()}
+    masked = {x.doc_id: x.text for x in pii.redact(table).collect()}
+    for k, text in docs:
+        assert [tuple(s) for s in found[k].base] == brute(text)
+        out, at = "", 0
+        for s in found[k].spans:
+            if s.start >= at:
+                out += text[at:s.start] + f"[{s.kind}]"
+            at = max(at, s.end)
+        assert masked[k] == out + text[at:]
+
+
+def test_free_spans(spark):
+    """Which spans touch no base span, against all pairs."""
+    r = random.Random(7)
+
+    def spans(n):
+        return [(a, 0, a + r.randrange(1, 9), "ip") for a in (r.randrange(300) for _ in range(n))]
+    rows = [(spans(r.choice([0, 1, 60, 130])), sorted(spans(r.choice([0, 1, 5, 20])))) for _ in range(40)]
+    df = spark.createDataFrame(rows, f"more {pii.SPAN}, base {pii.SPAN}")
+    out = df.select("more", "base", pii.with_free(df.more, df.base).alias("free")).collect()
+    for row in out:
+        expected = [not any(m.start < b.end and b.start < m.end for b in row.base) for m in row.more]
+        assert [f.free for f in row.free or []] == expected
+
+
+def test_loose_phones(spark):
+    r = random.Random(8)
+    docs, planted = [], {}
+    for k in range(900):
+        n = [f"{r.randrange(2, 9)}{r.randrange(10**9):09d}" for _ in range(2)][0]
+        spaced, dashed = f"{n[:3]} {n[3:6]} {n[6:]}", f"{n[:3]}-{n[3:6]}-{n[6:]}"
+        text = [f"call me on +44 {spaced}", f"tel +1 {dashed}", f"a total of {n} units", f"since version {n[0]}.{n[1]}.{n[2]}", f"call me on 0044 {spaced}", f"Phone: {dashed}"][k % 6]
+        docs.append((k, f"some words before. {text} and after"))
+        if k % 6 > 3:
+            planted[k] = k % 6
+    got = {x._row.doc_id: x.spans for x in pii.detect(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for form in (4, 5):
+        own = [k for k, f in planted.items() if f == form]
+        # one number in ten of 14 digits is also a card by the base rules, which stay
+        assert sum(any(s.kind in ("phone", "card") for s in got[k]) for k in own) >= 0.9 * len(own)
+        assert sum(any(s.kind == "phone" for s in got[k]) for k in own) >= 0.8 * len(own)
+    assert not any(got[k] for k, _ in docs if k % 6 in (2, 3))
