@@ -263,6 +263,23 @@ def _arcs(lattice, nodes, width, keep, merged):
     return found, length
 
 
+class _Shapes:
+    """Arcs of lattices, and their edits without gold, by the lattice: words don't matter, so many pairs share them."""
+
+    def __init__(self):
+        self.known: dict = {}
+
+    def get(self, shape, max_unchanged, merged):
+        found = self.known.get(shape)
+        if found is None:
+            band, *moves_into = shape
+            lattice = dict(moves_into)
+            nodes = list(lattice)
+            arcs = _arcs(lattice, nodes, 2 * band + 1, max_unchanged, merged)
+            found = self.known[shape] = arcs, None if arcs is None else best_spans(None, nodes, band, (), arcs)
+        return found
+
+
 def _prolong(order, arcs, starts, goals, keep, length):
     rank = {v: k for k, v in enumerate(order)}.__getitem__
     listed, work = [], 0
@@ -648,10 +665,12 @@ def align_batch(source, hypothesis, gold, max_unchanged, sub_costs):
         else:
             rows_of.setdefault((tuple(s), tuple(t)), []).append(r)
     pairs = [(sources[rows[0]], hyps[rows[0]]) for rows in rows_of.values()]
-    members = list(rows_of.values())
+    members, shapes = list(rows_of.values()), _Shapes()
     for p, band, lattice in lattices(pairs, sub_costs):
         memo, nodes = {}, list(lattice)
-        arcs = _arcs(lattice, nodes, 2 * band + 1, max_unchanged, len(sub_costs) > 1)
+        arcs, plain = shapes.get((band, *lattice.items()), max_unchanged, len(sub_costs) > 1)
+        if plain is not None:
+            memo[()] = plain
         for r in members[p]:
             result[r] = []
             for edits in golds[r] or ((),):
