@@ -25,7 +25,6 @@ MIN_CHARS = 20
 #: Characters of a segment of lines over twice as long; shorter lines have two segments.
 SEGMENT = 256
 SIEVE_BITS, SLICE_BITS = 1 << 26, 1 << 15
-SEGMENTS = "array<struct<role:int,start:int,width:int,context:bigint>>"
 PLACES = 10_000_000_000          # more than lines of a document: position = document * PLACES + line
 BLANKS = " \t\r"
 
@@ -65,41 +64,28 @@ def sieved(rows: DataFrame, key: str, sieve: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sieve), (F.floor(bit / SLICE_BITS) + 1 == F.col("slice")) & (inside == 1), "left_semi")
 
 
-def _width(base: Column) -> Column:
-    return F.when(base > 2 * SEGMENT, SEGMENT).otherwise(F.ceil(base / 2)).cast("int")
-
-
-def segment_array(body: Column, n: Column, min_chars: int) -> Column:
-    """A line's segments as ``role, start, width, context``.
+def with_segments(lines: DataFrame, min_chars: int) -> DataFrame:
+    """A row for each segment of each line, with ``role, start, width, context``.
 
     Role 0 takes the line as the shorter or equal one of a pair, role 1 as the one with an inserted character: its
     segments are one character longer than those of the line without it, and what lies around them is the same.
-    ``context`` is a hash of that and of the shorter line's length. Lines of two segments, as nearly all are, need no
-    lambda, so that their text is cut and hashed in a compiled projection.
+    ``context`` is a hash of that and of the shorter line's length. Places come from explodes, so that the text is cut
+    and hashed in compiled projections.
     """
-    def segment(base: Column, role: int, start: Column, width: Column) -> Column:
-        before, after = F.substring(body, F.lit(1), start), F.substring(body, start + width + role + 1, n)
-        return F.struct(F.lit(role).alias("role"), start.cast("int").alias("start"), (width + role).cast("int").alias("width"),
-                        F.xxhash64(base, start.cast("int"), before, after).alias("context"))
-
-    def two(base: Column, role: int) -> list[Column]:
-        half = _width(base)
-        return [segment(base, role, F.lit(0), half), segment(base, role, half, base - half)]
-
-    def many(base: Column, role: int) -> Column:
-        width = _width(base)
-        cut = F.transform(F.sequence(F.lit(0), F.ceil(base / width).cast("int") - 1), lambda k: segment(
-            base, role, k * width, F.least(width, base - k * width)))
-        return F.when(base >= min_chars, cut).otherwise(F.array().cast(SEGMENTS))
-    short, long = n, n - 1
-    return F.when(n > 2 * SEGMENT, F.concat(many(short, 0), many(long, 1))).when(
-        n > min_chars, F.array(*two(short, 0), *two(long, 1))).when(n == min_chars, F.array(*two(short, 0))).otherwise(F.array().cast(SEGMENTS))
-
-
-def with_segments(lines: DataFrame, min_chars: int, *more: str) -> DataFrame:
-    """A row for each segment of each line: its columns of :func:`segment_array`, and the line's ``more`` columns."""
-    rows = lines.withColumn("_segments", segment_array(F.col("body"), F.col("n"), min_chars))
-    return rows.select(*more, F.explode("_segments").alias("_s")).select(*more, "_s.*")
+    def width(base: Column) -> Column:
+        return F.when(base > 2 * SEGMENT, SEGMENT).otherwise(F.ceil(base / 2)).cast("int")
+
+    def count(base: Column) -> Column:
+        return F.when(base >= min_chars, F.ceil(base / width(base))).otherwise(0).cast("int")
+    n = F.col("n")
+    rows = lines.withColumn("_k", F.explode(F.sequence(F.lit(0), count(n) + count(n - 1) - 1)))
+    rows = rows.withColumn("role", F.when(F.col("_k") < count(n), 0).otherwise(1))
+    base = n - F.col("role")
+    rows = rows.withColumn("start", ((F.col("_k") - F.when(F.col("role") == 1, count(n)).otherwise(0)) * width(base)).cast("int"))
+    rows = rows.withColumn("width", (F.least(width(base), base - F.col("start")) + F.col("role")).cast("int"))
+    before = F.substring(F.col("body"), F.lit(1), F.col("start"))
+    after = F.substring(F.col("body"), F.col("start") + F.col("width") + 1, n)
+    return rows.withColumn("context", F.xxhash64(base, F.col("start"), before, after)).drop("_k")
 
 
 def with_variants(rows: DataFrame) -> DataFrame:
@@ -147,7 +133,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def earlier_neighbours(own: DataFrame, first: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``h1, h2, near``: for different lines, the earliest first place of a line that is one edit away, if earlier."""
     long_enough = own.where(F.col("n") >= min_chars)
-    contexts = with_segments(long_enough, min_chars, "h1", "h2")
+    contexts = with_segments(long_enough, min_chars).select("context", "h1", "h2", "role", "start")
     # surroundings that at least two different lines share
     shared = contexts.groupBy("context").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
     shared = materialize(shared.select("context"), "shared-contexts")
@@ -156,7 +142,7 @@ def earlier_neighbours(own: DataFrame, first: DataFrame, min_chars: int = MIN_CH
     wanted = materialize(busy.join(first, ["h1", "h2"]).withColumnRenamed("first", "place"), "wanted-lines")
     texts = sieved(long_enough, "h1", sieve(wanted, "h1")).join(wanted, ["h1", "h2", "place"])
     texts = materialize(texts.dropDuplicates(["h1", "h2"]), "busy-lines")
-    active = with_segments(texts, min_chars, "place", "body", "busy").where(
+    active = with_segments(texts, min_chars).where(
         F.exists("busy", lambda b: (b["role"] == F.col("role")) & (b["start"] == F.col("start"))))
     active = active.select("place", "context", "role", F.substring(F.col("body"), F.col("start") + 1, F.col("width")).alias("part"))
     # the pieces are few but grow to a row for each character, so they are dealt out first
