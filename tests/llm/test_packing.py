@@ -33,6 +33,29 @@ def test_assign_fills_sequences():
         check_cover({d: n for d, _, n in pieces}, full + tail)
 
 
+def naive(pieces, capacity):
+    """Every piece in turn, the costliest first, to the cheapest sequence with room, found by looking at all."""
+    full = [[(d, s + k, capacity)] for d, s, n in pieces for k in range(0, n - n % capacity, capacity)]
+    rest = [(d, s + n - n % capacity, n % capacity) for d, s, n in pieces if n % capacity]
+    sequences = [[0.0, capacity, []] for _ in range(sum(n for *_, n in rest) // capacity)]
+    for d, s, n in sorted(rest, key=lambda p: (-packing.cost(p[2]), p)):
+        while n and any(x[1] for x in sequences):
+            own = min((x for x in sequences if x[1]), key=lambda x: x[0])
+            part = min(n, own[1])
+            own[0], own[1] = own[0] + packing.cost(part), own[1] - part
+            own[2].append((d, s, part))
+            s, n = s + part, n - part
+    return full + [x[2] for x in sequences]
+
+
+def test_assign_equals_a_plain_search():
+    r = random.Random(12)
+    for _ in range(150):
+        pieces = [(d, r.choice([0, 7]), r.choice([1, 2, 2, 30, 64, 100, 128, 5000])) for d in range(r.randint(0, 40))]
+        full, _ = packing.assign(pieces, 128)
+        assert sorted(full) == sorted(naive(pieces, 128))
+
+
 def check_cover(lengths, sequences):
     seen = defaultdict(list)
     for members in sequences:

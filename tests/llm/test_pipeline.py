@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from redpencil.llm import toxicity
+from test_line_dedup import brute as repeated_lines
+from test_toxicity import plain_score
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +34,17 @@ def test_stages(spark, tables):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert set(after) <= set(before) and {10**9, 10**9 + 1, None} <= set(after)
     assert sum(labels.get(d, 0) for d in after) <= 0.5 * sum(labels.values())
+    model = toxicity.train(tables, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert set(after) == {d for d, t in before.items() if plain_score(model, t) < corpus_pipeline.TOXIC}
+    before, after = ({r.doc_id: r.text for r in x.collect()} for x in seen["line_dedup"])
+    gone = {(d, k) for d, k, kept, *_ in repeated_lines(list(before.items())) if not kept}
+    expected = {}
+    for d, text in before.items():
+        lines = (text or "").split("\n")
+        left = [x for k, x in enumerate(lines) if (d, k) not in gone]
+        if len(left) == len(lines) or any(x.strip(" \t\r") for x in left):
+            expected[d] = text if len(left) == len(lines) else "\n".join(left)
+    assert after == expected
     before, after = ({r.doc_id: r.text for r in x.collect()} for x in seen["near_dedup"])
 
     def shingles(text):

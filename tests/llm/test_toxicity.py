@@ -50,6 +50,34 @@ def test_batches_do_not_matter(monkeypatch):
     assert np.allclose(one, two, atol=1e-12) and [[s["start"] for s in x] for x in spans] == [[s["start"] for s in x] for x in again]
 
 
+def plain_score(model, text):
+    """A document's score, token by token over its whole chain."""
+    on = [1 / (1 + np.exp(-np.clip(model.evidence(w), -30, 30))) for w in toxicity.TOKEN.findall(text or "")]
+    top, many, m = -12.0, 0.0, np.exp(model.moves)
+    if on:
+        ahead = [np.array([1 - on[0], on[0]])]
+        for x in on[1:]:
+            new = ahead[-1] @ m * [1 - x, x]
+            ahead.append(new / new.sum())
+        back = [np.ones(2)]
+        for x in on[:0:-1]:
+            new = m @ (back[-1] * [1 - x, x])
+            back.append(new / new.sum())
+        p = np.array([a[1] * b[1] / (a @ b) for a, b in zip(ahead, back[::-1])])
+        best = np.clip(p.max(), 6.2e-6, 1 - 6.2e-6)
+        top, many = np.log(best / (1 - best)), np.log1p(p[p >= 0.5].sum())
+    b0, b1, b2 = model.curve
+    return 1 / (1 + np.exp(-np.clip(b0 + b1 * top + b2 * many, -30, 30)))
+
+
+def test_scores_equal_plain_chains(spark, corpus):
+    docs, labels, truth = corpus
+    model = toxicity.train(docs, labels)
+    long = spark.createDataFrame([(9000, "a zzbad b " * 200, "x"), (9001, "neutral " * 700 + "Qqvile", "x"), (9002, None, "x")], docs.schema)
+    for row in toxicity.score(docs.union(long), model).collect():
+        assert abs(row.toxicity.score - plain_score(model, row.text)) < 1e-9
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     r = random.Random(2)
