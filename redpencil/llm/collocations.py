@@ -245,7 +245,7 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int = LEAST, longes
     lead = [f"w{i + 1}" for i in range(longest)]
     schema = ", ".join(["lang string", *(f"{c} string" for c in lead), "n long"])
     windows = texts.mapInArrow(window_counter(words_sieve, sieves, longest), schema)
-    windows = windows.groupBy("lang", *lead).agg(F.sum("n").alias("n"))
+    windows = materialize(windows.groupBy("lang", *lead).agg(F.sum("n").alias("n")), "windows")       # read twice
     # whole windows are counted already; the rollup sums them to shorter prefixes
     whole = windows.where((F.col("n") >= least) & F.col(lead[-1]).isNotNull()).select("lang", F.array(*lead).alias("words"), F.col("n").alias("f"))
     shorter = lead[:-1]
