@@ -58,9 +58,10 @@ class Layout:
         columns = -(-lengths // CHAIN)
         self.count = int(columns.sum())
         ends = np.cumsum(lengths)
-        within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-        self.place = within % CHAIN
-        self.column = np.repeat(np.cumsum(columns) - columns, lengths) + within // CHAIN
+        within = np.arange(int(ends[-1]) if len(ends) else 0)
+        within -= np.repeat(ends - lengths, lengths)
+        self.place = (within % CHAIN).astype(np.int32)
+        self.column = (np.repeat(np.cumsum(columns) - columns, lengths) + within // CHAIN).astype(np.int32)
         self.sizes = np.bincount(self.column, minlength=self.count)
         self.width = int(self.sizes.max(initial=0))
         self.follows = np.flatnonzero(within > 0)
@@ -81,7 +82,11 @@ def forward_backward(evidence: np.ndarray, layout: Layout, moves: np.ndarray) ->
     width, count, sizes = layout.width, layout.count, layout.sizes
     grid = np.zeros((width, count))
     grid[layout.place, layout.column] = evidence
-    on = 1 / (1 + np.exp(-np.clip(grid, -30, 30)))
+    # in place: grids are the largest arrays of a fit
+    on = np.clip(grid, -30, 30, out=grid)
+    np.exp(np.negative(on, out=on), out=on)
+    on += 1
+    np.divide(1, on, out=on)
     # what enters a column: the share in state 1 of the token before it (none: no moves into the first token), and what follows its end
     before, after = np.full(count, np.nan), np.full(count, 0.5)
     if layout.turns:
@@ -95,7 +100,7 @@ def forward_backward(evidence: np.ndarray, layout: Layout, moves: np.ndarray) ->
         for turn in layout.turns[::-1]:
             after[turn - 1] = _pass(transfer[:, :, turn], after[turn], forward=False)
     # the scaled vectors are kept as their share in state 1
-    ahead = np.empty_like(grid)
+    ahead = np.empty_like(on)
     enters = ~np.isnan(before)
     share = np.where(enters, before, 0.5)
     for t in range(width):
@@ -123,9 +128,15 @@ def forward_backward(evidence: np.ndarray, layout: Layout, moves: np.ndarray) ->
         back[t] = state
     for turn in layout.turns:
         expected += moved(before[turn], back[0, turn] * on[0, turn], (1 - back[0, turn]) * (1 - on[0, turn]))
-    both = ahead * back
-    marginal = both / (both + (1 - ahead) * (1 - back))
-    return marginal[layout.place, layout.column], expected
+    del on
+    one, zero = ahead[layout.place, layout.column], back[layout.place, layout.column]
+    del ahead, back
+    both = one * zero
+    np.subtract(1, one, out=one)
+    one *= np.subtract(1, zero, out=zero)
+    one += both
+    both /= one
+    return both, expected
 
 
 def _transfers(on: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -172,15 +183,17 @@ def summary(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def telling(found: list[np.ndarray], toxic: np.ndarray, count: int) -> np.ndarray:
+def telling(found: Iterable[np.ndarray], toxic: np.ndarray, count: int) -> np.ndarray:
     """Whether a feature tells: toxic texts have it and clean ones hardly do, and it is frequent or covers texts that
-    no other one covers. ``found`` holds each text's different features."""
-    bad, good = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    no other one covers. ``found`` holds each text's different features; those of clean texts are only counted."""
+    bad, good, listed = np.zeros(count, np.int64), np.zeros(count, np.int64), []
     for own, t in zip(found, toxic):
         (bad if t else good)[own] += 1
+        if t:
+            listed.append(own)
     sure = (bad >= 3) & (good <= 0.02 * bad)
     chosen = sure & (bad >= max(3, int(0.02 * toxic.sum())))
-    left = [own[sure[own]] for own, t in zip(found, toxic) if t and not chosen[own].any()]
+    left = [own[sure[own]] for own in listed if not chosen[own].any()]
     while left:
         counts = np.bincount(np.concatenate(left), minlength=count)
         best = int(counts.argmax())
@@ -215,7 +228,7 @@ def fit(texts: Iterable[str | None], toxic: np.ndarray) -> Crf:
     names: dict[str, int] = {}
     table = np.fromiter((names.setdefault(f, len(names)) for w in types for f in features(w)), np.int32).reshape(-1, 5)
     del types
-    chosen = telling([np.unique(table[np.unique(t)]) for t in tokens], toxic, len(names))
+    chosen = telling((np.unique(table[np.unique(t)]) for t in tokens), toxic, len(names))
     is_telling = chosen[table].any(axis=1)
     own = np.concatenate([np.flatnonzero(toxic), np.flatnonzero(~toxic)[:toxic.sum()]])
     w, bias, moves = _fit_weights([tokens[k] for k in own], toxic[own], is_telling, table, len(names))
@@ -310,7 +323,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         chosen += fits
     within = spark.createDataFrame(chosen, "_id long")
     found = rows.join(F.broadcast(within), "_id").orderBy("_id", "_text").select("_text", "_toxic").toArrow()
-    return fit((x.as_py() for x in found.column(0)), found.column(1).to_numpy())
+    columns = found.columns
+    del found
+    labels = columns.pop().to_numpy()
+    return fit((x.as_py() for x in columns.pop()), labels)          # the texts are let go when they are tokens
 
 
 class _Scorer:

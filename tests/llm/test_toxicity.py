@@ -151,3 +151,14 @@ def test_small_weights_and_earlier_bounds(spark, corpus):
     docs, labels, _ = corpus
     assert any(0.02 <= abs(w) < 0.05 for w in toxicity.train(docs, labels).weights.values())
     assert toxicity.CLEAN_ROWS >= 6000 and toxicity.TOXIC_CHARS + toxicity.CLEAN_CHARS >= 24_000_000
+
+
+def test_clean_features_are_only_counted():
+    """Features come one text at a time; a text's own are held only where they may have to be covered."""
+    found = [np.array([0, 3]), np.array([0, 4]), np.array([0, 5]), np.array([1, 3]), np.array([1, 4]), np.array([1, 5]), np.array([2, 3]), np.array([2])]
+    toxic = np.array([True] * 6 + [False] * 2)
+    assert toxicity.telling(iter(found), toxic, 6).tolist() == toxicity.telling(found, toxic, 6).tolist() == [True, True, False, False, False, False]
+    # two features cover 200 toxic texts, 3 texts have one of their own
+    found = [np.array([0])] * 200 + [np.array([1])] * 3 + [np.array([2])] * 50
+    toxic = np.arange(253) < 203
+    assert toxicity.telling(iter(found), toxic, 3).tolist() == [True, True, False]
