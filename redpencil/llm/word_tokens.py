@@ -6,7 +6,9 @@ from array import array
 from functools import lru_cache
 
 #: Words that a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
+#: Words are remembered from their second encoding on. Marks of the first ones, by hash; a clash only remembers too early.
+MARKS = 1 << 22
 
 
 class WordEncoder:
@@ -23,20 +25,25 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {"": b""}
         self.earlier: dict[str, bytes] = {}
+        self.met = bytearray(MARKS)
 
     def encode(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
         found = list(map(self.words.get, words))
         if None in found:
             if len(self.words) > REMEMBERED:
-                self.earlier, self.words = self.words, {"": b""}
-            earlier = self.earlier
+                self.earlier, self.words, self.met = self.words, {"": b""}, bytearray(MARKS)
+            earlier, met, once = self.earlier, self.met, set()
             unseen = {w: earlier.get(w) for w, x in zip(words, found) if x is None}
             missing = [w for w, x in unseen.items() if x is None]
             for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
                 unseen[w] = array("I", e.ids).tobytes()
+                mark = hash(w) % MARKS
+                if not met[mark]:
+                    met[mark] = 1
+                    once.add(w)
             found = [unseen[w] if x is None else x for w, x in zip(words, found)]
-            self.words.update((w, x) for w, x in unseen.items() if len(w) <= 64)
+            self.words.update((w, x) for w, x in unseen.items() if len(w) <= 64 and w not in once)
         return b"".join(found)
 
 
