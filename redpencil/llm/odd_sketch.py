@@ -6,8 +6,8 @@ the exclusive or of their sketches, so a pair with more set bits than ``2 * most
 texts are read. What remains is confirmed on the full sets.
 
 Only one document of each different set takes part. Bands hold a third of them at worst, so pairs within a band are
-not emitted: every document is first compared with the band's smallest, then with its largest; documents that are
-still in different components meet in blocks of ``CHUNK``, first by their sketches, then those that pass by their texts, and
+not emitted: every document is first compared with the band's smallest; documents that are still in different components
+meet in blocks of ``CHUNK``, first by their sketches, then those that pass by their texts, and
 only links leave the task. What is in one component needs no more comparisons, so no link between components is lost.
 """
 
@@ -171,8 +171,7 @@ def with_component(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members with their component so far, of bands with more than one."""
     rows = members.select("band", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "band", "rep", F.coalesce("component", "rep").alias("component"))
-    busy = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                     F.max("rep").alias("last"), F.max_by("component", "rep").alias("last_component"))
+    busy = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return materialize(rows.join(busy.where("low <> high"), "band").drop("high"), "members")
 
 
@@ -292,9 +291,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own = materialize(sketched(docs, doc_id, text, words), "sketches")
     usable = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    one = Window.partitionBy("same").orderBy("digest")               # more than a row only where an id repeats
-    sketches = usable.join(classes, ["same", "doc_id"]).withColumn("_k", F.row_number().over(one)).where("_k = 1")
+    one = Window.partitionBy("same").orderBy("doc_id", "digest")     # the digest decides only where an id repeats
+    sketches = usable.withColumn("_k", F.row_number().over(one)).where("_k = 1")
     # a class is named by a number of its own, as the same id can stand for several sets
     sketches = materialize(sketches.select(F.monotonically_increasing_id().alias("rep"), "same", "doc_id", "digest", "n_shingles", "bands", "sketch"), "classes")
     banded = sketches.select("rep", F.explode("bands").alias("band"))
@@ -306,22 +304,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = materialize(texts.join(mates, ["doc_id", "digest"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
 
     links = confirm(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")), sketches, texts, words)
-    busy = with_component(members, components(links))
-    pairs = busy.where("component <> last_component").select(F.col("last").alias("a"), F.col("rep").alias("b"))
-    links = links.union(confirm(pairs, sketches, texts, words))
-    busy = with_component(busy, components(links))
-    links = links.union(links_within_bands(busy, sketches, texts, words))
-    found = components(links.union(links_of_ids(usable, sketches)))
-
-    linked = sketches.select("rep", "same", "doc_id").join(found, F.col("rep") == F.col("node"))
+    found = components(links)
+    busy = with_component(members, found)
+    links = links_within_bands(busy, sketches, texts, words).union(links_of_ids(usable, sketches))
+    # what is known as one component goes on as a star
+    found = components(stars(found).union(links))
+
+    linked = sketches.select("rep", "same", "doc_id").join(found, F.col("rep") == F.col("node"), "left").select(
+        "same", "doc_id", F.coalesce("component", "rep").alias("component"))
     names = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(names, "component").select("same", "component_id")
-    named = classes.withColumnRenamed("doc_id", "least").join(linked, "same", "left").select("same", F.coalesce("component_id", "least").alias("component"))
+    named = linked.join(names, "component").select("same", F.col("component_id").alias("component"))
     rows = own.join(named, "same", "left")
     linked_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", linked_id.alias("component_id"), (F.col("doc_id") == linked_id).alias("kept"))
 
 
+def stars(found: DataFrame) -> DataFrame:
+    """Links ``a, b`` that give the same components again."""
+    return found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def links_of_ids(usable: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links ``a, b`` between the classes of ids that have several."""
     several = usable.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high")

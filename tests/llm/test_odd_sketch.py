@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
-from redpencil.llm import odd_sketch
+from redpencil.llm import common, odd_sketch
 from redpencil.llm.common import components
+from redpencil.session import materialize
 
 
 def words(text):
@@ -98,3 +99,13 @@ def test_all_texts_of_a_repeated_id_count(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {(r.doc_id, r.component_id, r.kept) for r in odd_sketch.near_duplicates(df).collect()}
     assert found == {(5, 5, True), (9, 5, False), (12, 5, False), (20, 20, True)}
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """One pass makes two stars of these links; none follows only to see that nothing changes."""
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    edges = spark.createDataFrame([(5, 1), (6, 1), (7, 1), (9, 8), (9, 9), (None, 3)], "a long, b long")
+    found = {r.node: r.component for r in components(edges).collect()}
+    assert found == {1: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8}
+    assert len(written) == 2
