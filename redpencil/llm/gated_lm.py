@@ -20,7 +20,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ TRAINER_TOKENS = 2_000_000       # a task trains on about so many tokens of a pa
 RATE = 0.02
 END, RARE = 0, 1                 # symbols; words follow in the order of their counts
 ROWS_OUT = 4096
+READ_BYTES = 1 << 24             # texts of about so many bytes are cut into words at once
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -66,10 +67,6 @@ class Counts:
         # what the shared output divides among its words: their counts, each plus one, and one for all unseen words
         self.rare_share = int(self.own[RARE]) + self.types - own - (self.documents > 0) + 1
 
-    def code(self) -> dict[bytes, int]:
-        """Numbers of the counted words; those below ``len(own)`` are symbols."""
-        return {w: k + 2 for k, w in enumerate(self.words)}
-
 
 class Layout:
     """Classes of symbols by the square roots of their counts; the symbols of a class lie next to each other."""
@@ -283,7 +280,7 @@ class Coder:
     """Texts as symbols, and the sums that their word counts give."""
 
     def __init__(self, counts: Counts):
-        self.code, self.own = counts.code(), len(counts.own)
+        self.given, self.own = counts, len(counts.own)
         self.symbol = {None: END, **{w: k + 2 for k, w in enumerate(counts.words[:self.own - 2])}}
         self.counts = np.concatenate([[counts.documents, 0], counts.counts])
         self.logs = np.log10(self.counts + 1.0)
@@ -294,13 +291,34 @@ class Coder:
         words.append(None)
         return np.fromiter(map(self.symbol.get, words, repeat(RARE)), np.int64, len(words))
 
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols with the end, numbers of the counted words, and the other words."""
-        words = tokens(text)
-        found = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
-        other = [words[k] for k in np.flatnonzero(found < 0).tolist()]
-        symbols = np.append(np.where((found < 0) | (found >= self.own), RARE, found), END)
-        return symbols, found[found >= 0], other
+    def read(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """For each text its symbols with the end, the numbers of the counted words, and the other words."""
+        words, ends = words_of(texts)
+        known = pa.array(self.given.words, words.type)
+        numbers = pc.fill_null(pc.index_in(words, value_set=known), -3).to_numpy().astype(np.int64) + 2
+        symbols = np.where((numbers < 0) | (numbers >= self.own), RARE, numbers)
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            found = numbers[lo:hi]
+            other = words.take(pa.array(lo + np.flatnonzero(found < 0))).to_pylist()
+            yield np.append(symbols[lo:hi], END), found[found >= 0], other
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What ``tokens`` gives for all texts, one after the other, and where the words of each text end."""
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    low = pc.if_else(pc.equal(pc.binary_length(low), 0), pa.scalar(None, low.type), low)
+    lists = pc.ascii_split_whitespace(low)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    return lists.flatten().cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()), ends
+
+
+def slices(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts, in this column, have about ``READ_BYTES``; at least one each."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // READ_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -311,20 +329,10 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``word, n`` of a task's texts; a word can come more than once."""
-    counts: Counter = Counter()
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = list(counts.items())
-        counts.clear()
-        for at in range(0, len(rows), 1 << 17):
-            part = rows[at:at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
     for batch in batches:
-        for text in _texts(batch.column(0)):
-            counts.update(tokens(text))
-            if len(counts) > 1 << 20:
-                yield from out()
-    yield from out()
+        for part in slices(batch, 0):
+            counts = pc.value_counts(words_of(part.column(0))[0])
+            yield pa.RecordBatch.from_arrays([counts.field(0).cast(pa.binary()), counts.field(1)], names=["word", "n"])
 
 
 def in_training(doc_id: Column) -> Column:
@@ -405,8 +413,8 @@ def score_rows(counts, flat):
             for batch in batches:
                 # long texts first, so that they don't go on alone at the end
                 batch = batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column(2)), 0), sort_keys=[("", "descending")]))
-                for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))):
-                    symbols, known, other = coder.read(text)
+                read = chain.from_iterable(coder.read(part.column(2)) for part in slices(batch, 2))
+                for doc_id, held_out, (symbols, known, other) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), read):
                     logs = float(coder.logs[known].sum() + coder.logs[END])
                     rare = known[known >= coder.own]
                     often = Counter(other)

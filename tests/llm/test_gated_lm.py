@@ -4,6 +4,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from redpencil.llm import gated_lm as lm
@@ -135,3 +136,31 @@ def test_empty_and_unlearned(spark):
     assert lm.score(df.limit(0)).count() == 0
     out = sorted(map(tuple, lm.score(df).collect()), key=lambda r: r[2])
     assert [r[:5] for r in out] == [(None, True, 1, 0, 0), (None, True, 3, 0, 0)] and all(r[5] == 0 and math.isfinite(r[6]) for r in out)
+
+
+def test_words_of_many_texts(monkeypatch):
+    """Words cut and looked up for many texts at once are those of each text alone."""
+    texts = [None, "", " \t\n", "The the\x0bTHE", " a\x1cb  \u0085c\u00a0d\u2003É É ", "x " * 50, None, "\x00 a\x00", "rare 中文", ""]
+    alone = [lm.tokens((t or "").encode()) for t in texts]
+    known = [b"a", b"the", b"x", "É".encode()]
+    monkeypatch.setattr(lm, "WORDS", 2)
+    monkeypatch.setattr(lm, "READ_BYTES", 16)
+    coder = lm.Coder(lm.Counts(60, 5, 9, known, np.array([4, 3, 2, 1])))
+    code = {w: k + 2 for k, w in enumerate(known)}
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        words, ends = lm.words_of(column)
+        assert [words.to_pylist()[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends)] == alone
+        batch = pa.RecordBatch.from_arrays([column], names=["text"])
+        parts = list(lm.slices(batch, 0))
+        assert len(parts) > 1 and sum((p.column(0).to_pylist() for p in parts), []) == texts
+        read = [x for p in parts for x in coder.read(p.column(0))]
+        for own, (symbols, numbers, other) in zip(alone, read, strict=True):
+            assert symbols.tolist() == [code[w] if code.get(w, 9) < coder.own else lm.RARE for w in own] + [lm.END]
+            assert numbers.tolist() == [code[w] for w in own if w in code] and other == [w for w in own if w not in code]
+        found = Counter()
+        for b in lm.count_words(iter([batch])):
+            for r in b.to_pylist():
+                found[r["word"]] += r["n"]
+        assert found == Counter(w for own in alone for w in own)
+    assert list(lm.slices(batch.slice(0, 0), 0)) == []
