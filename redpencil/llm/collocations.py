@@ -12,7 +12,6 @@ less. So counts are exact at every size, and what the tasks hold is bounded.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,28 +32,32 @@ UNKNOWN = "und"
 #: fixed values: capital letters become small, blanks are one kind, and all that ends a piece is a line feed
 _FROM, _TO = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9
 _BYTES = bytes.maketrans(_FROM, _TO)
-END, NOTHING = 0, 1              # codes of the end of a piece and of the gap between two blanks
+END = 0                          # code of the end of a piece
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """Words in order with ``\\n`` between pieces; empty strings between blanks."""
-    return text.translate(_BYTES).replace(b"\n", b" \n ").split(b" ")
+def tokens(texts: list[bytes]) -> pa.DictionaryArray:
+    """The words of all texts in order, with ``\\n`` between pieces and texts."""
+    data = np.frombuffer(b"\n".join(texts).translate(_BYTES), np.uint8)
+    blank, end = data == ord(" "), data == ord("\n")
+    first = np.ones(len(data), bool)
+    first[1:] = blank[:-1] | end[:-1] | end[1:]
+    starts = np.flatnonzero(first[~blank])
+    data = data[~blank]
+    offsets = np.append(starts, len(data))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
 
 
 class Words:
     """Texts of one language at a time as arrays of word codes; codes hold for the life of the object."""
 
     def __init__(self):
-        self.codes: dict[bytes, int] = {b"\n": END, b"": NOTHING}
+        self.codes: dict[bytes, int] = {b"\n": END}
 
     def read(self, texts: list[bytes]) -> np.ndarray:
         """The codes of all texts, with ``END`` between pieces and texts."""
-        words = pieces(b"\n".join(texts))
-        codes = self.codes
-        for w in set(words).difference(codes):
-            codes[w] = len(codes)
-        found = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        return found[found != NOTHING]
+        found, codes = tokens(texts), self.codes
+        known = np.fromiter((codes.setdefault(w, len(codes)) for w in found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+        return known[found.indices.to_numpy()]
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -78,18 +81,21 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``lang, word, n`` of a task's texts; a word can come more than once."""
-    counts: dict[str, Counter] = {}
+    counts: dict[str, dict[bytes, int]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, words in counts.items():
-            words.pop(b"\n", None), words.pop(b"", None)
-            for at in range(0, len(words), 1 << 17):
-                part = list(words.items())[at:at + (1 << 17)] if len(words) > 1 << 17 else list(words.items())
+            words.pop(b"\n", None)
+            rows = list(words.items())
+            for at in range(0, len(rows), 1 << 17):
+                part = rows[at:at + (1 << 17)]
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(part)), pa.array([w for w, _ in part], pa.binary()).cast(pa.string()),
                                                   pa.array([n for _, n in part], pa.int64())], names=["lang", "word", "n"])
         counts.clear()
     for lang, texts in blocks(batches):
-        counts.setdefault(lang, Counter()).update(pieces(b"\n".join(texts)))
+        found, words = tokens(texts), counts.setdefault(lang, {})
+        for w, n in zip(found.dictionary.to_pylist(), np.bincount(found.indices.to_numpy()).tolist()):
+            words[w] = words.get(w, 0) + n
         if sum(map(len, counts.values())) > BLOCK_ROWS:
             yield from out()
     yield from out()
@@ -128,7 +134,7 @@ class Coded:
         fresh = np.fromiter((bit_of(lang, w) for w in new), np.uint64, len(new))
         ok = has(self.sieve, bits(fresh))
         if not len(hashes):
-            ok[:2] = False
+            ok[END] = False
         hashes, passes = np.concatenate([hashes, fresh]), np.concatenate([passes, ok])
         self.by_lang[lang] = words, hashes, passes
         return words, codes, hashes, passes
@@ -165,14 +171,14 @@ def sequence_counter(words_sieve, sieves: list) -> Callable:
         def out() -> Iterator[pa.RecordBatch]:
             places, n = np.unique(np.concatenate(held), return_counts=True)
             for at in range(0, len(places), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(places[at:at + (1 << 18)]), pa.array(n[at:at + (1 << 18)])], names=["bit", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(places[at:at + (1 << 18)], pa.int64()), pa.array(n[at:at + (1 << 18)])], names=["bit", "n"])
         for lang, texts in blocks(batches):
             _, codes, hashes, passes = coded.read(lang, texts)
             *_, (k, h) = passing(codes, hashes, passes[codes], sieves)
             _, h = longer(codes, hashes, k, h, len(sieves) + 2)
-            held.append(bits(h))
+            held.append(bits(h).astype(np.int32))
             size += len(h)
-            if size > 2 * BLOCK_ROWS:
+            if size > 4 * BLOCK_ROWS:
                 yield from out()
                 held, size = [], 0
         if size:
@@ -180,14 +186,48 @@ def sequence_counter(words_sieve, sieves: list) -> Callable:
     return run
 
 
+def distinct(columns: np.ndarray, n: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal windows that are neighbours in this order as one, with the sum of their counts."""
+    columns = columns[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    return columns[:, first], np.add.reduceat(n[order], first)
+
+
+def mixed(columns: np.ndarray) -> np.ndarray:
+    """A hash of each window: one column to sort by."""
+    out = columns[0].astype(np.uint64)
+    for column in columns[1:]:
+        out = joined(out, column.astype(np.uint64))
+    return out
+
+
 def window_counter(words_sieve, sieves: list, longest: int) -> Callable:
     """``lang, w1 .. , n``: a task's counts of padded windows; null is padding."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = Coded(words_sieve.value)
+        coded, held, size = Coded(words_sieve.value), {}, 0             # held: by language its words and counted windows
+
+        def out(lang: str) -> Iterator[pa.RecordBatch]:
+            words, counted = held.pop(lang)
+            table, n = (np.concatenate(x, axis=-1) for x in zip(*counted))
+            table, n = distinct(table, n, np.lexsort(table[::-1]))
+            names = np.array(list(words.codes), object)
+            for at in range(0, len(n), 1 << 17):
+                part = table[:, at:at + (1 << 17)]
+                used, place = np.unique(part, return_inverse=True)
+                # END stands for padding
+                texts_ = pa.array([None if c == END else w for c, w in zip(used, names[used])], pa.binary()).cast(pa.string())
+                place = place.reshape(part.shape)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang), part.shape[1]), *(texts_.take(pa.array(p)) for p in place), pa.array(n[at:at + (1 << 17)])],
+                    names=["lang", *(f"w{i + 1}" for i in range(longest)), "n"])
         for lang, texts in blocks(batches):
             words, codes, hashes, passes = coded.read(lang, texts)
             found = [k for k, _ in passing(codes, hashes, passes[codes], sieves)]
-            starts, names = found[0], np.array(list(words.codes), object)
+            starts = found[0]
+            if not len(starts):
+                continue
             columns = [codes[starts]]
             for lead in range(1, longest):
                 # the word stays while all sequences of the sieves' lengths up to it pass
@@ -196,22 +236,19 @@ def window_counter(words_sieve, sieves: list, longest: int) -> Callable:
                 whole[found[n - 1]] = True
                 alive = whole[starts] if lead < len(found) else alive & whole[np.minimum(starts + lead + 1 - n, len(codes) - 1)]
                 columns.append(np.where(alive, codes[np.minimum(starts + lead, len(codes) - 1)], END))
-            # END stands for padding
-            order = np.lexsort(columns[::-1])
-            table = np.stack([c[order] for c in columns])
-            new = np.ones(len(order), bool)
-            new[1:] = (table[:, 1:] != table[:, :-1]).any(axis=0)
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(order)))
-            table = table[:, first]
-            for at in range(0, len(first), 1 << 17):
-                part = table[:, at:at + (1 << 17)]
-                used, place = np.unique(part, return_inverse=True)
-                texts_ = pa.array([None if c == END else w for c, w in zip(used, names[used])], pa.binary()).cast(pa.string())
-                place = place.reshape(part.shape)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(lang), part.shape[1]), *(texts_.take(pa.array(p)) for p in place), pa.array(n[at:at + (1 << 17)])],
-                    names=["lang", *(f"w{i + 1}" for i in range(longest)), "n"])
+            if lang in held and held[lang][0] is not words:             # its codes hold no longer
+                size -= sum(len(n) for _, n in held[lang][1])
+                yield from out(lang)
+            table = np.stack(columns).astype(np.int32)
+            counted = distinct(table, np.ones(len(starts), np.int64), np.argsort(mixed(table)))
+            held.setdefault(lang, (words, []))[1].append(counted)
+            size += len(counted[1])
+            if size > BLOCK_ROWS // 2:
+                for known in list(held):
+                    yield from out(known)
+                size = 0
+        for lang in list(held):
+            yield from out(lang)
     return run
 
 

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from redpencil.llm import collocations
@@ -58,6 +60,46 @@ def test_equals_brute_force(spark, monkeypatch, least, top, sieve):
     assert sorted(map(tuple, out.collect())) == expected and len(expected) > 10
 
 
+class Open:
+    """A sieve that lets all pass."""
+    value = np.full(collocations.SIEVE_BITS // 8, 255, np.uint8)
+
+
+def test_a_task_hands_on_equal_windows_once():
+    texts = ["new york  city\tNEW york city", "new york city. \nnew york city,city", "x y"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([lang] * 3), pa.array(texts)], names=["lang", "text"]) for lang in ("en", "fr", "en", "en")]
+    rows = [r for b in collocations.window_counter(Open, [Open, Open], 4)(iter(batches)) for r in b.to_pylist()]
+    keys = Counter((r["lang"], *(r[f"w{k}"] for k in range(1, 5))) for r in rows)
+    assert max(keys.values()) == 1                                   # also over batches
+    one = {(r["w1"], r["w2"], r["w3"], r["w4"]): r["n"] for r in rows if r["lang"] == "fr"}
+    assert one == {("new", "york", "city", "new"): 1, ("york", "city", "new", "york"): 1, ("city", "new", "york", "city"): 1,
+                   ("new", "york", "city", None): 3, ("york", "city", None, None): 3, ("city", None, None, None): 4,
+                   ("x", "y", None, None): 1, ("y", None, None, None): 1}
+    assert {k: 3 * n for k, n in one.items()} == {(r["w1"], r["w2"], r["w3"], r["w4"]): r["n"] for r in rows if r["lang"] == "en"}
+
+
+def test_windows_are_handed_on_before_their_codes_change(monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK_ROWS", 40)
+    texts = [f"a{k} b{k} c{k % 3}" for k in range(30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([t])], names=["lang", "text"]) for t in texts for lang in ("en", "fr")]
+    counts = Counter()
+    for b in collocations.window_counter(Open, [Open, Open], 4)(iter(batches)):
+        for r in b.to_pylist():
+            counts[tuple(r.values())[:-1]] += r["n"]
+    expected = Counter()
+    for t in texts:
+        w = t.split(" ")
+        for k in range(3):
+            expected.update((lang, *w[k:], *[None] * (k + 1)) for lang in ("en", "fr"))
+    assert counts == expected
+
+
+@pytest.mark.parametrize("texts", [[b""], [b" "], [b"\n"], [b"a"], [b" a  b\t.c", b"", b"D! ?\r e\x0b"], ["\u00c9\u0085 \u2028x\x1cy".encode(), b"  "]])
+def test_tokens(texts):
+    expected = re.findall(rb"\n|[^ \t\n]+", re.sub(rb"[.,;:!?\x0a-\x0d]", b"\n", b"\n".join(texts).lower()))
+    assert collocations.tokens(texts).to_pylist() == expected
+
+
 def test_products_beyond_64_bits(spark):
     df = spark.sql("SELECT CAST(4000000000000000000 AS LONG) AS a, CAST(4500000000000000001 AS LONG) AS l, CAST(4100000000000000003 AS LONG) AS r")
     got = df.select(collocations.cut_score("a", "l", "r").alias("s")).first().s
