@@ -1,11 +1,13 @@
 """Work that must not be repeated: expressions computed once a row, rules skipped, lattices given up before walks are listed."""
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from redpencil.functions.sequences import shrink
 from redpencil.functions.tokenizer import ptb_tokens
 from redpencil.operators import alignment, scoring
+from redpencil.plans.inputs import sentences
 from redpencil.sources import gold as gold_files
 
 EDIT = "array<struct<start:int,end:int,original:string,correction:string>>"
@@ -115,3 +117,14 @@ def test_annotation_lines_are_cut_once(spark, tmp_path):
     assert plan(read.rows).count("split(substring(") == 1
     assert [tuple(r)[1:] for r in read.edits.orderBy("edit_pos").collect()] == [
         (0, 0, 0, 1, "sub", "a", ["x", "y"], "REQUIRED", "-NONE-"), (1, 1, -1, -1, "noop", "", [""], "REQUIRED", "-NONE-")]
+
+
+def test_sentences_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    texts = ["a b. c\nd", None, "", "a b. c\nd"] * 20                # ids and texts repeat, some are null
+    docs = pa.table({"doc_id": pa.array([None if k % 7 == 0 else k % 9 for k in range(80)], pa.int64()),
+                     "text": pa.array(texts), "lang": pa.array(["en"] * 80), "source": pa.array(["s"] * 80), "n_chars": pa.array([1] * 80)})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    rows = sentences(spark, str(tmp_path))
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 120 and sum(n > 0 for n in sizes) >= 4
+    assert sorted({r.source for r in rows.collect()}) == ["a b", "c", "d"]
