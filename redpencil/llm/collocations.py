@@ -56,7 +56,7 @@ class Words:
     def read(self, texts: list[bytes]) -> np.ndarray:
         """The codes of all texts, with ``END`` between pieces and texts."""
         found, codes = tokens(texts), self.codes
-        known = np.fromiter((codes.setdefault(w, len(codes)) for w in found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+        known = np.fromiter((codes.setdefault(w, len(codes)) for w in found.dictionary.to_pylist()), np.int32, len(found.dictionary))
         return known[found.indices.to_numpy()]
 
 
@@ -178,7 +178,7 @@ def sequence_counter(words_sieve, sieves: list) -> Callable:
             _, h = longer(codes, hashes, k, h, len(sieves) + 2)
             held.append(bits(h).astype(np.int32))
             size += len(h)
-            if size > 4 * BLOCK_ROWS:
+            if size > 2 * BLOCK_ROWS:
                 yield from out()
                 held, size = [], 0
         if size:
@@ -228,18 +228,19 @@ def window_counter(words_sieve, sieves: list, longest: int) -> Callable:
             starts = found[0]
             if not len(starts):
                 continue
-            columns = [codes[starts]]
+            table = np.empty((longest, len(starts)), np.int32)
+            table[0] = codes[starts]
             for lead in range(1, longest):
                 # the word stays while all sequences of the sieves' lengths up to it pass
                 n = min(lead, len(sieves)) + 1
                 whole = np.zeros(len(codes), bool)
                 whole[found[n - 1]] = True
                 alive = whole[starts] if lead < len(found) else alive & whole[np.minimum(starts + lead + 1 - n, len(codes) - 1)]
-                columns.append(np.where(alive, codes[np.minimum(starts + lead, len(codes) - 1)], END))
+                table[lead] = np.where(alive, codes[np.minimum(starts + lead, len(codes) - 1)], END)
             if lang in held and held[lang][0] is not words:             # its codes hold no longer
                 size -= sum(len(n) for _, n in held[lang][1])
                 yield from out(lang)
-            table = np.stack(columns).astype(np.int32)
+            del found
             counted = distinct(table, np.ones(len(starts), np.int64), np.argsort(mixed(table)))
             held.setdefault(lang, (words, []))[1].append(counted)
             size += len(counted[1])
