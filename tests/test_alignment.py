@@ -3,6 +3,7 @@
 import random
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,64 @@ def test_zip_lines_is_strict(spark):
             zip_lines(left.union(left.where("sent_id = 1")), left.withColumnRenamed("text", "t"), strict=strict).collect()
     plan = zip_lines(left, right)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2      # the check needs no shuffle of its own
+
+
+def test_patterns_are_aligned_once(monkeypatch):
+    """Pairs with equal tokens at the same places, and gold seen alike, need no matrix of their own, in any batch."""
+    def batch(words, fixes):
+        src, hyp = [w for w in words], [*words[:2], fixes[0], *words[3:6], fixes[1], *words[6:]]
+        gold = [[{"start": 2, "end": 3, "corrections": ["no", fixes[0]]}, {"start": 6, "end": 6, "corrections": [fixes[1]]}], []]
+        return pa.array([src], TOKENS), pa.array([hyp], TOKENS), pa.array([gold], GOLD)
+    first = align_batch(*batch("one two three four five six one".split(), ("x", "y")), 2, (1, 2)).to_pylist()
+    assert [tuple(e.values()) for e in first[0][0]] == [(2, 3, 2, 3), (6, 6, 6, 7)]
+    monkeypatch.setattr(alignment, "_forward", None)
+    assert align_batch(*batch("a b c d e f a".split(), ("u", "v")), 2, (1, 2)).to_pylist() == first
+
+
+@pytest.mark.parametrize("kept_bytes", [0, 1 << 25])
+@pytest.mark.parametrize("band", [1, 31])
+def test_remembered_patterns_change_nothing(monkeypatch, kept_bytes, band):
+    """Rows of one batch, remembered or not, in patterns or not, against each row alone."""
+    rnd = random.Random(band + kept_bytes)
+    cases = [random_case(rnd) for _ in range(150)] * 2
+    listed = [[[{"start": a, "end": b, "corrections": [" ".join(x) for x in alts]} for a, b, *alts in gold], []] for _, _, gold in cases]
+    rows = [pa.array([c[k] for c in cases], TOKENS) for k in (0, 1)] + [pa.array(listed, GOLD)]
+    for keep, costs in ((0, (2,)), (2, (1, 2))):
+        monkeypatch.setattr(alignment, "PATTERN_BAND", -1)
+        alone = [align_batch(*(x.slice(r, 1) for x in rows), keep, costs)[0].as_py() for r in range(len(cases))]
+        monkeypatch.setattr(alignment, "KEPT_BYTES", kept_bytes)
+        monkeypatch.setattr(alignment, "PATTERN_BAND", band)
+        assert align_batch(*rows, keep, costs).to_pylist() == alone
+        together = alignment.align_batches(iter([tuple(x.slice(at, 70) for x in rows) for at in range(0, len(cases), 70)]), keep, costs)
+        assert [r for part in together for r in part.to_pylist()] == alone
+
+
+def by_plain_listing(monkeypatch, nodes, codes, width, keep):
+    with monkeypatch.context() as plain:
+        plain.setattr(alignment, "DENSE_NODES", 0)
+        cells = dict(zip(nodes.tolist(), codes.tolist()))
+        return alignment._arcs(cells, list(cells), width, keep, True)
+
+
+@pytest.mark.parametrize("work", [60, 200_000])
+@pytest.mark.parametrize("keep", [0, 1, 2])
+def test_walks_by_length_equal_walks_by_node(monkeypatch, work, keep):
+    monkeypatch.setattr(alignment, "SPARSE_WORK", work)
+    rnd, given_up = random.Random(work + keep), 0
+    for _ in range(40):
+        size = rnd.choice([2, 8, 40])
+        src = [rnd.randrange(size) for _ in range(rnd.choice([1, 10, 40, 120]))]
+        hyp = [x for w in src for x in ([] if rnd.random() < .06 else [w] if rnd.random() < .85 else [rnd.randrange(size + 2), w])]
+        if src == hyp:
+            continue
+        for _, band, (nodes, codes) in alignment.lattices([(src, hyp)], (1, 2)):
+            nodes, codes = np.frombuffer(nodes, np.int64), np.frombuffer(codes, np.int64)
+            arcs = alignment._arcs_by_steps(nodes, codes, 2 * band + 1, keep)
+            plain = by_plain_listing(monkeypatch, nodes, codes, 2 * band + 1, keep)
+            if plain is None:
+                given_up += 1
+                assert arcs is None
+                continue
+            assert arcs.length == plain.length and arcs.rank == plain.rank
+            assert [sorted(x) for x in arcs.found] == [sorted(x) for x in plain.found]
+    assert (given_up > 0) == (work == 60)
